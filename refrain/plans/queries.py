@@ -1,0 +1,204 @@
+"""Registry: one Spark query and one DuckDB oracle per operator of the inventory.
+
+Keys are ``<inventory row>_<name>``. Every query reads the given tables (or
+data Spark derives from them) in full; small constant tables (rules,
+keywords, catalogues, curated rows) are joined to them, never used alone.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refrain.operators import messages as M
+from refrain.operators import neighbours as N
+from refrain.operators import vectors as V
+from refrain.plans import oracle as O
+from refrain.plans.scan import find_patterns
+from refrain.sources.tables import conversation_messages, documents_messages, read_table
+
+AS_OF = dt.datetime(2024, 2, 10)  # fixed scan time for the registered queries
+SIMILARITY = 0.75
+MIN_SAMPLES = 3
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+
+    return deco
+
+
+def doc_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return M.substantial(V.spread_by_doc(documents_messages(spark, sf), "ord"))
+
+
+DOC_CORPUS_SQL = O.substantial_corpus(O.documents_messages())
+
+
+# ---------------------------------------------------------------- 2.1 / 2.2 messages
+@register("s5_documents_messages", f"SELECT uuid, session_id, project_path, ts, text, ord FROM ({O.documents_messages()})")
+def s5_documents_messages(spark, sf):
+    return documents_messages(spark, sf).select("uuid", "session_id", "project_path", "ts", "text", "ord")
+
+
+@register("f1_conversation_user_turns", f"SELECT uuid, session_id, text, ord.conv_id AS conv_id, ord.turn AS turn FROM ({O.conversation_messages()})")
+def f1_conversation_user_turns(spark, sf):
+    return conversation_messages(spark, sf).select("uuid", "session_id", "text", F.col("ord.conv_id").alias("conv_id"), F.col("ord.turn").alias("turn"))
+
+
+@register("f5_project_filter", f"SELECT uuid FROM ({O.documents_messages()}) WHERE project_path = '/home/dev/src1' OR starts_with(project_path, '/home/dev/src1/')")
+def f5_project_filter(spark, sf):
+    return M.filter_project(documents_messages(spark, sf), "/home/dev/src1/").select("uuid")
+
+
+_SINCE = M.since_from("30d", AS_OF)
+
+
+@register(
+    "f6_lookback_filter",
+    f"SELECT uuid, ts FROM ({O.documents_messages()}) WHERE ts IS NULL OR ts >= TIMESTAMP '{_SINCE:%Y-%m-%d %H:%M:%S}'",
+)
+def f6_lookback_filter(spark, sf):
+    return M.filter_since(documents_messages(spark, sf), _SINCE).select("uuid", "ts")
+
+
+@register(
+    "f6_event_lookback",
+    "SELECT event_id, ts FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00'",
+)
+def f6_event_lookback(spark, sf):
+    ev = read_table(spark, sf, "events")
+    since = M.since_from("30", dt.datetime(2024, 1, 31))
+    kept = M.filter_since(ev, since)
+    return kept.filter(F.col("ts").isNull() | (F.col("ts") < F.lit(dt.datetime(2024, 1, 31)))).select("event_id", "ts")
+
+
+@register(
+    "f9_default_timestamp",
+    f"SELECT uuid, coalesce(ts, TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}') AS ts FROM ({O.conversation_messages()})",
+)
+def f9_default_timestamp(spark, sf):
+    return M.default_ts(conversation_messages(spark, sf), AS_OF).select("uuid", "ts")
+
+
+@register("f11_substantial_messages", f"SELECT uuid, length(text) AS n_chars FROM ({DOC_CORPUS_SQL})")
+def f11_substantial_messages(spark, sf):
+    return M.substantial(documents_messages(spark, sf)).select("uuid", F.length("text").alias("n_chars"))
+
+
+@register(
+    "f11_substantial_conversations",
+    f"SELECT uuid FROM ({O.substantial_corpus(O.conversation_messages())})",
+)
+def f11_substantial_conversations(spark, sf):
+    return M.substantial(conversation_messages(spark, sf)).select("uuid")
+
+
+@register(
+    "a1_session_rollup",
+    f"""SELECT session_id, count(*) AS n_messages, arg_min(ts, ord) AS start_time, arg_max(ts, ord) AS end_time
+        FROM ({O.documents_messages()}) GROUP BY session_id""",
+)
+def a1_session_rollup(spark, sf):
+    return M.session_rollup(documents_messages(spark, sf))
+
+
+@register(
+    "a2_session_cwd",
+    f"SELECT session_id, arg_max(project_path, ord) AS session_cwd FROM ({O.documents_messages()}) GROUP BY session_id",
+)
+def a2_session_cwd(spark, sf):
+    return M.session_cwd(documents_messages(spark, sf))
+
+
+@register(
+    "a3_distinct_projects",
+    f"SELECT project_path, min(ord) AS first_ord FROM ({O.documents_messages()}) GROUP BY project_path",
+)
+def a3_distinct_projects(spark, sf):
+    return M.distinct_projects(documents_messages(spark, sf))
+
+
+@register(
+    "a4_scan_counters",
+    f"""SELECT count(*) AS n_messages, count(*) FILTER (WHERE {O.substantial('text')}) AS n_substantial,
+               count(DISTINCT session_id) AS n_sessions FROM ({O.conversation_messages()})""",
+)
+def a4_scan_counters(spark, sf):
+    return M.scan_counters(conversation_messages(spark, sf))
+
+
+# ---------------------------------------------------------------- 2.6 vectors
+_TFIDF = O.tfidf_ctes("corpus")
+
+
+@register("w2_vocabulary", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF} SELECT v.term, s.cf, s.df, v.idx, round(v.idf, 6) AS idf FROM vocab v JOIN stats s USING (term)")
+def w2_vocabulary(spark, sf):
+    c = doc_corpus(spark, sf)
+    _, vocab = V.tfidf_vectors(c.select(F.col("ord").alias("doc"), "text"), spread=False)
+    return vocab.select("term", "cf", "df", "idx", F.round("idf", 6).alias("idf"))
+
+
+@register("c3_tfidf_weights", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF} SELECT doc, idx, tf, round(val, 6) AS val FROM vec")
+def c3_tfidf_weights(spark, sf):
+    c = doc_corpus(spark, sf)
+    vecs, _ = V.tfidf_vectors(c.select(F.col("ord").alias("doc"), "text"), spread=False)
+    e = vecs.select("doc", F.explode(F.arrays_zip("idx", "tf", "val")).alias("e"))
+    return e.select("doc", F.col("e.idx").alias("idx"), F.col("e.tf").alias("tf"), F.round("e.val", 6).alias("val"))
+
+
+@register("c3_zero_vectors", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF} SELECT doc FROM vkey WHERE key = ''")
+def c3_zero_vectors(spark, sf):
+    c = doc_corpus(spark, sf)
+    vecs, _ = V.tfidf_vectors(c.select(F.col("ord").alias("doc"), "text"), spread=False)
+    return vecs.filter(F.size("idx") == 0).select("doc")
+
+
+# ---------------------------------------------------------------- J3, A15, C5-C8
+def _doc_points(spark, sf):
+    c = doc_corpus(spark, sf)
+    vecs, _ = V.tfidf_vectors(c.select(F.col("ord").alias("doc"), "text"), spread=False)
+    vecs = vecs.select("doc", "idx", "val").checkpoint(eager=True)
+    return N.collapse(vecs, vecs.select("doc", F.col("doc").alias("ord")))
+
+
+_DB = O.dbscan_ctes(SIMILARITY, MIN_SAMPLES)
+
+
+@register("a15_neighbour_counts", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF}, {_DB} SELECT pid, n AS n_neighbours FROM cnt")
+def a15_neighbour_counts(spark, sf):
+    points, _ = _doc_points(spark, sf)
+    points = points.checkpoint(eager=True)
+    nb = N.block_count(points.count(), N.DEFAULT_BLOCK)
+    return N.neighbour_weights(points, SIMILARITY, nb)
+
+
+@register("j3_neighbour_pairs", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF}, {_DB} SELECT count(*) AS n_pairs FROM adj")
+def j3_neighbour_pairs(spark, sf):
+    """Ordered neighbour pairs between distinct points (the epsilon join's size)."""
+    points, _ = _doc_points(spark, sf)
+    points = points.checkpoint(eager=True)
+    nb = N.block_count(points.count(), N.DEFAULT_BLOCK)
+    w = N.neighbour_weights(points.withColumn("mult", F.lit(1).cast("bigint")), SIMILARITY, nb)
+    return w.agg(F.sum(F.col("n_neighbours") - 1).alias("n_pairs"))
+
+
+@register("c7_cluster_labels", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF}, {_DB} SELECT pid, cluster, pid IN (SELECT pid FROM cores) AS core FROM lab")
+def c7_cluster_labels(spark, sf):
+    points, _ = _doc_points(spark, sf)
+    return N.dbscan(points, SIMILARITY, MIN_SAMPLES)
+
+
+# ---------------------------------------------------------------- patterns
+@register("c8_patterns_unclassified", O.patterns_sql(DOC_CORPUS_SQL, SIMILARITY, MIN_SAMPLES))
+def c8_patterns_unclassified(spark, sf):
+    return find_patterns(doc_corpus(spark, sf), SIMILARITY, MIN_SAMPLES, classify=False)
