@@ -177,3 +177,41 @@ def patterns_sql(corpus_sql: str, similarity: float = 0.75, min_samples: int = 3
 
 def substantial_corpus(messages_sql: str) -> str:
     return f"SELECT * FROM ({messages_sql}) m WHERE {substantial('text')}"
+
+
+def rules_values() -> str:
+    from refrain.operators.rules import RULES
+
+    vals = ", ".join(f"({i}, {q(n)}, {q(d)}, {q(s)}, {q(r)})" for i, (n, d, s, r) in enumerate(RULES))
+    return f"SELECT * FROM (VALUES {vals}) AS r(pos, name, description, suggestion, regex)"
+
+
+def keywords_values() -> str:
+    from refrain.operators.classify import KEYWORD_RULES
+
+    vals = ", ".join(f"({p}, {q(c)}, {q(k)})" for p, (c, ks) in enumerate(KEYWORD_RULES) for k in ks)
+    return f"SELECT * FROM (VALUES {vals}) AS k(priority, category, keyword)"
+
+
+def keyword_category(items: str, key: str, text: str) -> str:
+    """Keyword classifier over relation ``items``: ``key, category``."""
+    return f"""
+    SELECT i.{key}, CASE WHEN i.{text} IS NULL OR length(i.{text}) = 0 THEN 'one-off-task'
+                         ELSE coalesce(b.cat, 'one-off-task') END AS category
+    FROM {items} i LEFT JOIN (
+        SELECT {key}, arg_max(category, score * 1000 - priority) AS cat FROM (
+            SELECT i2.{key}, k.priority, k.category, count(DISTINCT k.keyword) AS score
+            FROM {items} i2 JOIN ({keywords_values()}) k ON contains(lower(i2.{text}), k.keyword)
+            GROUP BY i2.{key}, k.priority, k.category) GROUP BY {key}) b ON b.{key} = i.{key}"""
+
+
+def dense_point_ctes(source: str, key: str, vec: str) -> str:
+    """``pt, pvec, pnorm`` for a dense vector column, normalised (zero stays zero)."""
+    return f"""
+    raw AS (SELECT {key} AS doc, CAST({vec} AS DOUBLE[]) AS v FROM {source}),
+    unit AS (SELECT doc, CASE WHEN list_sum(list_transform(v, lambda x: x * x)) > 0
+                 THEN list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) ELSE v END AS v FROM raw),
+    vkey AS (SELECT doc, CAST(v AS VARCHAR) AS key, v FROM unit),
+    pt AS (SELECT key, min(doc) AS pid, count(*) AS mult FROM vkey GROUP BY key),
+    pvec AS (SELECT pt.pid, unnest(range(0, len(k.v))) AS idx, unnest(k.v) AS val FROM pt JOIN vkey k ON k.doc = pt.pid),
+    pnorm AS (SELECT pt.pid, coalesce(sum(v.val * v.val), 0.0) AS n2 FROM pt LEFT JOIN pvec v USING (pid) GROUP BY pt.pid)"""

@@ -202,3 +202,123 @@ def c7_cluster_labels(spark, sf):
 @register("c8_patterns_unclassified", O.patterns_sql(DOC_CORPUS_SQL, SIMILARITY, MIN_SAMPLES))
 def c8_patterns_unclassified(spark, sf):
     return find_patterns(doc_corpus(spark, sf), SIMILARITY, MIN_SAMPLES, classify=False)
+
+
+# ---------------------------------------------------------------- rules
+from refrain.operators import classify as C  # noqa: E402
+from refrain.operators import rules as R  # noqa: E402
+from refrain.sources.curated import curated_messages, curated_sql  # noqa: E402
+
+
+def all_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, user turns and curated rows as (uuid, text)."""
+    return (
+        documents_messages(spark, sf).select("uuid", "text")
+        .unionByName(conversation_messages(spark, sf).select("uuid", "text"))
+        .unionByName(curated_messages(spark).select("uuid", "text"))
+    )
+
+
+ALL_MESSAGES_SQL = f"""
+    SELECT uuid, text FROM ({O.documents_messages()})
+    UNION ALL SELECT uuid, text FROM ({O.conversation_messages()})
+    UNION ALL SELECT uuid, text FROM ({curated_sql()})"""
+
+
+@register(
+    "j1_rule_matches",
+    f"SELECT r.name, m.uuid FROM ({ALL_MESSAGES_SQL}) m JOIN ({O.rules_values()}) r ON regexp_matches(m.text, r.regex)",
+)
+def j1_rule_matches(spark, sf):
+    rt = R.rules_table(spark)
+    return R.rule_matches(all_messages(spark, sf)).join(F.broadcast(rt.select("pos", "name")), "pos").select("name", "uuid")
+
+
+@register(
+    "a5_rule_counts",
+    f"""SELECT name, description, suggestion, n_matches, row_number() OVER (ORDER BY n_matches DESC, pos) AS rank FROM (
+        SELECT r.pos, r.name, r.description, r.suggestion, count(*) AS n_matches
+        FROM ({ALL_MESSAGES_SQL}) m JOIN ({O.rules_values()}) r ON regexp_matches(m.text, r.regex)
+        GROUP BY ALL HAVING count(*) >= {R.MIN_MATCHES})""",
+)
+def a5_rule_counts(spark, sf):
+    return R.rule_counts(all_messages(spark, sf))
+
+
+# ---------------------------------------------------------------- classification
+DOCS_AND_CURATED_SQL = f"SELECT * FROM ({O.documents_messages()}) UNION ALL SELECT * FROM ({curated_sql()})"
+
+
+def docs_and_curated(spark: SparkSession, sf: str) -> DataFrame:
+    return documents_messages(spark, sf).unionByName(curated_messages(spark))
+
+
+@register("c10_keyword_categories", O.keyword_category(f"({DOCS_AND_CURATED_SQL})", "uuid", "text"))
+def c10_keyword_categories(spark, sf):
+    m = docs_and_curated(spark, sf).select("uuid", "text")
+    return C.classify_by_keywords(m, "uuid", "text", C.keyword_table(spark)).select("uuid", "category")
+
+
+_CLASSIFY_SUMM = f"summ2 AS (SELECT s.*, kc.category FROM summ s JOIN ({O.keyword_category('summ', 'cluster', 'representative_text')}) kc USING (cluster))"
+
+
+@register("f13_patterns_classified", O.patterns_sql(O.substantial_corpus(DOCS_AND_CURATED_SQL), SIMILARITY, MIN_SAMPLES, _CLASSIFY_SUMM))
+def f13_patterns_classified(spark, sf):
+    corpus = M.substantial(V.spread_by_doc(docs_and_curated(spark, sf), "ord"))
+    return find_patterns(corpus, SIMILARITY, MIN_SAMPLES, classify=True)
+
+
+# ---------------------------------------------------------------- dense vectors
+DENSE_SIMILARITY = 0.35
+_EMB_DB = O.dense_point_ctes("embeddings", "vec_id", "embedding")
+
+
+def _embedding_vectors(spark, sf):
+    emb = V.normalise_dense(read_table(spark, sf, "embeddings"), "embedding")
+    return V.dense_vectors(emb, "vec_id", "embedding"), emb
+
+
+@register(
+    "c4_dense_dbscan_labels",
+    f"WITH {_EMB_DB}, {O.dbscan_ctes(DENSE_SIMILARITY, MIN_SAMPLES)} SELECT pid, cluster, pid IN (SELECT pid FROM cores) AS core FROM lab",
+)
+def c4_dense_dbscan_labels(spark, sf):
+    vecs, _ = _embedding_vectors(spark, sf)
+    points, _ = N.collapse(vecs, vecs.select("doc", F.col("doc").alias("ord")))
+    return N.dbscan(points, DENSE_SIMILARITY, MIN_SAMPLES)
+
+
+@register(
+    "c11_centroid_classifier",
+    f"""WITH {_EMB_DB},
+    ex AS (SELECT p.pid, e.label AS priority, 'label_' || e.label AS category, p.idx, p.val
+           FROM pvec p JOIN embeddings e ON e.vec_id = p.pid),
+    n AS (SELECT category, count(DISTINCT pid) AS n FROM ex GROUP BY category),
+    mean AS (SELECT ex.priority, ex.category, idx, sum(val) / any_value(n.n) AS m FROM ex JOIN n USING (category) GROUP BY ALL),
+    nrm AS (SELECT category, sqrt(sum(m * m)) AS norm FROM mean GROUP BY category),
+    cent AS (SELECT priority, category, idx, CASE WHEN norm > 0 THEN m / norm ELSE m END AS c FROM mean JOIN nrm USING (category)),
+    item AS (SELECT k.doc AS vec_id, u.idx, u.val FROM vkey k JOIN (
+        SELECT doc, unnest(range(0, len(v))) AS idx, unnest(v) AS val FROM unit) u USING (doc)),
+    sims AS (SELECT vec_id, priority, category, round(sum(val * c), 9) AS sim FROM item JOIN cent USING (idx) GROUP BY ALL),
+    best AS (SELECT vec_id, arg_max(category, sim) AS cat, max(sim) AS s FROM sims WHERE sim > 0 GROUP BY vec_id)
+    SELECT r.doc AS vec_id, CASE WHEN b.s >= {C.MIN_CONFIDENCE} THEN b.cat ELSE 'one-off-task' END AS category
+    FROM raw r LEFT JOIN best b ON b.vec_id = r.doc""",
+)
+def c11_centroid_classifier(spark, sf):
+    vecs, emb = _embedding_vectors(spark, sf)
+    labels = emb.select(F.col("vec_id").alias("doc"), "label")
+    ex = vecs.join(labels, "doc").select(
+        F.col("label").alias("priority"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("category"), "idx", "val"
+    )
+    cents = C.category_centroids(ex)
+    return C.classify_by_centroid(vecs.select(F.col("doc").alias("vec_id"), "idx", "val"), "vec_id", cents).select("vec_id", "category")
+
+
+@register(
+    "a14_category_counts",
+    f"""WITH k AS ({O.keyword_category(f"({DOCS_AND_CURATED_SQL})", "uuid", "text")})
+        SELECT category, count(*) AS n_patterns FROM k GROUP BY category""",
+)
+def a14_category_counts(spark, sf):
+    m = docs_and_curated(spark, sf).select("uuid", "text")
+    return C.category_counts(C.classify_by_keywords(m, "uuid", "text", C.keyword_table(spark)))
