@@ -215,3 +215,30 @@ def dense_point_ctes(source: str, key: str, vec: str) -> str:
     pt AS (SELECT key, min(doc) AS pid, count(*) AS mult FROM vkey GROUP BY key),
     pvec AS (SELECT pt.pid, unnest(range(0, len(k.v))) AS idx, unnest(k.v) AS val FROM pt JOIN vkey k ON k.doc = pt.pid),
     pnorm AS (SELECT pt.pid, coalesce(sum(v.val * v.val), 0.0) AS n2 FROM pt LEFT JOIN pvec v USING (pid) GROUP BY pt.pid)"""
+
+
+def catalog_values(path: str, tool: bool) -> tuple[str, str]:
+    """(catalogue rows, keyword rows) as VALUES from the same JSON file the engine reads."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        entries = json.load(f)
+    if tool:
+        rows = ", ".join(f"({i}, {q(e['id'])}, {q(e['name'])}, {q(e['install'])})" for i, e in enumerate(entries))
+        cat = f"SELECT * FROM (VALUES {rows}) AS c(pos, id, name, install)"
+    else:
+        rows = ", ".join(f"({i}, {q(e['id'])}, {q(e['name'])})" for i, e in enumerate(entries))
+        cat = f"SELECT * FROM (VALUES {rows}) AS c(pos, id, name)"
+    kws = ", ".join(
+        f"({i}, {q(e['id'])}, {j}, {q(k)})" for i, e in enumerate(entries) for j, k in enumerate(e["keywords"])
+    )
+    return cat, f"SELECT * FROM (VALUES {kws}) AS k(pos, id, kw_pos, keyword)"
+
+
+def catalog_hits(texts_sql: str, kw_sql: str) -> str:
+    return f"""
+    per AS (SELECT k.id, k.pos, k.kw_pos, k.keyword, count(*) AS hits
+            FROM (SELECT lower(text) AS t FROM ({texts_sql})) tx JOIN ({kw_sql}) k ON contains(tx.t, lower(k.keyword))
+            GROUP BY ALL),
+    hits AS (SELECT id, pos, CAST(sum(hits) AS BIGINT) AS hit_count, list(keyword ORDER BY kw_pos) AS matched_keywords
+             FROM per GROUP BY id, pos)"""

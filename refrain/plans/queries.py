@@ -322,3 +322,62 @@ def c11_centroid_classifier(spark, sf):
 def a14_category_counts(spark, sf):
     m = docs_and_curated(spark, sf).select("uuid", "text")
     return C.category_counts(C.classify_by_keywords(m, "uuid", "text", C.keyword_table(spark)))
+
+
+# ---------------------------------------------------------------- catalogues
+from refrain.operators import catalog as K  # noqa: E402
+from refrain.sources import catalogs as CS  # noqa: E402
+
+_TOOL_CAT, _TOOL_KW = O.catalog_values(CS.TOOL_CATALOG, True)
+_SKILL_CAT, _SKILL_KW = O.catalog_values(CS.SKILL_CATALOG, False)
+
+
+def _lower_texts(spark, sf):
+    return all_messages(spark, sf).select(F.lower("text").alias("text"))
+
+
+@register(
+    "a11_tool_matches",
+    f"""WITH {O.catalog_hits(ALL_MESSAGES_SQL, _TOOL_KW)},
+    best AS (SELECT h.*, c.name, c.install FROM hits h JOIN ({_TOOL_CAT}) c USING (id, pos)
+             QUALIFY row_number() OVER (PARTITION BY install ORDER BY hit_count DESC, pos) = 1)
+    SELECT id, name, install, hit_count, matched_keywords, row_number() OVER (ORDER BY hit_count DESC, pos) AS rank FROM best""",
+)
+def a11_tool_matches(spark, sf):
+    m = K.tool_matches(_lower_texts(spark, sf), CS.tool_catalog(spark))
+    return m.select("id", "name", "install", "hit_count", "matched_keywords", "rank")
+
+
+@register(
+    "w7_skill_matches",
+    f"""WITH {O.catalog_hits(ALL_MESSAGES_SQL, _SKILL_KW)},
+    r AS (SELECT h.*, c.name, row_number() OVER (ORDER BY hit_count DESC, h.pos) AS rank FROM hits h JOIN ({_SKILL_CAT}) c USING (id, pos))
+    SELECT id, name, hit_count, matched_keywords, rank FROM r WHERE rank <= {K.TOP_SKILLS}""",
+)
+def w7_skill_matches(spark, sf):
+    m = K.skill_matches(_lower_texts(spark, sf), CS.skill_catalog(spark))
+    return m.select("id", "name", "hit_count", "matched_keywords", "rank")
+
+
+@register(
+    "a12_tool_summary",
+    f"""WITH {O.catalog_hits(ALL_MESSAGES_SQL, _TOOL_KW)},
+    best AS (SELECT h.*, c.name, c.install FROM hits h JOIN ({_TOOL_CAT}) c USING (id, pos)
+             QUALIFY row_number() OVER (PARTITION BY install ORDER BY hit_count DESC, pos) = 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY hit_count DESC, pos) AS rank FROM best),
+    l AS (SELECT count(*) AS n_matches, CAST(coalesce(sum(hit_count), 0) AS BIGINT) AS total_hits,
+                 arg_min(name, rank) AS top_name, list(name ORDER BY rank) AS nm FROM r)
+    SELECT n_matches, total_hits, top_name,
+           array_to_string(nm[1:3], ', ') || CASE WHEN len(nm) > 3 THEN ' +' || (len(nm) - 3) || ' more' ELSE '' END AS names
+    FROM l""",
+)
+def a12_tool_summary(spark, sf):
+    return K.match_summary(K.tool_matches(_lower_texts(spark, sf), CS.tool_catalog(spark)))
+
+
+@register(
+    "f18_pattern_texts",
+    f"WITH p AS ({O.patterns_sql(DOC_CORPUS_SQL, SIMILARITY, MIN_SAMPLES)}) SELECT lower(unnest(sample_texts)) AS text FROM p",
+)
+def f18_pattern_texts(spark, sf):
+    return K.pattern_texts(find_patterns(doc_corpus(spark, sf), SIMILARITY, MIN_SAMPLES, classify=False))
