@@ -103,7 +103,7 @@ def _split(pdf: pd.DataFrame, bi: int, bj: int):
 
 
 def _weights_fn(thr: float):
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pdf):
         bi, bj = int(key[0]), int(key[1])
         dim = _dim(pdf)
         left, right = _split(pdf, bi, bj)
@@ -125,7 +125,7 @@ def _weights_fn(thr: float):
 
 
 def _links_fn(thr: float):
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pdf):
         bi, bj = int(key[0]), int(key[1])
         dim = _dim(pdf)
         left, right = _split(pdf, bi, bj)
