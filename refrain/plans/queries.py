@@ -381,3 +381,173 @@ def a12_tool_summary(spark, sf):
 )
 def f18_pattern_texts(spark, sf):
     return K.pattern_texts(find_patterns(doc_corpus(spark, sf), SIMILARITY, MIN_SAMPLES, classify=False))
+
+
+# ---------------------------------------------------------------- report rows and recommendations
+from refrain.operators import recommend as RC  # noqa: E402
+from refrain.sources.curated import inventory, inventory_sql  # noqa: E402
+
+_C8_SQL = O.patterns_sql(DOC_CORPUS_SQL, SIMILARITY, MIN_SAMPLES)
+_F13_SQL = O.patterns_sql(O.substantial_corpus(DOCS_AND_CURATED_SQL), SIMILARITY, MIN_SAMPLES, _CLASSIFY_SUMM)
+_PROJECTS_SQL = f"SELECT DISTINCT project_path FROM ({DOCS_AND_CURATED_SQL})"
+GAP_PROJECT = "/work/api"
+
+
+def _c8(spark, sf):
+    return find_patterns(doc_corpus(spark, sf), SIMILARITY, MIN_SAMPLES, classify=False)
+
+
+def _f13(spark, sf):
+    corpus = M.substantial(V.spread_by_doc(docs_and_curated(spark, sf), "ord"))
+    return find_patterns(corpus, SIMILARITY, MIN_SAMPLES, classify=True)
+
+
+def _projects(spark, sf):
+    return docs_and_curated(spark, sf).select("project_path").distinct()
+
+
+_SKILL_CAND = f"(category IS NULL OR category IN ('repeatable-workflow', 'boilerplate-request')) AND size >= {RC.MIN_SKILL_SIZE}"
+
+
+@register(
+    "f21_report_rows",
+    f"""WITH p AS ({_C8_SQL}) SELECT id, coalesce(label, id) AS title,
+        size || ' occurrence' || CASE WHEN size <> 1 THEN 's' ELSE '' END AS occurrences,
+        coalesce(category, 'unclassified') AS type,
+        CASE WHEN len(dates) > 0 THEN array_to_string(list_transform(dates[1:6], lambda d: strftime(d, '%b %-d')), ', ')
+             || CASE WHEN size > 6 THEN ' +' || (size - 6) || ' more' ELSE '' END END AS dates_text,
+        CASE WHEN wasted_input_tokens > 0 OR wasted_output_tokens > 0 THEN
+             array_to_string(list_filter([CASE WHEN wasted_input_tokens > 0 THEN '~' || format('{{:,}}', wasted_input_tokens) || ' input' END,
+                                          CASE WHEN wasted_output_tokens > 0 THEN '~' || format('{{:,}}', wasted_output_tokens) || ' output' END],
+                                         lambda x: x IS NOT NULL), ' + ') || ' tokens' END AS waste_text,
+        replace(left(sample_texts[1], 80), chr(10), ' ') AS sample,
+        CASE WHEN category IS NULL OR category IN ('repeatable-workflow', 'boilerplate-request') THEN 'skill candidate: generate skill ' || id
+             WHEN category = 'context-re-explanation' THEN 'context candidate: generate patch ' || id
+             WHEN category = 'one-off-task' THEN NULL ELSE 'skill candidate: generate skill ' || id END AS hint
+    FROM p""",
+)
+def f21_report_rows(spark, sf):
+    return RC.report_rows(_c8(spark, sf))
+
+
+@register(
+    "f20_explain_rows",
+    f"""WITH p AS ({_F13_SQL}) SELECT id, list_transform(sample_texts[1:5], lambda x: left(x, 100)) AS samples,
+        CASE WHEN category IN ('repeatable-workflow', 'boilerplate-request') THEN 'skill'
+             WHEN category = 'context-re-explanation' THEN 'patch' END AS action FROM p""",
+)
+def f20_explain_rows(spark, sf):
+    return RC.explain_rows(_f13(spark, sf))
+
+
+@register(
+    "f16_pattern_lookup",
+    f"""WITH p AS ({_C8_SQL}) SELECT id, label, size, CAST(NULL AS VARCHAR[]) AS known_ids FROM p WHERE id = 'pat-002'
+        UNION ALL SELECT NULL, NULL, NULL, list(id ORDER BY id) FROM p HAVING count(*) FILTER (WHERE id = 'pat-002') = 0""",
+)
+def f16_pattern_lookup(spark, sf):
+    return RC.lookup(_c8(spark, sf), "pat-002")
+
+
+@register(
+    "f16_pattern_lookup_missing",
+    f"""WITH p AS ({_C8_SQL}) SELECT id, label, size, CAST(NULL AS VARCHAR[]) AS known_ids FROM p WHERE id = 'pat-999'
+        UNION ALL SELECT NULL, NULL, NULL, list(id ORDER BY id) FROM p HAVING count(*) FILTER (WHERE id = 'pat-999') = 0""",
+)
+def f16_pattern_lookup_missing(spark, sf):
+    return RC.lookup(_c8(spark, sf), "pat-999")
+
+
+def _slug_sql(e: str, n: int, default: str) -> str:
+    s = f"regexp_replace(lower({e}), '[^a-z0-9\\s-]', '', 'g')"
+    s = f"regexp_replace({s}, '\\s+', '-', 'g')"
+    s = f"regexp_replace({s}, '-+', '-', 'g')"
+    return f"coalesce(nullif(trim(left({s}, {n}), '-'), ''), {O.q(default)})"
+
+
+@register(
+    "d1_skill_gaps",
+    f"""WITH p AS ({_C8_SQL}),
+    c AS (SELECT id, size, category, {_slug_sql("coalesce(label, 'pattern-' || id)", RC.SLUG_CHARS, 'pattern')} AS suggested_name FROM p WHERE {_SKILL_CAND}),
+    g AS (SELECT *, '.claude/skills/' || suggested_name || '/SKILL.md' AS suggested_path FROM c)
+    SELECT {O.q(GAP_PROJECT)} AS project_path, id, suggested_name, suggested_path,
+           'Occurred ' || size || ' times (' || coalesce(category, 'unclassified') || ') - consistent enough to be a skill.' AS reason
+    FROM g WHERE suggested_path NOT IN (SELECT rel_path FROM ({inventory_sql()}) WHERE project_path = {O.q(GAP_PROJECT)})""",
+)
+def d1_skill_gaps(spark, sf):
+    return RC.skill_gaps(_c8(spark, sf), inventory(spark), GAP_PROJECT)
+
+
+_FEATURES_SQL = f"""
+    SELECT pr.project_path,
+           coalesce(bool_or(i.rel_path = 'CLAUDE.md'), false) AS has_context_file,
+           coalesce(bool_or(starts_with(i.rel_path, '.claude/skills/') AND ends_with(i.rel_path, '/SKILL.md')), false) AS has_skills,
+           coalesce(bool_or(starts_with(i.rel_path, '.claude/') AND ends_with(i.rel_path, '.md')), false) AS has_local_md
+    FROM ({_PROJECTS_SQL}) pr LEFT JOIN ({inventory_sql()}) i ON i.project_path = pr.project_path GROUP BY pr.project_path"""
+
+
+@register("j8_project_features", _FEATURES_SQL)
+def j8_project_features(spark, sf):
+    return RC.project_features(_projects(spark, sf), inventory(spark))
+
+
+@register(
+    "d3_context_findings",
+    f"""SELECT project_path, 'missing' AS kind, 'CLAUDE.md' AS section, 'No project instructions file found.' AS description,
+        'Create CLAUDE.md with the stack, conventions and commands.' AS suggestion FROM ({_FEATURES_SQL}) WHERE NOT has_context_file""",
+)
+def d3_context_findings(spark, sf):
+    return RC.context_findings(_projects(spark, sf), inventory(spark))
+
+
+@register(
+    "d4_skill_drafts",
+    f"""WITH p AS ({_C8_SQL}) SELECT id,
+        '.claude/skills/' || {_slug_sql('coalesce(label, id)', RC.SKILL_SLUG_CHARS, 'skill')} || '/SKILL.md' AS path,
+        concat_ws(chr(10), '# ' || coalesce(label, id), '',
+                  'Seen ' || size || ' times between ' || strftime(first_seen, '%Y-%m-%d') || ' and ' || strftime(last_seen, '%Y-%m-%d') || '.',
+                  '', 'Example requests:', array_to_string(list_transform(sample_texts[1:3], lambda x: '- ' || x), chr(10))) AS body
+        FROM p WHERE {_SKILL_CAND}""",
+)
+def d4_skill_drafts(spark, sf):
+    return RC.skill_drafts(_c8(spark, sf))
+
+
+@register(
+    "d4_context_patch",
+    f"""WITH p AS ({_F13_SQL}),
+    l AS (SELECT list('- ' || left(sample_texts[1], 100) ORDER BY id) FILTER (WHERE category = 'context-re-explanation') AS lines FROM p)
+    SELECT f.project_path, 'CLAUDE.md' AS path,
+           CASE WHEN len(coalesce(l.lines, [])) > 0 THEN '## Project context' || chr(10) || array_to_string(l.lines, chr(10))
+                ELSE 'No repeated context found.' END AS patch
+    FROM ({_FEATURES_SQL}) f, l WHERE f.has_context_file""",
+)
+def d4_context_patch(spark, sf):
+    return RC.context_patch(_f13(spark, sf), _projects(spark, sf), inventory(spark))
+
+
+@register(
+    "d7_template_rows",
+    f"""WITH {O.catalog_hits(ALL_MESSAGES_SQL, _SKILL_KW)},
+    r AS (SELECT id, row_number() OVER (ORDER BY hit_count DESC, pos) AS rank FROM hits)
+    SELECT r.id, '.claude/skills/' || r.id || '/SKILL.md' AS path, c.skill_md AS body
+    FROM r JOIN read_json({O.q(CS.SKILL_CATALOG)}, format = 'array') c
+    ON c.id = r.id WHERE r.rank <= {K.TOP_SKILLS}""",
+)
+def d7_template_rows(spark, sf):
+    top = K.skill_matches(_lower_texts(spark, sf), CS.skill_catalog(spark)).select("id")
+    return RC.template_rows(top, CS.skill_catalog(spark))
+
+
+@register(
+    "f22_match_rows",
+    f"""WITH {O.catalog_hits(ALL_MESSAGES_SQL, _TOOL_KW)},
+    cat AS (SELECT * FROM read_json({O.q(CS.TOOL_CATALOG)}, format = 'array')),
+    best AS (SELECT h.id, h.pos, h.hit_count, c.install FROM hits h JOIN ({_TOOL_CAT}) c USING (id, pos)
+             QUALIFY row_number() OVER (PARTITION BY c.install ORDER BY hit_count DESC, pos) = 1)
+    SELECT b.id, CASE WHEN length(cat.replaces) > 55 THEN left(cat.replaces, 55) || '…' ELSE cat.replaces END AS replaces_short,
+           array_to_string(coalesce(cat.requires_env, [])[1:2], ', ') AS env_short
+    FROM best b JOIN cat ON cat.id = b.id""",
+)
+def f22_match_rows(spark, sf):
+    return RC.match_rows(K.tool_matches(_lower_texts(spark, sf), CS.tool_catalog(spark)))

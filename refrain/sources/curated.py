@@ -82,3 +82,26 @@ def curated_sql() -> str:
         for i, (u, s, p, t, x) in enumerate(ROWS)
     )
     return f"SELECT * FROM (VALUES {vals}) AS t(uuid, session_id, project_path, ts, text, parent_uuid, ord)"
+
+
+# Our own project listing (project_path, rel_path) for the recommendation tables.
+INVENTORY = [
+    ("/work/api", "CLAUDE.md"),
+    ("/work/api", ".claude/skills/run-lint-then-run-the-tests-then-commit-and-push-the/SKILL.md"),
+    ("/work/api", ".claude/notes.md"),
+    ("/work/ops", ".claude/skills/deploy/SKILL.md"),
+    ("/work/web", "README.md"),
+    ("/home/dev/src1", "CLAUDE.md"),
+    ("/home/dev/src10", ".claude/settings.md"),
+]
+
+
+def inventory(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(INVENTORY, "project_path string, rel_path string")
+
+
+def inventory_sql() -> str:
+    from refrain.plans.oracle import q
+
+    vals = ", ".join(f"({q(p)}, {q(r)})" for p, r in INVENTORY)
+    return f"SELECT * FROM (VALUES {vals}) AS t(project_path, rel_path)"
