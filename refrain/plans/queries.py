@@ -551,3 +551,29 @@ def d7_template_rows(spark, sf):
 )
 def f22_match_rows(spark, sf):
     return RC.match_rows(K.tool_matches(_lower_texts(spark, sf), CS.tool_catalog(spark)))
+
+
+# ---------------------------------------------------------------- model requests / responses
+from refrain.operators import inference as I  # noqa: E402
+from refrain.sources.curated import responses, responses_sql  # noqa: E402
+
+
+@register(
+    "j9_category_override",
+    f"""WITH p AS ({_C8_SQL}),
+    r AS (SELECT regexp_replace(request_id, '^cat:', '') AS id, lower(trim(reply)) AS reply FROM ({responses_sql()}) WHERE kind = 'category')
+    SELECT p.id, CASE WHEN r.reply IN ({', '.join(O.q(c) for c in I.VALID_CATEGORIES)}) THEN r.reply ELSE p.category END AS category
+    FROM p LEFT JOIN r USING (id)""",
+)
+def j9_category_override(spark, sf):
+    return I.apply_categories(_c8(spark, sf), responses(spark)).select("id", "category")
+
+
+@register(
+    "d5_category_requests",
+    f"""WITH p AS ({_C8_SQL}) SELECT 'cat:' || id AS request_id, 'category' AS kind,
+        'Classify these repeated requests as one of: {", ".join(I.VALID_CATEGORIES)}.' || chr(10) || 'Requests:' || chr(10)
+        || array_to_string(list_transform(sample_texts[1:{I.SAMPLES_PER_REQUEST}], lambda x: '- ' || x), chr(10)) AS prompt FROM p""",
+)
+def d5_category_requests(spark, sf):
+    return I.category_requests(_c8(spark, sf))

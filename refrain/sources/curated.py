@@ -105,3 +105,26 @@ def inventory_sql() -> str:
 
     vals = ", ".join(f"({q(p)}, {q(r)})" for p, r in INVENTORY)
     return f"SELECT * FROM (VALUES {vals}) AS t(project_path, rel_path)"
+
+
+# Our own model replies for the response-merging operators (valid, invalid, fenced, unknown IDs).
+RESPONSES = [
+    ("cat:pat-001", "category", "repeatable-workflow"),
+    ("cat:pat-002", "category", "  Boilerplate-Request "),
+    ("cat:pat-003", "category", "not-a-category"),
+    ("cat:pat-004", "category", ""),
+    ("m1", "match", '```json\n["ship-it", "nope", "notes"]\n```'),
+    ("m2", "match", '["explain-failure", "gke-ops", "ship-it", "containerise", "notes", "auth-check", "stack-notes"]'),
+    ("m3", "match", "sorry, no idea"),
+]
+
+
+def responses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RESPONSES, "request_id string, kind string, reply string")
+
+
+def responses_sql() -> str:
+    from refrain.plans.oracle import q
+
+    vals = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in RESPONSES)
+    return f"SELECT * FROM (VALUES {vals}) AS t(request_id, kind, reply)"
