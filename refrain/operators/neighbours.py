@@ -46,13 +46,17 @@ def eps2(similarity: float) -> float:
 def collapse(vectors: DataFrame, ords: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Equal vectors -> one point. Returns ``(points, membership)``.
 
-    ``vectors``: ``doc, idx, val``; ``ords``: ``doc, ord``.
+    ``vectors``: ``doc, idx, val`` and optionally ``tf`` (term counts); ``ords``: ``doc, ord``.
+    With ``tf`` the key is the exact (term, count) list, so copies collapse even
+    when their weights differ in the last bit; otherwise the values themselves.
     ``points``: ``pid, mult, idx, val`` (pid = lowest ord of the copies);
     ``membership``: ``doc, pid``.
     """
+    key = ["idx", "tf"] if "tf" in vectors.columns else ["idx", "val"]
     v = vectors.join(ords, "doc")
-    points = v.groupBy("idx", "val").agg(F.min("ord").alias("pid"), F.count(F.lit(1)).alias("mult"))
-    membership = v.join(points.select("idx", "val", "pid"), ["idx", "val"]).select("doc", "pid")
+    extra = [F.min("val").alias("val")] if "tf" in key else []
+    points = v.groupBy(*key).agg(F.min("ord").alias("pid"), F.count(F.lit(1)).alias("mult"), *extra)
+    membership = v.join(points.select(*key, "pid"), key).select("doc", "pid")
     return points.select("pid", "mult", "idx", "val"), membership
 
 

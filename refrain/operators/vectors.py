@@ -12,7 +12,6 @@ Dense inputs (``ARRAY<FLOAT>``) use the same shape with ``idx = 0..d-1``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +38,12 @@ def with_ngrams(toks) -> "F.Column":
 def term_frequencies(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """A13 (tf): one row per (document, term) with its count.
 
-    The map-side partial aggregate collapses repeats inside a document before
+    A document without any token keeps one row with a NULL term, so the
+    document list and count can be read from this table alone. The map-side partial aggregate collapses repeats inside a document before
     the shuffle, so the exchange carries distinct (doc, term) pairs only.
     """
     return (
-        docs.select(F.col(key).alias("doc"), F.explode(with_ngrams(tokens(F.col(text)))).alias("term"))
+        docs.select(F.col(key).alias("doc"), F.explode_outer(with_ngrams(tokens(F.col(text)))).alias("term"))
         .groupBy("doc", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -51,7 +51,7 @@ def term_frequencies(docs: DataFrame, key: str = "doc", text: str = "text") -> D
 
 def term_statistics(tf: DataFrame) -> DataFrame:
     """Corpus frequency and document frequency per term."""
-    return tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    return tf.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
 def vocabulary(stats: DataFrame, n_docs, size: int = VOCAB_SIZE) -> DataFrame:
@@ -96,20 +96,25 @@ def tfidf_vectors(
     docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     if spread:  # callers that already hash-partitioned by the key skip this exchange
         docs = spread_by_doc(docs)
-    keys = docs.select("doc")
-    tf = term_frequencies(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    # materialised once: the vocabulary, the document count and the weights all
+    # read it (left lazy, concurrent subqueries would each re-tokenise the corpus)
+    tf = term_frequencies(docs).checkpoint(eager=True)
+    # documents and their number come from tf itself: no second pass over the text
+    keys = tf.select("doc").distinct()
     n_docs = keys.select(F.count(F.lit(1))).scalar()
     vocab = vocabulary(term_statistics(tf), n_docs, size)
     weighted = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").select(
         "doc", "idx", "tf", ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("w")
     )
-    packed = weighted.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("idx", "tf", "w"))).alias("e"))
-    norm = F.sqrt(F.aggregate(F.col("e"), F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    packed = weighted.groupBy("doc").agg(
+        F.sort_array(F.collect_list(F.struct("idx", "tf", "w"))).alias("e"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),  # one value per document, not per element
+    )
     sparse = packed.select(
         "doc",
         F.col("e.idx").alias("idx"),
         F.col("e.tf").alias("tf"),
-        F.transform(F.col("e"), lambda x: x["w"] / norm).alias("val"),
+        F.transform(F.col("e.w"), lambda w: w / F.col("norm")).alias("val"),
     )
     # documents without any vocabulary term are the zero vector
     vectors = keys.join(sparse, "doc", "left").select(

@@ -27,7 +27,7 @@ def cluster_messages(corpus: DataFrame, similarity: float = 0.75, min_samples: i
     if vectors is None:
         vectors, _ = tfidf_vectors(corpus.select(F.col("ord").alias("doc"), "text"), spread=False)
     # reused by the collapse, the membership map and the centroids: cut lineage once
-    vectors = vectors.select("doc", "idx", "val").checkpoint(eager=True)
+    vectors = vectors.select("doc", "idx", *(["tf"] if "tf" in vectors.columns else []), "val").checkpoint(eager=True)
     points, membership = N.collapse(vectors, vectors.select("doc", F.col("doc").alias("ord")))
     labelled = N.dbscan(points, similarity, min_samples, block).checkpoint(eager=True)
     clustered = points.join(labelled.select("pid", "cluster"), "pid").checkpoint(eager=True)
