@@ -26,6 +26,7 @@ Plan (all shuffles keyed by generated block ids, so no content key can be hot):
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -151,6 +152,14 @@ def _links_fn(thr: float):
         n = len(pts)
         cc = core[ii] & core[jj]
         lab = _local_components(n, ii[cc], jj[cc])
+        # centre each local star on its lowest pid, so the global label
+        # propagation starts close to its fixed point
+        keys = pid.to_numpy() if pid.dtype.kind in "iu" else np.arange(n)
+        rank = np.empty(n, dtype=np.int64)
+        rank[np.argsort(keys, kind="stable")] = np.arange(n)
+        best = np.full(n, n, dtype=np.int64)
+        np.minimum.at(best, lab, rank)
+        lab = np.argsort(rank)[best[lab]]
         star = np.nonzero(core & (lab != np.arange(n)))[0]
         # border links: non-core endpoint -> local component of the core endpoint
         b1 = (~core[ii]) & core[jj]
@@ -172,7 +181,10 @@ def _replicate(points: DataFrame, n_blocks: int) -> DataFrame:
     blk = F.pmod(F.xxhash64("pid"), F.lit(n_blocks)).cast("int")
     p = points.withColumn("blk", blk)
     j = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("j")
-    return p.select("*", j).select("*", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj")).drop("j")
+    pairs = p.select("*", j).select("*", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj")).drop("j")
+    # one block pair per task: the Gram work is CPU-bound, so AQE must not merge these
+    n_pairs = n_blocks * (n_blocks + 1) // 2
+    return pairs.repartition(n_pairs, "bi", "bj")
 
 
 def _pid_type(points: DataFrame) -> str:
@@ -226,6 +238,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         jumped = jumped.checkpoint(eager=True)
         changed = jumped.filter(F.col("lab") != F.col("old")).count()
         lab = jumped.select("pid", "lab")
+        if os.environ.get("REFRAIN_TRACE"):
+            print(f"components round {_ + 1}: {changed} labels changed", flush=True)
         if changed == 0:
             break
     return lab.select("pid", F.col("lab").alias("root"))

@@ -69,11 +69,13 @@ def summarise(members: DataFrame, dists: DataFrame) -> DataFrame:
         "pattern_key",
         F.substring(F.md5(F.concat_ws("|", F.col("size").cast("string"), "_h1", "_h2", "_u1", "_u2")), 1, 8),
     )
-    # Further samples in member order, skipping texts equal to the representative
+    # Further samples in member order, skipping texts equal to the representative.
+    # Ranking runs on narrow (cluster, ord) rows; texts join back for the winners only.
     others = m.join(stats.select("cluster", "representative_text"), "cluster").filter(
         F.col("text") != F.col("representative_text")
     )
-    picked = top_k(others.select("cluster", "ord", "text"), ["cluster"], [F.col("ord")], SAMPLES - 1, ["ord"])
+    picked = top_k(others.select("cluster", "ord"), ["cluster"], [F.col("ord")], SAMPLES - 1, ["ord"])
+    picked = picked.join(m.select("cluster", "ord", "text"), ["cluster", "ord"])
     samples = picked.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("_s"))
     # First ten timestamps
     early = top_k(m.select("cluster", "ord", "ts"), ["cluster"], [F.col("ts"), F.col("ord")], DATES, ["ord"])

@@ -12,6 +12,7 @@ Dense inputs (``ARRAY<FLOAT>``) use the same shape with ``idx = 0..d-1``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +99,8 @@ def tfidf_vectors(
         docs = spread_by_doc(docs)
     # materialised once: the vocabulary, the document count and the weights all
     # read it (left lazy, concurrent subqueries would each re-tokenise the corpus)
-    tf = term_frequencies(docs).checkpoint(eager=True)
+    tf = term_frequencies(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    tf.count()
     # documents and their number come from tf itself: no second pass over the text
     keys = tf.select("doc").distinct()
     n_docs = keys.select(F.count(F.lit(1))).scalar()
@@ -123,6 +125,10 @@ def tfidf_vectors(
         F.coalesce("tf", F.array().cast("array<bigint>")).alias("tf"),
         F.coalesce("val", F.array().cast("array<double>")).alias("val"),
     )
+    # the vectors are reused by every later step: write them once, then drop the cached tf
+    vectors = vectors.checkpoint(eager=True)
+    vocab = vocab.checkpoint(eager=True)
+    tf.unpersist()
     return vectors, vocab
 
 

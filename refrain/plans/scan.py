@@ -24,10 +24,13 @@ def cluster_messages(corpus: DataFrame, similarity: float = 0.75, min_samples: i
     ``doc, idx, val`` keyed by ``ord`` (C4, e.g. a model's embeddings).
     Returns ``(members, clustered_points)``; members are messages with ``cluster, pid``.
     """
-    if vectors is None:
+    # read twice (tokens, then member texts): write it once instead of re-reading the source
+    corpus = corpus.checkpoint(eager=True)
+    if vectors is None:  # tfidf_vectors returns checkpointed vectors
         vectors, _ = tfidf_vectors(corpus.select(F.col("ord").alias("doc"), "text"), spread=False)
-    # reused by the collapse, the membership map and the centroids: cut lineage once
-    vectors = vectors.select("doc", "idx", *(["tf"] if "tf" in vectors.columns else []), "val").checkpoint(eager=True)
+    else:  # reused by the collapse, the membership map and the centroids: cut lineage once
+        vectors = vectors.checkpoint(eager=True)
+    vectors = vectors.select("doc", "idx", *(["tf"] if "tf" in vectors.columns else []), "val")
     points, membership = N.collapse(vectors, vectors.select("doc", F.col("doc").alias("ord")))
     labelled = N.dbscan(points, similarity, min_samples, block).checkpoint(eager=True)
     clustered = points.join(labelled.select("pid", "cluster"), "pid").checkpoint(eager=True)
