@@ -235,10 +235,10 @@ def catalog_values(path: str, tool: bool) -> tuple[str, str]:
     return cat, f"SELECT * FROM (VALUES {kws}) AS k(pos, id, kw_pos, keyword)"
 
 
-def catalog_hits(texts_sql: str, kw_sql: str) -> str:
+def catalog_hits(texts_sql: str, kw_sql: str, prefix: str = "") -> str:
     return f"""
-    per AS (SELECT k.id, k.pos, k.kw_pos, k.keyword, count(*) AS hits
+    {prefix}per AS (SELECT k.id, k.pos, k.kw_pos, k.keyword, count(*) AS hits
             FROM (SELECT lower(text) AS t FROM ({texts_sql})) tx JOIN ({kw_sql}) k ON contains(tx.t, lower(k.keyword))
             GROUP BY ALL),
-    hits AS (SELECT id, pos, CAST(sum(hits) AS BIGINT) AS hit_count, list(keyword ORDER BY kw_pos) AS matched_keywords
-             FROM per GROUP BY id, pos)"""
+    {prefix}hits AS (SELECT id, pos, CAST(sum(hits) AS BIGINT) AS hit_count, list(keyword ORDER BY kw_pos) AS matched_keywords
+             FROM {prefix}per GROUP BY id, pos)"""

@@ -577,3 +577,84 @@ def j9_category_override(spark, sf):
 )
 def d5_category_requests(spark, sf):
     return I.category_requests(_c8(spark, sf))
+
+
+# ---------------------------------------------------------------- more inventory rows
+from refrain.operators import patterns as PT  # noqa: E402
+from refrain.sources.curated import labels, labels_sql  # noqa: E402
+from refrain.plans.scan import cluster_messages  # noqa: E402
+
+
+@register(
+    "a9_centroids",
+    f"""WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF}, {_DB},
+    mem AS (SELECT c.ord, lab.cluster FROM corpus c JOIN vkey k ON k.doc = c.ord JOIN pt ON pt.key = k.key JOIN lab ON lab.pid = pt.pid),
+    csize AS (SELECT cluster, count(*) AS size FROM mem GROUP BY cluster)
+    SELECT m.cluster, v.idx, round(sum(v.val) / any_value(s.size), 6) AS c
+    FROM mem m JOIN vec v ON v.doc = m.ord JOIN csize s ON s.cluster = m.cluster GROUP BY m.cluster, v.idx""",
+)
+def a9_centroids(spark, sf):
+    _, clustered = cluster_messages(doc_corpus(spark, sf), SIMILARITY, MIN_SAMPLES)
+    return PT.centroids(clustered).select("cluster", "idx", F.round("c", 6).alias("c"))
+
+
+@register("a13_term_statistics", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF} SELECT term, cf, df FROM stats")
+def a13_term_statistics(spark, sf):
+    c = doc_corpus(spark, sf).select(F.col("ord").alias("doc"), "text")
+    return V.term_statistics(V.term_frequencies(c))
+
+
+@register(
+    "j11_label_override",
+    f"""WITH p AS ({_C8_SQL}) SELECT p.id, coalesce(nullif(trim(l.label), ''), p.label) AS label
+        FROM p LEFT JOIN ({labels_sql()}) l USING (id)""",
+)
+def j11_label_override(spark, sf):
+    return I.apply_labels(_c8(spark, sf), labels(spark)).select("id", "label")
+
+
+@register(
+    "d5_label_requests",
+    f"""WITH p AS ({_C8_SQL}) SELECT 'label:' || CAST(floor((CAST(regexp_extract(id, '(\\d+)$', 1) AS INTEGER) - 1) / {I.PATTERNS_PER_LABEL_BATCH}) AS BIGINT) AS request_id,
+        list(id || ': ' || label ORDER BY id) AS items FROM p GROUP BY 1""",
+)
+def d5_label_requests(spark, sf):
+    return I.label_requests(_c8(spark, sf))
+
+
+def _feature_inputs(spark, sf):
+    pats = _c8(spark, sf)
+    n_cand = pats.filter(RC.is_skill_candidate(F.col("category"), F.col("size"))).agg(F.count(F.lit(1)).alias("n"))
+    texts = _lower_texts(spark, sf)
+    n_skill = K.skill_matches(texts, CS.skill_catalog(spark)).agg(F.count(F.lit(1)).alias("n"))
+    n_tool = K.tool_matches(texts, CS.tool_catalog(spark)).agg(F.count(F.lit(1)).alias("n"))
+    return n_cand, n_skill, n_tool
+
+
+_GAPS_SQL = f"""WITH p AS ({_C8_SQL}),
+    {O.catalog_hits(ALL_MESSAGES_SQL, _SKILL_KW)},
+    sk AS (SELECT count(*) AS n FROM (SELECT id FROM hits ORDER BY hit_count DESC, pos LIMIT {K.TOP_SKILLS})),
+    {O.catalog_hits(ALL_MESSAGES_SQL, _TOOL_KW, "t_")},
+    th AS (SELECT h.id, h.hit_count, c.install, h.pos FROM t_hits h JOIN ({_TOOL_CAT}) c USING (id, pos)),
+    tl AS (SELECT count(DISTINCT install) AS n FROM th),
+    nc AS (SELECT count(*) AS n FROM p WHERE {_SKILL_CAND}),
+    f AS ({_FEATURES_SQL}),
+    g AS (
+        SELECT project_path, 'instructions file' AS feature, has_context_file AS present, 'high' AS severity FROM f
+        UNION ALL SELECT project_path, 'skills', has_skills, CASE WHEN (SELECT n FROM nc) > 0 AND NOT has_skills THEN 'high' ELSE 'medium' END FROM f
+        UNION ALL SELECT project_path, 'community skills', (SELECT n FROM sk) = 0, CASE WHEN (SELECT n FROM sk) > 0 THEN 'medium' ELSE 'low' END FROM f
+        UNION ALL SELECT project_path, 'tool servers', false, CASE WHEN (SELECT n FROM tl) > 0 THEN 'high' ELSE 'low' END FROM f
+        UNION ALL SELECT project_path, 'local config directory', has_local_md, 'low' FROM f)"""
+
+
+@register("d2_feature_gaps", f"{_GAPS_SQL} SELECT * FROM g")
+def d2_feature_gaps(spark, sf):
+    n_cand, n_skill, n_tool = _feature_inputs(spark, sf)
+    return RC.feature_gaps(_projects(spark, sf), inventory(spark), n_cand, n_skill, n_tool, tools_configured=False)
+
+
+@register("f17_missing_features", f"{_GAPS_SQL} SELECT * FROM g WHERE NOT present")
+def f17_missing_features(spark, sf):
+    n_cand, n_skill, n_tool = _feature_inputs(spark, sf)
+    gaps = RC.feature_gaps(_projects(spark, sf), inventory(spark), n_cand, n_skill, n_tool, tools_configured=False)
+    return RC.missing_features(gaps)

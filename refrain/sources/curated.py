@@ -128,3 +128,18 @@ def responses_sql() -> str:
 
     vals = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in RESPONSES)
     return f"SELECT * FROM (VALUES {vals}) AS t(request_id, kind, reply)"
+
+
+# Our own label replies (J11): one per pattern ID, a blank one is ignored.
+LABELS = [("pat-001", "Recurring prose about the same topic"), ("pat-003", "   "), ("pat-099", "No such pattern")]
+
+
+def labels(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LABELS, "id string, label string")
+
+
+def labels_sql() -> str:
+    from refrain.plans.oracle import q
+
+    vals = ", ".join(f"({q(a)}, {q(b)})" for a, b in LABELS)
+    return f"SELECT * FROM (VALUES {vals}) AS t(id, label)"
