@@ -658,3 +658,17 @@ def f17_missing_features(spark, sf):
     n_cand, n_skill, n_tool = _feature_inputs(spark, sf)
     gaps = RC.feature_gaps(_projects(spark, sf), inventory(spark), n_cand, n_skill, n_tool, tools_configured=False)
     return RC.missing_features(gaps)
+
+
+CONV_SIMILARITY = 0.5  # conversations only cluster at <= 0.6; 0.5 also makes zero vectors neighbour every point
+
+
+@register(
+    "c8_conversation_patterns",
+    f"""WITH p AS ({O.patterns_sql(O.substantial_corpus(O.conversation_messages()), CONV_SIMILARITY, MIN_SAMPLES)})
+        SELECT id, pattern_key, label, size, representative_text, sample_texts, wasted_input_tokens, wasted_output_tokens FROM p""",
+)
+def c8_conversation_patterns(spark, sf):
+    corpus = M.substantial(V.spread_by_doc(conversation_messages(spark, sf), "ord"))
+    p = find_patterns(corpus, CONV_SIMILARITY, MIN_SAMPLES, classify=False)
+    return p.select("id", "pattern_key", "label", "size", "representative_text", "sample_texts", "wasted_input_tokens", "wasted_output_tokens")
