@@ -57,6 +57,7 @@ def summarise(members: DataFrame, dists: DataFrame) -> DataFrame:
     stats = m.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"),
         F.min_by("text", rep_key).alias("rep_source"),
+        F.min_by("pid", rep_key).alias("rep_pid"),
         F.avg(F.length("text")).alias("avg_chars"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
@@ -84,6 +85,7 @@ def summarise(members: DataFrame, dists: DataFrame) -> DataFrame:
     return out.select(
         "cluster",
         "size",
+        "rep_pid",
         "representative_text",
         F.concat(F.array("representative_text"), F.coalesce(F.col("_s.text"), F.array().cast("array<string>"))).alias("sample_texts"),
         F.coalesce(F.col("_d.ts"), F.array().cast("array<timestamp>")).alias("dates"),

@@ -50,18 +50,32 @@ def find_patterns(
     keywords: DataFrame | None = None,
     block: int = N.DEFAULT_BLOCK,
     vectors: DataFrame | None = None,
+    method: str = "keyword",
+    exemplars: DataFrame | None = None,
 ) -> DataFrame:
     """Substantial messages -> ``patterns`` (one row per cluster, ranked ``pat-NNN``).
 
-    With ``classify`` the keyword classifier sets ``category`` and one-off
+    With ``classify`` the local classifier sets ``category`` and one-off
     clusters are dropped (their IDs stay unused); without it categories are null.
+    C12: ``method="keyword"`` counts keywords in the representative text;
+    ``method="centroid"`` compares the representative's vector with the
+    category centroids of ``exemplars`` (``priority, category, idx, val``, same
+    vector space as ``vectors``).
     """
     members, clustered = cluster_messages(corpus, similarity, min_samples, block, vectors)
     cents = P.centroids(clustered)
     dists = P.centroid_distances(clustered, cents)
     summary = P.rank_patterns(P.summarise(members.select("cluster", "pid", "ord", "uuid", "ts", "text"), dists))
     summary = summary.withColumn("label", P.infer_label(F.col("representative_text")))
-    if classify:
+    if classify and method == "centroid":
+        if exemplars is None:
+            raise ValueError("method='centroid' needs exemplar vectors")
+        rep_vec = clustered.select(F.col("pid").alias("rep_pid"), "idx", "val")
+        items = summary.select("cluster", "rep_pid").join(rep_vec, "rep_pid").select("cluster", "idx", "val")
+        cats = C.classify_by_centroid(items, "cluster", C.category_centroids(exemplars)).select("cluster", "category")
+        summary = C.drop_one_offs(summary.join(cats, "cluster", "left").withColumn(
+            "category", F.coalesce("category", F.lit(C.ONE_OFF))))
+    elif classify:
         kw = keywords if keywords is not None else C.keyword_table(corpus.sparkSession)
         summary = C.drop_one_offs(C.classify_by_keywords(summary, "cluster", "representative_text", kw))
     else:

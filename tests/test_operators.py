@@ -91,3 +91,27 @@ def test_scan_results_round_trip(spark):
     assert not save_scan(p2.limit(0), path, "c", dt.datetime(2024, 3, 1))
     got = load_latest_scan(spark, path)
     assert sorted((r.id, r.size) for r in got.collect()) == [("pat-001", 5), ("pat-002", 4)]
+
+
+def test_centroid_classifier_selection(spark):
+    """The centroid method labels each pattern by its representative's vector."""
+    from refrain.plans.scan import find_patterns
+
+    rows, vecs = [], []
+    dirs = {"repeatable-workflow": [1.0, 0.0, 0.0], "boilerplate-request": [0.0, 1.0, 0.0]}
+    i = 0
+    for cat, d in dirs.items():
+        for k in range(4):
+            i += 1
+            rows.append((f"m{i}", "s", "/p", dt.datetime(2024, 1, i), f"{cat} request number {k} with enough text", None, i))
+            v = [x + 0.01 * k for x in d]
+            n = sum(x * x for x in v) ** 0.5
+            vecs.append((i, [0, 1, 2], [x / n for x in v]))
+    msgs = spark.createDataFrame(rows, "uuid string, session_id string, project_path string, ts timestamp, text string, parent_uuid string, ord bigint")
+    vectors = spark.createDataFrame(vecs, "doc bigint, idx array<int>, val array<double>")
+    ex = spark.createDataFrame(
+        [(0, "repeatable-workflow", [0, 1, 2], [1.0, 0.0, 0.0]), (1, "boilerplate-request", [0, 1, 2], [0.0, 1.0, 0.0])],
+        "priority int, category string, idx array<int>, val array<double>",
+    )
+    got = {r.id: r.category for r in find_patterns(msgs, 0.9, 3, vectors=vectors, method="centroid", exemplars=ex).collect()}
+    assert sorted(got.values()) == ["boilerplate-request", "repeatable-workflow"]
