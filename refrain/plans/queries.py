@@ -211,12 +211,17 @@ from refrain.sources.curated import curated_messages, curated_sql  # noqa: E402
 
 
 def all_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents, user turns and curated rows as (uuid, text)."""
-    return (
+    """Documents, user turns and curated rows as (uuid, text), spread by message.
+
+    The regex and substring work that follows is per row; hashing by uuid
+    spreads inputs stored in few row groups over every core.
+    """
+    msgs = (
         documents_messages(spark, sf).select("uuid", "text")
         .unionByName(conversation_messages(spark, sf).select("uuid", "text"))
         .unionByName(curated_messages(spark).select("uuid", "text"))
     )
+    return V.spread_by_doc(msgs, "uuid")
 
 
 ALL_MESSAGES_SQL = f"""
@@ -250,7 +255,7 @@ DOCS_AND_CURATED_SQL = f"SELECT * FROM ({O.documents_messages()}) UNION ALL SELE
 
 
 def docs_and_curated(spark: SparkSession, sf: str) -> DataFrame:
-    return documents_messages(spark, sf).unionByName(curated_messages(spark))
+    return V.spread_by_doc(documents_messages(spark, sf).unionByName(curated_messages(spark)), "ord")
 
 
 @register("c10_keyword_categories", O.keyword_category(f"({DOCS_AND_CURATED_SQL})", "uuid", "text"))
@@ -264,7 +269,7 @@ _CLASSIFY_SUMM = f"summ2 AS (SELECT s.*, kc.category FROM summ s JOIN ({O.keywor
 
 @register("f13_patterns_classified", O.patterns_sql(O.substantial_corpus(DOCS_AND_CURATED_SQL), SIMILARITY, MIN_SAMPLES, _CLASSIFY_SUMM))
 def f13_patterns_classified(spark, sf):
-    corpus = M.substantial(V.spread_by_doc(docs_and_curated(spark, sf), "ord"))
+    corpus = M.substantial(docs_and_curated(spark, sf))
     return find_patterns(corpus, SIMILARITY, MIN_SAMPLES, classify=True)
 
 
@@ -398,7 +403,7 @@ def _c8(spark, sf):
 
 
 def _f13(spark, sf):
-    corpus = M.substantial(V.spread_by_doc(docs_and_curated(spark, sf), "ord"))
+    corpus = M.substantial(docs_and_curated(spark, sf))
     return find_patterns(corpus, SIMILARITY, MIN_SAMPLES, classify=True)
 
 
