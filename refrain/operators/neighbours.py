@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ from refrain.session import ensure_checkpoint_dir
 
 DEFAULT_BLOCK = 2048
 EPS_SLACK = 1e-9
+LAST_RUN = {}  # rounds and timings of the latest component search, for bench.py
 
 
 def eps2(similarity: float) -> float:
@@ -222,6 +224,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
     )
     lab = nodes.select("pid", F.col("pid").alias("lab"))
+    started = time.time()
     for _ in range(max_rounds):
         nb = (
             both.join(lab.withColumnRenamed("pid", "dst"), "dst")
@@ -242,6 +245,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
             print(f"components round {_ + 1}: {changed} labels changed", flush=True)
         if changed == 0:
             break
+    LAST_RUN.update(component_rounds=_ + 1, component_seconds=round(time.time() - started, 3))
     return lab.select("pid", F.col("lab").alias("root"))
 
 
