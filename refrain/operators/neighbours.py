@@ -184,9 +184,13 @@ def _replicate(points: DataFrame, n_blocks: int) -> DataFrame:
     p = points.withColumn("blk", blk)
     j = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("j")
     pairs = p.select("*", j).select("*", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj")).drop("j")
-    # one block pair per task: the Gram work is CPU-bound, so AQE must not merge these
+    # CPU-bound groups: a fixed task count (AQE must not merge them into a few
+    # tasks), one pair per task when pairs are few, several per task at scale.
+    # Memory per group stays two blocks either way.
+    spark = points.sparkSession
     n_pairs = n_blocks * (n_blocks + 1) // 2
-    return pairs.repartition(n_pairs, "bi", "bj")
+    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return pairs.repartition(min(n_pairs, cap), "bi", "bj")
 
 
 def _pid_type(points: DataFrame) -> str:
