@@ -143,7 +143,7 @@ def _links_fn(thr: float):
             ii, jj = np.nonzero(np.triu(a, 1))
         else:
             if len(left) == 0 or len(right) == 0:
-                return pd.DataFrame({"kind": pd.Series([], dtype=str), "a": pdf["pid"].iloc[:0], "b": pdf["pid"].iloc[:0]})
+                return pd.DataFrame({"kind": pd.Series([], dtype=object), "a": pdf["pid"].iloc[:0], "b": pdf["pid"].iloc[:0]})
             pts = pd.concat([left, right], ignore_index=True)
             xl, nl = _densify(left, dim)
             xr, nr = _densify(right, dim)
@@ -174,7 +174,7 @@ def _links_fn(thr: float):
         kinds = ["e"] * len(star) + ["b"] * len(bp)
         a = pd.concat([pid.iloc[lab[star]], pid.iloc[bp]], ignore_index=True)
         b = pd.concat([pid.iloc[star], pid.iloc[bc]], ignore_index=True)
-        return pd.DataFrame({"kind": kinds, "a": a, "b": b})
+        return pd.DataFrame({"kind": pd.Series(kinds, dtype=object), "a": a, "b": b})
 
     return fn
 
@@ -258,10 +258,17 @@ def dbscan(points: DataFrame, similarity: float = 0.75, min_samples: int = 3, bl
 
     ``cluster`` is the root: the lowest pid among the cluster's core points,
     i.e. the order in which a sequential scan would discover the cluster.
-    Noise points are not returned.
+    Noise points are not returned. ``pid`` may be any orderable type (e.g. a
+    struct order key); the Gram tasks then work on a surrogate BIGINT that is
+    materialised by a checkpoint, so retries see the same numbers.
     """
     ensure_checkpoint_dir(points.sparkSession)
     points = points.checkpoint(eager=True)
+    integral = points.schema["pid"].dataType.typeName() in ("long", "integer", "short", "byte")
+    if not integral:
+        points = points.withColumn("nid", F.monotonically_increasing_id()).checkpoint(eager=True)
+        idmap = points.select(F.col("nid").alias("pid"), F.col("pid").alias("opid"))
+        points = points.drop("pid").withColumnRenamed("nid", "pid")
     n_blocks = block_count(points.count(), block)
     weights = neighbour_weights(points, similarity, n_blocks)
     flagged = points.join(weights, "pid").withColumn("core", F.col("n_neighbours") >= F.lit(min_samples))
@@ -269,12 +276,21 @@ def dbscan(points: DataFrame, similarity: float = 0.75, min_samples: int = 3, bl
     links = core_links(flagged, similarity, n_blocks).checkpoint(eager=True)
     cores = flagged.filter("core").select("pid")
     roots = connected_components(cores, links.filter(F.col("kind") == "e").select("a", "b"))
+    if integral:
+        roots = roots.select("pid", F.col("root").alias("cluster"))
+    else:  # components are label-independent: name each by its lowest original id
+        named = roots.join(idmap, "pid")
+        first = named.groupBy("root").agg(F.min("opid").alias("cluster"))
+        roots = named.join(first, "root").select("pid", "cluster").checkpoint(eager=True)
     border = (
         links.filter(F.col("kind") == "b")
-        .join(roots.select(F.col("pid").alias("b"), "root"), "b")
+        .join(roots.select(F.col("pid").alias("b"), "cluster"), "b")
         .groupBy(F.col("a").alias("pid"))
-        .agg(F.min("root").alias("cluster"))
+        .agg(F.min("cluster").alias("cluster"))
     )
-    return roots.select("pid", F.col("root").alias("cluster"), F.lit(True).alias("core")).unionByName(
+    out = roots.select("pid", "cluster", F.lit(True).alias("core")).unionByName(
         border.select("pid", "cluster", F.lit(False).alias("core"))
     )
+    if not integral:
+        out = out.join(idmap, "pid").select(F.col("opid").alias("pid"), "cluster", "core")
+    return out

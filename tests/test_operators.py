@@ -115,3 +115,18 @@ def test_centroid_classifier_selection(spark):
     )
     got = {r.id: r.category for r in find_patterns(msgs, 0.9, 3, vectors=vectors, method="centroid", exemplars=ex).collect()}
     assert sorted(got.values()) == ["boilerplate-request", "repeatable-workflow"]
+
+
+def test_dbscan_without_any_neighbours(spark):
+    """Orthogonal points: no links at all, so every point is noise (empty block outputs)."""
+    rows = [(i, 1, [i], [1.0]) for i in range(6)]
+    pts = spark.createDataFrame(rows, "pid bigint, mult bigint, idx array<int>, val array<double>")
+    assert N.dbscan(pts, 0.75, 2, block=2).count() == 0
+
+
+def test_dbscan_struct_ids(spark):
+    """Struct order keys go through a surrogate id; clusters are named by the lowest key."""
+    rows = [({"c": 1, "t": i}, 1, [0, 1], [1.0, 0.0]) for i in range(3)] + [({"c": 0, "t": 9}, 1, [0, 1], [0.0, 1.0])]
+    pts = spark.createDataFrame(rows, "pid struct<c:bigint,t:bigint>, mult bigint, idx array<int>, val array<double>")
+    got = {(r.pid.c, r.pid.t): (r.cluster.c, r.cluster.t) for r in N.dbscan(pts, 0.9, 3, block=2).collect()}
+    assert got == {(1, 0): (1, 0), (1, 1): (1, 0), (1, 2): (1, 0)}
