@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ONE_OFF = "one-off-task"
 MIN_CONFIDENCE = 0.25  # fixed value: centroid similarity below this is a one-off
+MAX_BROADCAST_CENTROID_ROWS = 1_000_000
 
 # Fixed values that must equal the reference: keyword lists per category, in
 # declared order (earlier category wins a tie). Trailing spaces are part of the keyword.
@@ -71,7 +72,10 @@ def classify_by_centroid(items: DataFrame, key: str, cents: DataFrame, min_confi
     e = items.select(F.col(key).alias("_k"), F.explode(F.arrays_zip("idx", "val")).alias("e")).select(
         "_k", F.col("e.idx").alias("idx"), F.col("e.val").alias("val")
     )
-    sims = e.join(F.broadcast(cents), "idx").groupBy("_k", "priority", "category").agg(F.sum(F.col("val") * F.col("c")).alias("sim"))
+    # categories x dimensions rows: broadcast only under a checked bound
+    if cents.count() <= MAX_BROADCAST_CENTROID_ROWS:
+        cents = F.broadcast(cents)
+    sims = e.join(cents, "idx").groupBy("_k", "priority", "category").agg(F.sum(F.col("val") * F.col("c")).alias("sim"))
     sims = sims.filter(F.col("sim") > 0)
     best = sims.groupBy("_k").agg(
         F.max_by("category", F.struct(F.col("sim"), -F.col("priority"))).alias("_cat"), F.max("sim").alias("_sim")

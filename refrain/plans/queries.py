@@ -445,20 +445,18 @@ def f20_explain_rows(spark, sf):
     return RC.explain_rows(_f13(spark, sf))
 
 
-@register(
-    "f16_pattern_lookup",
-    f"""WITH p AS ({_C8_SQL}) SELECT id, label, size, CAST(NULL AS VARCHAR[]) AS known_ids FROM p WHERE id = 'pat-002'
-        UNION ALL SELECT NULL, NULL, NULL, list(id ORDER BY id) FROM p HAVING count(*) FILTER (WHERE id = 'pat-002') = 0""",
-)
+def _lookup_sql(pid: str) -> str:
+    return f"""WITH p AS ({_C8_SQL})
+        SELECT id, label, size, true AS found FROM p WHERE id = {O.q(pid)}
+        UNION ALL SELECT id, label, size, false AS found FROM p WHERE (SELECT count(*) FROM p WHERE id = {O.q(pid)}) = 0"""
+
+
+@register("f16_pattern_lookup", _lookup_sql("pat-002"))
 def f16_pattern_lookup(spark, sf):
     return RC.lookup(_c8(spark, sf), "pat-002")
 
 
-@register(
-    "f16_pattern_lookup_missing",
-    f"""WITH p AS ({_C8_SQL}) SELECT id, label, size, CAST(NULL AS VARCHAR[]) AS known_ids FROM p WHERE id = 'pat-999'
-        UNION ALL SELECT NULL, NULL, NULL, list(id ORDER BY id) FROM p HAVING count(*) FILTER (WHERE id = 'pat-999') = 0""",
-)
+@register("f16_pattern_lookup_missing", _lookup_sql("pat-999"))
 def f16_pattern_lookup_missing(spark, sf):
     return RC.lookup(_c8(spark, sf), "pat-999")
 
@@ -521,14 +519,16 @@ def d4_skill_drafts(spark, sf):
 @register(
     "d4_context_patch",
     f"""WITH p AS ({_F13_SQL}),
-    l AS (SELECT list('- ' || left(sample_texts[1], 100) ORDER BY id) FILTER (WHERE category = 'context-re-explanation') AS lines FROM p)
-    SELECT f.project_path, 'CLAUDE.md' AS path,
-           CASE WHEN len(coalesce(l.lines, [])) > 0 THEN '## Project context' || chr(10) || array_to_string(l.lines, chr(10))
-                ELSE 'No repeated context found.' END AS patch
-    FROM ({_FEATURES_SQL}) f, l WHERE f.has_context_file""",
+    ctx AS (SELECT id, '- ' || left(sample_texts[1], 100) AS line FROM p WHERE category = 'context-re-explanation'),
+    has AS (SELECT count(*) AS n FROM ({inventory_sql()}) WHERE project_path = {O.q(GAP_PROJECT)} AND rel_path = 'CLAUDE.md')
+    SELECT {O.q(GAP_PROJECT)} AS project_path, 'CLAUDE.md' AS path, 0 AS line_no,
+           CASE WHEN (SELECT count(*) FROM ctx) > 0 THEN '## Project context' ELSE 'No repeated context found.' END AS line
+    WHERE (SELECT n FROM has) > 0
+    UNION ALL
+    SELECT {O.q(GAP_PROJECT)}, 'CLAUDE.md', CAST(regexp_extract(id, '(\\d+)$', 1) AS INTEGER), line FROM ctx WHERE (SELECT n FROM has) > 0""",
 )
 def d4_context_patch(spark, sf):
-    return RC.context_patch(_f13(spark, sf), _projects(spark, sf), inventory(spark))
+    return RC.context_patch(_f13(spark, sf), inventory(spark), GAP_PROJECT)
 
 
 @register(
