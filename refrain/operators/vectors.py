@@ -104,7 +104,8 @@ def tfidf_vectors(
     # documents and their number come from tf itself: no second pass over the text
     keys = tf.select("doc").distinct()
     n_docs = keys.select(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(term_statistics(tf), n_docs, size)
+    # written before the weights use it, so the statistics are computed once
+    vocab = vocabulary(term_statistics(tf), n_docs, size).checkpoint(eager=True)
     weighted = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").select(
         "doc", "idx", "tf", ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("w")
     )
@@ -127,7 +128,6 @@ def tfidf_vectors(
     )
     # the vectors are reused by every later step: write them once, then drop the cached tf
     vectors = vectors.checkpoint(eager=True)
-    vocab = vocab.checkpoint(eager=True)
     tf.unpersist()
     return vectors, vocab
 
