@@ -96,13 +96,36 @@ def summarise(members: DataFrame, dists: DataFrame) -> DataFrame:
     )
 
 
+def global_row_number(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
+    """1-based position of every row in a total order, without a single-partition window.
+
+    A distributed range sort tags each row with its partition and its place in
+    that partition; the tagged rows are checkpointed (so every later read sees
+    the same partition boundaries), and each partition's offset comes from the
+    row counts per partition (one row per partition, broadcast).
+    """
+    tagged = (
+        df.orderBy(*order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .checkpoint(eager=True)
+    )
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return tagged.join(F.broadcast(offsets), "_part").select(
+        *df.columns, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).alias(name)
+    )
+
+
 def rank_patterns(summary: DataFrame) -> DataFrame:
     """``pat-NNN`` by size descending, ties in discovery order (cluster root).
 
-    One narrow row per cluster goes through the single-partition window.
+    The rank is a global row number over narrow (cluster, size) rows, computed
+    with a range-partitioned sort rather than one task holding every cluster.
     """
-    w = Window.orderBy(F.desc("size"), F.asc("cluster"))
-    ranks = summary.select("cluster", F.format_string("pat-%03d", F.row_number().over(w)).alias("id"))
+    ranked = global_row_number(summary.select("cluster", "size"), [F.desc("size"), F.asc("cluster")])
+    ranks = ranked.select("cluster", F.format_string("pat-%03d", F.col("rn")).alias("id"))
     return summary.join(ranks, "cluster")
 
 

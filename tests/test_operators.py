@@ -130,3 +130,15 @@ def test_dbscan_struct_ids(spark):
     pts = spark.createDataFrame(rows, "pid struct<c:bigint,t:bigint>, mult bigint, idx array<int>, val array<double>")
     got = {(r.pid.c, r.pid.t): (r.cluster.c, r.cluster.t) for r in N.dbscan(pts, 0.9, 3, block=2).collect()}
     assert got == {(1, 0): (1, 0), (1, 1): (1, 0), (1, 2): (1, 0)}
+
+
+def test_global_row_number_matches_window(spark):
+    from pyspark.sql import Window
+
+    from refrain.operators.patterns import global_row_number
+
+    df = spark.range(0, 5000).select((F.col("id") % 37).alias("size"), F.col("id").alias("cluster")).repartition(7)
+    got = {r.cluster: r.rn for r in global_row_number(df, [F.desc("size"), F.asc("cluster")]).collect()}
+    w = Window.orderBy(F.desc("size"), F.asc("cluster"))
+    want = {r.cluster: r.rn for r in df.select("cluster", F.row_number().over(w).alias("rn")).collect()}
+    assert got == want
