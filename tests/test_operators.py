@@ -142,3 +142,20 @@ def test_global_row_number_matches_window(spark):
     w = Window.orderBy(F.desc("size"), F.asc("cluster"))
     want = {r.cluster: r.rn for r in df.select("cluster", F.row_number().over(w).alias("rn")).collect()}
     assert got == want
+
+
+def test_export_scan_json_iso_dates(spark):
+    import glob
+    import json
+
+    from refrain.sources.results import export_scan_json
+
+    path = tempfile.mkdtemp(prefix="refrain-export-") + "/scan"
+    p = spark.createDataFrame(
+        [("pat-001", "x", None, 3, ["a"], [dt.datetime(2024, 1, 3, 4, 5, 6)], 10, 20)],
+        "id string, label string, category string, size bigint, sample_texts array<string>, dates array<timestamp>, "
+        "wasted_input_tokens bigint, wasted_output_tokens bigint",
+    )
+    export_scan_json(p, path, dt.datetime(2024, 2, 1))
+    rows = [json.loads(line) for f in glob.glob(path + "/*.json") for line in open(f)]
+    assert rows[0]["dates"] == ["2024-01-03T04:05:06.000000"] and rows[0]["saved_at"].startswith("2024-02-01T00:00:00")
