@@ -167,7 +167,7 @@ def c3_zero_vectors(spark, sf):
 def _doc_points(spark, sf):
     c = doc_corpus(spark, sf)
     vecs, _ = V.tfidf_vectors(c.select(F.col("ord").alias("doc"), "text"), spread=False)
-    vecs = vecs.select("doc", "idx", "tf", "val").checkpoint(eager=True)
+    vecs = vecs.select("doc", "idx", "tf", "val")  # already checkpointed by tfidf_vectors
     return N.collapse(vecs, vecs.select("doc", F.col("doc").alias("ord")))
 
 

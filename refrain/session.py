@@ -32,8 +32,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``;
-    we only pick a scratch folder of our own when the session has none (tests).
+    On a cluster this is the shared folder named by ``spark.checkpoint.dir``
+    (or one already set on the context). Only a local-mode session (tests,
+    bench) without one gets a scratch folder of our own; a cluster session
+    without a shared folder is an error, never a machine-local directory.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         sc.setCheckpointDir(conf)
-    else:
+    elif sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="refrain-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
     return sc.getCheckpointDir()
