@@ -38,6 +38,7 @@ from refrain.session import ensure_checkpoint_dir
 
 DEFAULT_BLOCK = 2048
 EPS_SLACK = 1e-9
+MAX_BROADCAST_LABELS = 2_000_000  # (id, label) rows broadcast in the component rounds
 LAST_RUN = {}  # rounds and timings of the latest component search, for bench.py
 
 
@@ -228,18 +229,21 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
     )
     lab = nodes.select("pid", F.col("pid").alias("lab"))
+    # label tables up to a checked size are broadcast into the joins; larger ones shuffle
+    small = nodes.count() <= MAX_BROADCAST_LABELS
+    bc = F.broadcast if small else (lambda d: d)
     started = time.time()
     for _ in range(max_rounds):
         nb = (
-            both.join(lab.withColumnRenamed("pid", "dst"), "dst")
+            both.join(bc(lab.withColumnRenamed("pid", "dst")), "dst")
             .groupBy(F.col("src").alias("pid"))
             .agg(F.min("lab").alias("nb"))
         )
-        step = lab.join(nb, "pid", "left").select(
+        step = lab.join(bc(nb), "pid", "left").select(
             "pid", F.col("lab").alias("old"), F.least("lab", F.coalesce("nb", "lab")).alias("lab")
         )
         hop = step.select(F.col("pid").alias("hop_pid"), F.col("lab").alias("hop_lab"))
-        jumped = step.join(hop, step["lab"] == hop["hop_pid"]).select(
+        jumped = step.join(bc(hop), step["lab"] == hop["hop_pid"]).select(
             "pid", "old", F.least("lab", "hop_lab").alias("lab")
         )
         jumped = jumped.checkpoint(eager=True)
