@@ -69,7 +69,7 @@ def summarise(members: DataFrame, dists: DataFrame) -> DataFrame:
     stats = stats.withColumn("representative_text", first_line("rep_source", REPRESENTATIVE_CHARS)).withColumn(
         "pattern_key",
         F.substring(F.md5(F.concat_ws("|", F.col("size").cast("string"), "_h1", "_h2", "_u1", "_u2")), 1, 8),
-    )
+    ).checkpoint(eager=True)  # one row per cluster, read by the sample filter and the output
     # Further samples in member order, skipping texts equal to the representative.
     # Ranking runs on narrow (cluster, ord) rows; texts join back for the winners only.
     others = m.join(stats.select("cluster", "representative_text"), "cluster").filter(

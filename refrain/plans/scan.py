@@ -64,7 +64,7 @@ def find_patterns(
     """
     members, clustered = cluster_messages(corpus, similarity, min_samples, block, vectors)
     cents = P.centroids(clustered)
-    dists = P.centroid_distances(clustered, cents)
+    dists = P.centroid_distances(clustered, cents).checkpoint(eager=True)  # one narrow row per point, read three times
     summary = P.rank_patterns(P.summarise(members.select("cluster", "pid", "ord", "uuid", "ts", "text"), dists))
     summary = summary.withColumn("label", P.infer_label(F.col("representative_text")))
     if classify and method == "centroid":
