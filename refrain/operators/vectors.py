@@ -43,8 +43,11 @@ def term_frequencies(docs: DataFrame, key: str = "doc", text: str = "text") -> D
     document list and count can be read from this table alone. The map-side partial aggregate collapses repeats inside a document before
     the shuffle, so the exchange carries distinct (doc, term) pairs only.
     """
+    # tokens are projected once, then unigrams+bigrams are generated from the column
+    # (inlined into the generator, the regex would run once per reference)
+    toks = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("toks"))
     return (
-        docs.select(F.col(key).alias("doc"), F.explode_outer(with_ngrams(tokens(F.col(text)))).alias("term"))
+        toks.select("doc", F.explode_outer(with_ngrams(F.col("toks"))).alias("term"))
         .groupBy("doc", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -146,4 +149,7 @@ def normalise_dense(df: DataFrame, vec: str) -> DataFrame:
     """C3 for dense input: divide by the L2 norm, zero stays zero."""
     v = F.col(vec).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return df.withColumn(vec, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
+    # the norm is repeated once per row and zipped in, so it is not re-evaluated per element
+    return df.withColumn("_norm", norm).withColumn(
+        vec, F.when(F.col("_norm") > 0, F.zip_with(v, F.array_repeat(F.col("_norm"), F.size(v)), lambda x, n: x / n)).otherwise(v)
+    ).drop("_norm")
