@@ -57,7 +57,7 @@ def f1_conversation_user_turns(spark, sf):
 
 @register("f5_project_filter", f"SELECT uuid FROM ({O.documents_messages()}) WHERE project_path = '/home/dev/src1' OR starts_with(project_path, '/home/dev/src1/')")
 def f5_project_filter(spark, sf):
-    return M.filter_project(documents_messages(spark, sf), "/home/dev/src1/").select("uuid")
+    return M.filter_project(documents_messages(spark, sf, project="/home/dev/src1/"), "/home/dev/src1/").select("uuid")
 
 
 _SINCE = M.since_from("30d", AS_OF)
@@ -68,7 +68,7 @@ _SINCE = M.since_from("30d", AS_OF)
     f"SELECT uuid, ts FROM ({O.documents_messages()}) WHERE ts IS NULL OR ts >= TIMESTAMP '{_SINCE:%Y-%m-%d %H:%M:%S}'",
 )
 def f6_lookback_filter(spark, sf):
-    return M.filter_since(documents_messages(spark, sf), _SINCE).select("uuid", "ts")
+    return M.filter_since(documents_messages(spark, sf, since=_SINCE), _SINCE).select("uuid", "ts")
 
 
 @register(

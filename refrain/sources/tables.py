@@ -11,7 +11,7 @@ Canonical message columns::
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.functions.text import strip
@@ -60,8 +60,42 @@ def messages_from_conversations(conv: DataFrame) -> DataFrame:
     )
 
 
-def documents_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_from_documents(read_table(spark, sf_dir, "documents"))
+def documents_scan_filter(project: str | None = None, since=None) -> Column | None:
+    """F5/F6 restated on the raw ``documents`` columns, so the parquet reader can skip row groups.
+
+    ``project_path`` and ``ts`` are derived (root + ``source``; epoch + ``doc_id`` steps),
+    so Catalyst cannot push the canonical filters into the scan by itself. The
+    predicate returned here keeps every row the canonical filter keeps; callers
+    still apply the canonical filter (F5 ``path_under``, F6 ``filter_since``) on top.
+    """
+    conds = []
+    if project is not None:
+        p = project.rstrip("/") or "/"
+        if p.startswith(DOC_PROJECT_ROOT):  # under the root: one source or its sub-paths
+            s = p[len(DOC_PROJECT_ROOT):]
+            conds.append((F.col("source") == s) | F.col("source").startswith(s + "/"))
+        elif p == "/" or DOC_PROJECT_ROOT.startswith(p + "/"):  # an ancestor of the root: every source
+            conds.append(F.col("source").isNotNull())
+        else:  # no document path can equal or lie under it
+            conds.append(F.lit(False))
+    if since is not None:
+        # ts >= since  <=>  doc_id >= ceil((since - epoch) / step); folded to a literal by Catalyst
+        step_us = DOC_STEP_MINUTES * 60 * 1_000_000
+        first = F.ceil((F.unix_micros(F.lit(since)) - F.unix_micros(F.to_timestamp(F.lit(DOC_EPOCH)))) / F.lit(step_us))
+        conds.append(F.col("doc_id").isNull() | (F.col("doc_id") >= first))
+    if not conds:
+        return None
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
+def documents_messages(spark: SparkSession, sf_dir: str, project: str | None = None, since=None) -> DataFrame:
+    """Messages of ``documents``; ``project`` / ``since`` add a scan-level pre-filter (see above)."""
+    docs = read_table(spark, sf_dir, "documents")
+    pushed = documents_scan_filter(project, since)
+    return messages_from_documents(docs if pushed is None else docs.filter(pushed))
 
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,3 +174,22 @@ def test_salted_top_k_on_a_hot_group(spark):
     w = Window.partitionBy("g").orderBy(F.desc("ord"))
     want = {(r.g, r.ord) for r in df.withColumn("r", F.row_number().over(w)).filter("r <= 4").collect()}
     assert got == want
+
+
+def test_scan_filters_keep_exactly_the_canonical_rows(spark):
+    """F5/F6 restated on raw columns (pushed into the scan) never change the result."""
+    from tests.conftest import SF
+    from refrain.operators import messages as M
+    from refrain.sources.tables import documents_messages
+
+    base = documents_messages(spark, SF)
+    projects = ["/home/dev/src1/", "/home/dev/src1", "/home/dev/src", "/home/dev/", "/home/dev", "/home", "/", "/home/de", "/other"]
+    for p in projects:
+        want = sorted(r.uuid for r in M.filter_project(base, p).select("uuid").collect())
+        got = sorted(r.uuid for r in M.filter_project(documents_messages(spark, SF, project=p), p).select("uuid").collect())
+        assert got == want, p
+    t0 = dt.datetime(2024, 1, 1)
+    for since in [t0 - dt.timedelta(days=3), t0, t0 + dt.timedelta(minutes=37 * 5), t0 + dt.timedelta(minutes=37 * 5, seconds=1), t0 + dt.timedelta(days=3)]:
+        want = sorted(r.uuid for r in M.filter_since(base, since).select("uuid").collect())
+        got = sorted(r.uuid for r in M.filter_since(documents_messages(spark, SF, since=since), since).select("uuid").collect())
+        assert got == want, since
