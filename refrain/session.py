@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "refrain") -> SparkSession:
@@ -49,3 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
     return sc.getCheckpointDir()
+
+
+def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and return the table just written.
+
+    Cuts the lineage like ``checkpoint()``, but columnar and compressed. The files stay until the session's
+    checkpoint folder is emptied, because the returned table reads them.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/refrain-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
