@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +28,33 @@ def id_fold(column: str, folds: int) -> Column:
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     """Number of shuffle partitions of the session."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+class WordTable(dict):
+    """Memo of a worker: word (bytes) -> code, with one NumPy column per value that ``make`` derives from a word.
+
+    ``trim`` is called between texts and empties the memo when it holds more than ``limit`` words.
+    """
+
+    def __init__(self, make: Callable[[bytes], tuple], dtypes: list, limit: int = 400_000):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.columns = [np.zeros(1024, kind) for kind in dtypes]
+
+    def __missing__(self, word: bytes) -> int:
+        code = len(self)
+        if code == len(self.columns[0]):
+            self.columns = [np.concatenate([c, np.zeros_like(c)]) for c in self.columns]
+        for column, value in zip(self.columns, self.make(word)):
+            column[code] = value
+        self[word] = code
+        return code
+
+    def codes(self, raw: bytes) -> np.ndarray:
+        """Codes of the white-space words of a text."""
+        words = raw.split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.clear()

@@ -67,7 +67,7 @@ def _bisect(go_up) -> Column:
 
 
 def exponent(totals: DataFrame, budget: int | None, target_entropy: float, max_repeats: float) -> DataFrame:
-    """One row ``alpha, norm, budget`` from ``totals (src, n_docs, tokens)``: sources are a small dimension."""
+    """At most one row ``alpha, total, budget, norm`` from ``totals (src, n_docs, tokens)``: sources are a small dimension."""
     some = totals.agg(
         F.collect_list(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("each"), F.sum("tokens").alias("total")
     )
@@ -100,14 +100,14 @@ def mixing_plan(
     count = word_count("text") if tokens is None else tokens
     narrow = staged(docs.select(F.col(id_col).alias("id"), source_key(source_col).alias("src"), F.coalesce(count, F.lit(0)).cast("long").alias("tokens")), "mix-docs")
     totals = staged(narrow.groupBy("src").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("tokens")), "mix-totals")
-    one = exponent(totals, budget, target_entropy, max_repeats).withColumnRenamed("budget", "all_budget")
-    # a single row beside every source
-    plan = totals.withColumn("one", F.lit(1)).join(F.broadcast(one.withColumn("one", F.lit(1))), "one", "left").drop("one")
-    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("total"), F.col("alpha")) / F.col("norm")).otherwise(0.0)
-    plan = plan.withColumn("weight", weight).withColumn("budget", F.floor(F.col("weight") * F.col("all_budget")).cast("long"))
+    one = exponent(totals, budget, target_entropy, max_repeats).first() or {"total": None, "alpha": None, "norm": None, "budget": None}  # no tokens at all
+    share = F.col("tokens") / F.lit(one["total"])
+    weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(one["alpha"])) / F.lit(one["norm"])).otherwise(0.0)
+    plan = totals.withColumn("alpha", F.lit(one["alpha"]).cast("double")).withColumn("weight", weight)
+    plan = plan.withColumn("budget", F.floor(F.col("weight") * F.lit(one["budget"])).cast("long"))
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("long")
     plan = plan.withColumn("full_epochs", whole).withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("full_epochs") * F.col("tokens")).otherwise(0).cast("long"))
-    plan = staged(plan.withColumn("n_blocks", F.ceil(F.col("n_docs") / F.lit(block_docs))).drop("total", "norm", "all_budget"), "mix-plan")
+    plan = staged(plan.withColumn("n_blocks", F.ceil(F.col("n_docs") / F.lit(block_docs))), "mix-plan")
 
     # the last, partial epoch
     part = _with_plan(narrow, plan.filter("rest > 0").select("src", "full_epochs", "rest", "n_blocks"))

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import mixing
+from refrain.llm import byte_bpe, mixing, quality
 from refrain.llm.common import table
 
 
+BPE_RANKS = "byte_bpe_50k.tiktoken"
+
+
+def bpe_digests(docs: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> list:
+    return [
+        F.size(ids_col).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col(ids_col).cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col(decoded_col), 256).alias("decoded_sha256"),
+    ]
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of their decoding, for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = byte_bpe.load_ranks(public_tokenizers.path(BPE_RANKS))
+    coded = byte_bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
+    return coded.select("doc_id", *bpe_digests(coded))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out fold."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document in the temperature mix of ``documents`` by source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -57,6 +82,8 @@ FROM s WHERE epoch < fe OR (rest > 0 AND cum <= rest)
 """
 
 QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality": op6_quality,
     "op9_source_mix": op9_source_mix,
 }
 
