@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, mixing, quality
+from refrain.llm import byte_bpe, mixing, quality, toxicity
 from refrain.llm.common import table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned outside the held-out fold."""
+    found = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -82,6 +88,7 @@ FROM s WHERE epoch < fe OR (rest > 0 AND cum <= rest)
 """
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
     "op9_source_mix": op9_source_mix,
