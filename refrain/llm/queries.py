@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, mixing, quality, toxicity
+from refrain.llm import byte_bpe, lsh_forest, mixing, quality, toxicity
 from refrain.llm.common import table
 
 
@@ -52,6 +52,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 OP9_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, 'null') AS src,
@@ -92,6 +97,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
     "op9_source_mix": op9_source_mix,
+    "op10_lsh_forest": op10_lsh_forest,
 }
 
 ORACLE = {
