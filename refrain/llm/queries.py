@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, lsh_forest, mixing, quality, toxicity
+from refrain.llm import byte_bpe, lsh_forest, mixing, multi_index, quality, toxicity
 from refrain.llm.common import table
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with equal labels and a cosine of at least 0.98."""
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned outside the held-out fold."""
     found = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -93,6 +98,7 @@ FROM s WHERE epoch < fe OR (rest > 0 AND cum <= rest)
 """
 
 QUERIES = {
+    "op2_multi_index": op2_multi_index,
     "op3_toxicity": op3_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
