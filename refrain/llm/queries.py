@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, lsh_forest, mixing, multi_index, quality, toxicity
+from refrain.llm import byte_bpe, lsh_forest, mixing, multi_index, quality, toxicity, winnowing
 from refrain.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -100,6 +105,7 @@ FROM s WHERE epoch < fe OR (rest > 0 AND cum <= rest)
 QUERIES = {
     "op2_multi_index": op2_multi_index,
     "op3_toxicity": op3_toxicity,
+    "op4_winnowing": op4_winnowing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
     "op9_source_mix": op9_source_mix,
