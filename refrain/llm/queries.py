@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, lsh_forest, mixing, multi_index, quality, toxicity, winnowing
+from refrain.llm import byte_bpe, html_extract, lsh_forest, mixing, multi_index, quality, toxicity, winnowing
 from refrain.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings with equal labels and a cosine of at least 0.98."""
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -103,6 +108,7 @@ FROM s WHERE epoch < fe OR (rest > 0 AND cum <= rest)
 """
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_multi_index": op2_multi_index,
     "op3_toxicity": op3_toxicity,
     "op4_winnowing": op4_winnowing,

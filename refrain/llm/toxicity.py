@@ -2,7 +2,8 @@
 
 *Model.* A white-space word is reduced to its letters and digits in lower case; its stem is the first STEM letters.
 For words and stems the number of toxic and of clean training documents that contain them is counted in Spark, over
-all training rows; copies of a toxic document must not vouch for its words, so a token counts for no more toxic
+at most about MAX_ROWS training rows (a documented bound: by a hash of the id, so that texts need no shuffle to meet
+their labels); copies of a toxic document must not vouch for its words, so a token counts for no more toxic
 documents than it has different pairs of neighbours in them. The score of a token is its log-odds ratio under a Dirichlet prior that adds up to PRIOR documents (fewer
 for few labels) with the pooled rate of the token, less DRIFT; it is kept where it is positive and the ratio is at least Z_LEAST standard
 deviations above zero (and, as a documented bound on the model, among the MODEL_TOKENS most certain ones). A word
@@ -45,6 +46,7 @@ CALIBRATION = 5  # one in so many training rows calibrates, the others count tok
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
+MAX_ROWS = 50_000  # labelled rows that train the model
 FLUSH_TOKENS = 300_000
 
 _LETTERS = re.compile(r"[^\W_]+")
@@ -216,15 +218,18 @@ def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2)
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    folds: int = FOLDS, held_out: int | None = HELD_OUT,
+    folds: int = FOLDS, held_out: int | None = HELD_OUT, max_rows: int = MAX_ROWS,
 ) -> Model:
-    """Model from the labelled rows whose fold isn't ``held_out`` (all of them if it is None)."""
+    """Model from labelled rows whose fold isn't ``held_out`` (all folds if it is None)."""
     fold = id_fold(id_col, folds)
     usable = labels.filter(F.col(label_col).isin(0, 1) & (fold >= 0) & (fold != (-2 if held_out is None else held_out)))
     usable = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    share = max_rows / max(usable.count(), 1)
+    if share < 1:
+        usable = usable.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     part = F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(CALIBRATION)) == 0
-    rows = texts.join(usable, "id").withColumn("part", part)
+    rows = texts.join(F.broadcast(usable), "id").withColumn("part", part)
     n = {(r["part"], r["y"]): r["count"] for r in usable.withColumn("part", part).groupBy("part", "y").count().collect()}
     n_toxic, n_clean = n.get((False, 1), 0), n.get((False, 0), 0)
     every = sum(n.values())
