@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, html_extract, lsh_forest, mixing, multi_index, quality, toxicity, winnowing
+from refrain.llm import byte_bpe, html_extract, lsh_forest, mixing, multi_index, quality, toxicity, warc, winnowing
 from refrain.llm.common import table
 
 
@@ -55,6 +55,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say, read back from the files."""
+    folder = warc.new_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    back = warc.read_archives(spark, folder)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS b FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p WHERE b >= {warc.REVISIT_BYTES} GROUP BY h)
+SELECT p.page_id, p.b AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN m.top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m.top <> p.page_id THEN m.top END AS refers_to
+FROM p LEFT JOIN m ON p.h = m.h
+"""
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document in the temperature mix of ``documents`` by source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -114,10 +132,12 @@ QUERIES = {
     "op4_winnowing": op4_winnowing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
     "op9_source_mix": op9_source_mix,
     "op10_lsh_forest": op10_lsh_forest,
 }
 
 ORACLE = {
+    "op7_warc": OP7_SQL,
     "op9_source_mix": OP9_SQL,
 }
