@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, html_extract, lsh_forest, mixing, multi_index, quality, toxicity, warc, winnowing
+from refrain.llm import byte_bpe, chat_format, html_extract, lsh_forest, mixing, multi_index, quality, toxicity, warc, winnowing
 from refrain.llm.common import table
 
 
@@ -63,6 +63,47 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def spans_text(column: str):
+    return F.array_join(F.transform(column, lambda s: F.concat(s["from"].cast("string"), F.lit("-"), s["to"].cast("string"))), " ").alias(column)
+
+
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of every conversation with a reply, against the next conversation's reply."""
+    chosen, rejected = chat_format.with_swapped_replies(table(spark, sf_dir, "conversations"))
+    pairs = chat_format.preference_pairs(chosen, rejected, pair="conv_id")
+    return pairs.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans_text("chosen_spans"), spans_text("rejected_spans"), "differs")
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+m AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+y AS (SELECT m.conv_id, last, max(text) AS reply FROM m JOIN t ON t.conv_id = m.conv_id AND turn = last AND role = 'assistant' GROUP BY ALL),
+o AS (SELECT conv_id, last, coalesce(lead(reply) OVER (ORDER BY conv_id), first(reply) OVER (ORDER BY conv_id)) AS other FROM y),
+u AS (SELECT t.*, last, other FROM t JOIN o USING (conv_id) WHERE turn <= last),
+both_sides AS (
+  SELECT 'c' AS side, conv_id, turn, role, text FROM u UNION ALL
+  SELECT DISTINCT 'r', conv_id, turn, role, CASE WHEN turn = last AND role = 'assistant' THEN other ELSE text END FROM u),
+n AS (SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn, role, text) AS i,
+        '<|' || replace(replace(role, '\', '\\'), '<|', '<\|') || '|>' || chr(10) AS head,
+        replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10) AS body FROM both_sides),
+p AS (SELECT conv_id, least(count(*) FILTER (side = 'c'), count(*) FILTER (side = 'r')) AS shorter FROM n GROUP BY conv_id),
+d AS (SELECT p.conv_id, coalesce(min(c.i) FILTER (c.role <> r.role OR c.text <> r.text) - 1, any_value(shorter)) AS k
+      FROM p LEFT JOIN n c ON c.conv_id = p.conv_id AND c.side = 'c'
+      LEFT JOIN n r ON r.conv_id = c.conv_id AND r.i = c.i AND r.side = 'r' GROUP BY p.conv_id),
+s AS (SELECT n.*, k, sum(CASE WHEN i > k THEN length(head) + length(body) ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY i) AS upto
+      FROM n JOIN d USING (conv_id))
+SELECT conv_id, any_value(k)::INT AS n_prompt_turns,
+       coalesce(string_agg(head || body, '' ORDER BY i) FILTER (side = 'c' AND i <= k), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY i) FILTER (side = 'c' AND i > k), '') AS chosen,
+       coalesce(string_agg(head || body, '' ORDER BY i) FILTER (side = 'r' AND i > k), '') AS rejected,
+       coalesce(string_agg((upto - length(body))::BIGINT || '-' || upto::BIGINT, ' ' ORDER BY i) FILTER (side = 'c' AND i > k AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((upto - length(body))::BIGINT || '-' || upto::BIGINT, ' ' ORDER BY i) FILTER (side = 'r' AND i > k AND role = 'assistant'), '') AS rejected_spans,
+       count(*) FILTER (i > k) > 0 AS differs
+FROM s GROUP BY conv_id
+"""
+
+
 OP7_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS b FROM pages),
 m AS (SELECT h, max(page_id) AS top FROM p WHERE b >= {warc.REVISIT_BYTES} GROUP BY h)
@@ -133,11 +174,13 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
+    "op8_preference_format": op8_preference_format,
     "op9_source_mix": op9_source_mix,
     "op10_lsh_forest": op10_lsh_forest,
 }
 
 ORACLE = {
     "op7_warc": OP7_SQL,
+    "op8_preference_format": OP8_SQL,
     "op9_source_mix": OP9_SQL,
 }
