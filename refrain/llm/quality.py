@@ -149,15 +149,15 @@ def train(
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, score`` of every row."""
+def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``id``, the columns in ``keep``, ``score`` of every row."""
 
     @F.arrow_udf("double")
     def dot(texts: pa.Array) -> pa.Array:
         memo = _memo()
         return pa.array([score_of(hashed_ngrams(t.encode(), memo), weights) for t in texts.to_pylist()], pa.float64())
 
-    return docs.select(id_col, dot(text_or_empty(text_col)).alias("score"))
+    return docs.select(id_col, *(keep or []), dot(text_or_empty(text_col)).alias("score"))
 
 
 _MEMO: list[WordTable] = []
