@@ -17,8 +17,8 @@ Plan (all shuffles keyed by generated block ids, so no content key can be hot):
 4. *Pass 2*: the same block pairs with core flags; each task reduces its
    core-core edges to a star forest (one edge per core, never all pairs) and
    its border links to one core per local component.
-5. *Components*: min-label propagation with pointer jumping over the forest;
-   each round is checkpointed to the session's checkpoint folder.
+5. *Components*: randomised contraction of the forest (``components.py``), until
+   no edge is left; each round is written to the session's checkpoint folder.
 6. Borders join the adjacent cluster discovered first (lowest root ``ord``);
    points with no core neighbour are noise and dropped.
 """
@@ -26,7 +26,6 @@ Plan (all shuffles keyed by generated block ids, so no content key can be hot):
 from __future__ import annotations
 
 import math
-import os
 import time
 
 import numpy as np
@@ -34,12 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refrain.operators import components
 from refrain.session import ensure_checkpoint_dir
 
 DEFAULT_BLOCK = 2048
 EPS_SLACK = 1e-9
-MAX_BROADCAST_LABELS = 2_000_000  # (id, label) rows broadcast in the component rounds
-LAST_RUN = {}  # rounds and timings of the latest component search, for bench.py
+LAST_RUN = {}  # timing of the latest component search, for bench.py
 
 
 def eps2(similarity: float) -> float:
@@ -216,45 +215,12 @@ def core_links(points: DataFrame, similarity: float, n_blocks: int) -> DataFrame
     return rep.groupBy("bi", "bj").applyInPandas(_links_fn(eps2(similarity)), f"kind string, a {t}, b {t}")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``pid, root`` with root = lowest pid of the component.
-
-    Min-label propagation plus pointer jumping; every round is checkpointed
-    (reliable checkpoint, shared folder) so lineage stays short and a lost
-    executor only repeats the current round.
-    """
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
-        edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
-    )
-    lab = nodes.select("pid", F.col("pid").alias("lab"))
-    # label tables up to a checked size are broadcast into the joins; larger ones shuffle
-    small = nodes.count() <= MAX_BROADCAST_LABELS
-    bc = F.broadcast if small else (lambda d: d)
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pid, root`` of every node, root = lowest pid of its component (nodes without an edge are their own)."""
     started = time.time()
-    for _ in range(max_rounds):
-        nb = (
-            both.join(bc(lab.withColumnRenamed("pid", "dst")), "dst")
-            .groupBy(F.col("src").alias("pid"))
-            .agg(F.min("lab").alias("nb"))
-        )
-        step = lab.join(bc(nb), "pid", "left").select(
-            "pid", F.col("lab").alias("old"), F.least("lab", F.coalesce("nb", "lab")).alias("lab")
-        )
-        hop = step.select(F.col("pid").alias("hop_pid"), F.col("lab").alias("hop_lab"))
-        jumped = step.join(bc(hop), step["lab"] == hop["hop_pid"]).select(
-            "pid", "old", F.least("lab", "hop_lab").alias("lab")
-        )
-        jumped = jumped.checkpoint(eager=True)
-        changed = jumped.filter(F.col("lab") != F.col("old")).count()
-        lab = jumped.select("pid", "lab")
-        if os.environ.get("REFRAIN_TRACE"):
-            print(f"components round {_ + 1}: {changed} labels changed", flush=True)
-        if changed == 0:
-            break
-    LAST_RUN.update(component_rounds=_ + 1, component_seconds=round(time.time() - started, 3))
-    return lab.select("pid", F.col("lab").alias("root"))
+    found = components.connected_components(edges)
+    LAST_RUN.update(component_seconds=round(time.time() - started, 3))
+    return nodes.join(found, nodes["pid"] == found["node"], "left").select("pid", F.coalesce("component", "pid").alias("root"))
 
 
 def dbscan(points: DataFrame, similarity: float = 0.75, min_samples: int = 3, block: int = DEFAULT_BLOCK) -> DataFrame:
