@@ -87,7 +87,7 @@ def curated_sql() -> str:
 # Our own project listing (project_path, rel_path) for the recommendation tables.
 INVENTORY = [
     ("/work/api", "CLAUDE.md"),
-    ("/work/api", ".claude/skills/run-lint-then-run-the-tests-then-commit-and-push-the/SKILL.md"),
+    ("/work/api", ".claude/skills/run-lint-then-run-the-tests-then-commit-and-push-t/SKILL.md"),
     ("/work/api", ".claude/notes.md"),
     ("/work/ops", ".claude/skills/deploy/SKILL.md"),
     ("/work/web", "README.md"),
@@ -113,6 +113,8 @@ RESPONSES = [
     ("cat:pat-002", "category", "  Boilerplate-Request "),
     ("cat:pat-003", "category", "not-a-category"),
     ("cat:pat-004", "category", ""),
+    ("cat:pat-006", "category", "Context-re-explanation"),
+    ("cat:pat-008", "category", "unsure"),
     ("m1", "match", '```json\n["ship-it", "nope", "notes"]\n```'),
     ("m2", "match", '["explain-failure", "gke-ops", "ship-it", "containerise", "notes", "auth-check", "stack-notes"]'),
     ("m3", "match", "sorry, no idea"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ RAW_SCHEMA = (
 )
 MESSAGE_SCHEMA = (
     "uuid string, session_id string, project_path string, ts timestamp, text string, parent_uuid string, "
-    "ord struct<project_dir:string,file_name:string,ts:timestamp,uuid:string>"
+    "ord struct<project_dir:string,file_name:string,block:bigint,line:bigint>"
 )
 
 
@@ -61,14 +62,24 @@ def parse_timestamp(s: Column) -> Column:
     return F.when(s.rlike(ISO_TS), F.try_to_timestamp(s))
 
 
+def _decoded(c: str) -> Column:
+    """File names in ``_metadata`` are URL-encoded; a plus sign stands for itself there."""
+    return F.try_url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """S2, S3, F1-F4, F8, F10 on ``value, file_path, file_name`` rows (batch or stream)."""
+    """S2, S3, F1-F4, F8, F10 on ``value, file_path, file_name`` rows (batch or stream).
+
+    ``block`` and ``line`` (place in the file), where the rows have them, are kept.
+    """
+    place = [c for c in ("block", "line") if c in lines.columns]
     v = F.try_parse_json(F.col("value"))
     parsed = lines.filter(F.length(strip(F.col("value"))) > 0).select(
         v.alias("v"),
-        F.regexp_replace("file_name", r"\.jsonl$", "").alias("session_id"),
-        F.regexp_extract("file_path", r"/([^/]+)/[^/]+$", 1).alias("project_dir"),
-        "file_name",
+        F.regexp_replace(_decoded("file_name"), r"\.jsonl$", "").alias("session_id"),
+        F.regexp_extract(_decoded("file_path"), r"/([^/]+)/[^/]+$", 1).alias("project_dir"),
+        _decoded("file_name").alias("file_name"),
+        *place,
     )
     # S3: malformed lines parse to NULL; non-objects and a null message are skipped too
     obj = parsed.filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
@@ -78,6 +89,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         "session_id",
         "project_dir",
         "file_name",
+        *place,
         F.coalesce(_get(F.col("v"), "$.cwd", "string"), F.lit(".")).alias("cwd"),
         parse_timestamp(_get(F.col("v"), "$.timestamp", "string")).alias("ts"),
         extract_text(F.col("v")).alias("text"),
@@ -89,27 +101,34 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.filter(F.col("is_user") & ~F.col("is_sidechain") & (F.length("text") > 0))
 
 
-def _has_files(spark: SparkSession, pattern: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(path)
-    return found is not None and len(found) > 0
-
-
 def read_lines(spark: SparkSession, root: str) -> DataFrame | None:
-    """Raw lines with their file; ``None`` when the root has no session files."""
-    pattern = f"{root.rstrip('/')}/{LOG_GLOB}"
-    if not _has_files(spark, pattern):
+    """Raw lines with their file and place in it; ``None`` when the root has no session files.
+
+    ``block`` is where the line's split of the file begins and ``line`` grows within a split, so together they
+    order the lines of a file and are different for all lines of a scan.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    try:
+        lines = reader.text(f"{root.rstrip('/')}/{LOG_GLOB}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return (
-        spark.read.option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-        .text(pattern)
-        .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
+    return lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
     )
 
 
+def order_key(rows: DataFrame) -> Column:
+    """File order; streams know no place in a file and use time and uuid instead."""
+    last = ("block", "line") if "line" in rows.columns else ("ts", "uuid")
+    return F.struct("project_dir", "file_name", *last)
+
+
 def to_messages(rows: DataFrame, as_of: dt.datetime | None) -> DataFrame:
     """Canonical message columns; F9 fills a missing timestamp with the scan time."""
     ts = F.col("ts") if as_of is None else F.coalesce(F.col("ts"), F.lit(as_of).cast("timestamp"))
@@ -120,7 +139,7 @@ def to_messages(rows: DataFrame, as_of: dt.datetime | None) -> DataFrame:
         ts.alias("ts"),
         "text",
         "parent_uuid",
-        F.struct("project_dir", "file_name", F.col("ts"), "uuid").alias("ord"),
+        order_key(rows).alias("ord"),
     )
 
 
@@ -142,19 +161,26 @@ def read_session_logs(
     return to_messages(rows, as_of)
 
 
-def session_table(spark: SparkSession, root: str) -> DataFrame:
+def session_table(
+    spark: SparkSession,
+    root: str,
+    project: str | None = None,
+    since: dt.datetime | None = None,
+    as_of: dt.datetime | None = None,
+) -> DataFrame:
     """A1/A2 for logs: per session the message count, first/last time and working dir.
 
-    The working dir is the last ``cwd`` over human turns with text, taken before
-    any project or lookback filter, as in the original.
+    Count and times are those of the messages that pass the project and lookback filters, with missing times
+    filled (F9); the working dir is the last ``cwd`` over all human turns with text, as in the original.
     """
     lines = read_lines(spark, root)
     if lines is None:
         return spark.createDataFrame([], "session_id string, project_dir string, n_messages bigint, start_time timestamp, end_time timestamp, session_cwd string")
-    rows = parse_lines(lines).withColumn("ord", F.struct("project_dir", "file_name", "ts", "uuid"))
-    return rows.groupBy("session_id", "project_dir").agg(
-        F.count(F.lit(1)).alias("n_messages"),
-        F.min_by("ts", "ord").alias("start_time"),
-        F.max_by("ts", "ord").alias("end_time"),
-        F.max_by("cwd", "ord").alias("session_cwd"),
+    rows = parse_lines(lines)
+    rows = rows.withColumn("ord", order_key(rows))
+    kept = filter_since(filter_project(rows, project, "cwd"), since)
+    ts = F.col("ts") if as_of is None else F.coalesce(F.col("ts"), F.lit(as_of).cast("timestamp"))
+    counted = kept.groupBy("session_id", "project_dir").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.min_by(ts, "ord").alias("start_time"), F.max_by(ts, "ord").alias("end_time")
     )
+    return counted.join(rows.groupBy("session_id", "project_dir").agg(F.max_by("cwd", "ord").alias("session_cwd")), ["session_id", "project_dir"])

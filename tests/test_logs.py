@@ -127,3 +127,37 @@ def test_session_table_uses_last_cwd(spark):
     row = session_table(spark, r).collect()[0]
     assert row.n_messages == 2 and row.session_cwd == "/b"
     assert row.start_time == dt.datetime(2024, 3, 1, 10) and row.end_time == dt.datetime(2024, 3, 1, 11)
+
+
+def test_lines_without_uuid_stay_apart(spark):
+    """Equal times and no uuid: three equal messages are one pattern of three."""
+    from refrain.plans.scan import scan
+
+    same = "please run the whole linter suite again"
+    lines = [{"type": "user", "timestamp": "2024-03-01T10:00:00Z", "cwd": "/a", "message": {"role": "user", "content": t}} for t in (same, same, "something else altogether, said only once", same)]
+    r = _root(); _write(r, "p", "s1", lines)
+    messages = read_session_logs(spark, r)
+    assert _texts(messages) == [x["message"]["content"] for x in lines]
+    assert [(p.size, p.label) for p in scan(messages, classify=False).collect()] == [(3, same)]
+
+
+def test_equal_order_keys_are_refused(spark):
+    import pytest
+
+    from refrain.plans.scan import find_patterns
+
+    rows = spark.createDataFrame([(1, "u", "t"), (1, "v", "t")], "ord long, uuid string, text string").withColumn("ts", __import__("pyspark").sql.functions.lit(None).cast("timestamp"))
+    with pytest.raises(ValueError):
+        find_patterns(rows, classify=False)
+
+
+def test_file_names_are_decoded(spark):
+    r = _root(); _write(r, "pro j%41+x", "s 1+2%", [_user("hello there")])
+    rows = read_session_logs(spark, r).collect()
+    assert [(m.session_id, m.ord.project_dir, m.ord.file_name) for m in rows] == [("s 1+2%", "pro j%41+x", "s 1+2%.jsonl")]
+
+
+def test_session_counts_follow_the_filters(spark):
+    r = _root(); _write(r, "p", "s1", [_user("one", ts="2024-01-01T00:00:00Z", cwd="/a"), _user("two", ts=None, cwd="/a"), _user("three", cwd="/b")])
+    row = session_table(spark, r, project="/a", as_of=dt.datetime(2024, 5, 1)).collect()[0]
+    assert (row.n_messages, row.start_time, row.end_time, row.session_cwd) == (2, dt.datetime(2024, 1, 1), dt.datetime(2024, 5, 1), "/b")
