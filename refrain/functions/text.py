@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 # ``str.isspace()`` accepts (derived by rule, not listed by hand).
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
+# The same characters inside a regex class, for Java and RE2.
+WHITESPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
+
 # Fixed values that must equal the reference: system-injected message openings
 # treated as noise (compared against the lower-cased, stripped text).
 NOISE_PREFIXES = (
@@ -26,8 +29,6 @@ NOISE_PREFIXES = (
     "conversation so far:",
 )
 
-_NOISE_HEAD = 2 * max(len(p) for p in NOISE_PREFIXES)
-
 MIN_SUBSTANTIAL_LEN = 25  # fixed value: shorter messages are acknowledgements
 MIN_REPRESENTATIVE_LEN = 12  # fixed value: shorter texts are never representative
 
@@ -57,10 +58,10 @@ NOISE_REGEX = _noise_regex()
 def has_noise_prefix(c) -> Column:
     """Lower-cased text starts with one of the noise prefixes.
 
-    One anchored regex over the lower-cased head of the text: a single small
-    expression (cheap to compile) instead of one ``startswith`` per prefix.
+    One anchored regex: a single small expression (cheap to compile) instead of
+    one ``startswith`` per prefix.
     """
-    return F.regexp_like(F.lower(F.substring(_col(c), 1, _NOISE_HEAD)), F.lit(NOISE_REGEX))
+    return F.regexp_like(F.lower(_col(c)), F.lit(NOISE_REGEX))
 
 
 def is_substantial(text) -> Column:
@@ -76,10 +77,10 @@ def is_representative_quality(text) -> Column:
 
 
 def slug(c, max_len: int, default: str) -> Column:
-    """Lower, keep [a-z0-9 whitespace -], whitespace runs -> '-', squeeze, cut, trim '-'."""
-    s = F.lower(_col(c))
-    s = F.regexp_replace(s, r"[^a-z0-9\s-]", "")
-    s = F.regexp_replace(s, r"\s+", "-")
+    """Lower, strip, keep [a-z0-9 whitespace -], whitespace runs (any Unicode one) -> '-', squeeze, cut, trim '-'."""
+    s = strip(F.lower(_col(c)))
+    s = F.regexp_replace(s, f"[^a-z0-9{WHITESPACE_CLASS}-]", "")
+    s = F.regexp_replace(s, f"[{WHITESPACE_CLASS}]+", "-")
     s = F.regexp_replace(s, r"-+", "-")
     s = F.substring(s, 1, max_len)
     s = F.btrim(s, F.lit("-"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refrain.functions.contains import contains_join
 ONE_OFF = "one-off-task"
 MIN_CONFIDENCE = 0.25  # fixed value: centroid similarity below this is a one-off
 MAX_BROADCAST_CENTROID_ROWS = 1_000_000
@@ -31,10 +32,9 @@ def keyword_table(spark: SparkSession, rules=KEYWORD_RULES) -> DataFrame:
 def keyword_scores(items: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
     """J2 + C10: ``key, priority, category, score`` = distinct keywords contained, per category.
 
-    ``keywords`` is a small constant table, broadcast to every task.
     """
     low = items.select(F.col(key).alias("_k"), F.lower(F.col(text)).alias("_t"))
-    hits = low.join(F.broadcast(keywords), F.col("_t").contains(F.col("keyword")))
+    hits = contains_join(low, "_t", keywords, "keyword")
     return hits.groupBy("_k", "priority", "category").agg(F.count_distinct("keyword").alias("score")).withColumnRenamed("_k", key)
 
 
