@@ -47,6 +47,11 @@ def centroid_distances(clustered_points: DataFrame, cents: DataFrame) -> DataFra
     )
 
 
+def _hash60(c, at: int):
+    """60 bits of the MD5 digest, from hex digit ``at`` on."""
+    return F.conv(F.substring(F.md5(c), at, 15), 16, 10).cast("bigint")
+
+
 def summarise(members: DataFrame, dists: DataFrame) -> DataFrame:
     """A6-A8 (without category), W3, W4, A7 per cluster.
 
@@ -61,14 +66,12 @@ def summarise(members: DataFrame, dists: DataFrame) -> DataFrame:
         F.avg(F.length("text")).alias("avg_chars"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
-        F.min(F.md5("uuid")).alias("_h1"),
-        F.max(F.md5("uuid")).alias("_h2"),
-        F.min("uuid").alias("_u1"),
-        F.max("uuid").alias("_u2"),
+        F.bit_xor(_hash60(F.col("uuid"), 1)).alias("_xor"),
+        F.sum(F.shiftright(_hash60(F.col("uuid"), 16), 30)).alias("_sum"),
     )
     stats = stats.withColumn("representative_text", first_line("rep_source", REPRESENTATIVE_CHARS)).withColumn(
         "pattern_key",
-        F.substring(F.md5(F.concat_ws("|", F.col("size").cast("string"), "_h1", "_h2", "_u1", "_u2")), 1, 8),
+        F.substring(F.md5(F.concat_ws("|", F.col("size").cast("string"), F.col("_xor").cast("string"), F.col("_sum").cast("string"))), 1, 8),
     ).checkpoint(eager=True)  # one row per cluster, read by the sample filter and the output
     # Further samples in member order, skipping texts equal to the representative.
     # Ranking runs on narrow (cluster, ord) rows; texts join back for the winners only.

@@ -12,10 +12,11 @@ Dense inputs (``ARRAY<FLOAT>``) use the same shape with ``idx = 0..d-1``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from refrain.session import staged
+
 # Fixed values of the vectoriser: runs of >= 2 word characters, 512 terms.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 VOCAB_SIZE = 512
@@ -94,21 +95,21 @@ def tfidf_vectors(
 
     Returns ``(vectors, vocab)``; ``vectors`` has ``doc, idx ARRAY<INT>,
     tf ARRAY<BIGINT>, val ARRAY<DOUBLE>`` with ``idx`` ascending.
-    Shuffles: the corpus once by document, the term statistics once by term;
-    the vocabulary (<= ``size`` rows) is broadcast.
+    Two passes over the text: the first counts every term (one partial aggregate, one shuffle by term) and keeps
+    the ``size`` most frequent ones; the second counts only those per document. No table of all (document, term)
+    pairs is made; the vocabulary (<= ``size`` rows) is broadcast.
     """
     docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    if spread:  # callers that already hash-partitioned by the key skip this exchange
+    if spread:  # callers whose corpus lies in enough partitions skip this exchange
         docs = spread_by_doc(docs)
-    # materialised once: the vocabulary, the document count and the weights all
-    # read it (left lazy, concurrent subqueries would each re-tokenise the corpus)
-    tf = term_frequencies(docs).persist(StorageLevel.MEMORY_AND_DISK)
-    tf.count()
-    # documents and their number come from tf itself: no second pass over the text
-    keys = tf.select("doc").distinct()
-    n_docs = keys.select(F.count(F.lit(1))).scalar()
-    # written before the weights use it, so the statistics are computed once
-    vocab = vocabulary(term_statistics(tf), n_docs, size).checkpoint(eager=True)
+    # tokens are projected once, so that the generator does not repeat the regex
+    toks = docs.select("doc", tokens(F.col("text")).alias("toks"))
+    terms = toks.select("doc", F.explode(with_ngrams(F.col("toks"))).alias("term"))
+    top = terms.groupBy("term").agg(F.count(F.lit(1)).alias("cf")).orderBy(F.desc("cf"), F.asc("term")).limit(size)
+    top = staged(top.select("term"), "terms")
+    tf = staged(terms.join(F.broadcast(top), "term").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    keys = docs.select("doc")
+    vocab = staged(vocabulary(term_statistics(tf), F.lit(float(keys.count())), size), "vocabulary")
     weighted = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").select(
         "doc", "idx", "tf", ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("w")
     )
@@ -129,10 +130,8 @@ def tfidf_vectors(
         F.coalesce("tf", F.array().cast("array<bigint>")).alias("tf"),
         F.coalesce("val", F.array().cast("array<double>")).alias("val"),
     )
-    # the vectors are reused by every later step: write them once, then drop the cached tf
-    vectors = vectors.checkpoint(eager=True)
-    tf.unpersist()
-    return vectors, vocab
+    # the vectors are reused by every later step
+    return vectors.checkpoint(eager=True), vocab
 
 
 def dense_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:

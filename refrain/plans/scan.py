@@ -10,6 +10,7 @@ from refrain.operators import neighbours as N
 from refrain.operators import patterns as P
 from refrain.operators.messages import substantial
 from refrain.operators.vectors import spread_by_doc, tfidf_vectors
+from refrain.session import staged
 
 PATTERN_COLUMNS = [
     "id", "pattern_key", "label", "category", "size", "representative_text", "sample_texts",
@@ -26,6 +27,8 @@ def cluster_messages(corpus: DataFrame, similarity: float = 0.75, min_samples: i
     """
     # read twice (tokens, then member texts): write it once instead of re-reading the source
     corpus = corpus.checkpoint(eager=True)
+    if not corpus.groupBy("ord").count().filter("count > 1").isEmpty():
+        raise ValueError("messages need a unique ord: equal ones would be taken for one document")
     if vectors is None:  # tfidf_vectors returns checkpointed vectors
         vectors, _ = tfidf_vectors(corpus.select(F.col("ord").alias("doc"), "text"), spread=False)
     else:  # reused by the collapse, the membership map and the centroids: cut lineage once
@@ -52,11 +55,12 @@ def find_patterns(
     vectors: DataFrame | None = None,
     method: str = "keyword",
     exemplars: DataFrame | None = None,
+    one_offs: bool = False,
 ) -> DataFrame:
     """Substantial messages -> ``patterns`` (one row per cluster, ranked ``pat-NNN``).
 
     With ``classify`` the local classifier sets ``category`` and one-off
-    clusters are dropped (their IDs stay unused); without it categories are null.
+    clusters are dropped (their IDs stay unused) unless ``one_offs``; without it categories are null.
     C12: ``method="keyword"`` counts keywords in the representative text;
     ``method="centroid"`` compares the representative's vector with the
     category centroids of ``exemplars`` (``priority, category, idx, val``, same
@@ -65,7 +69,9 @@ def find_patterns(
     members, clustered = cluster_messages(corpus, similarity, min_samples, block, vectors)
     cents = P.centroids(clustered)
     dists = P.centroid_distances(clustered, cents).checkpoint(eager=True)  # one narrow row per point, read three times
-    summary = P.rank_patterns(P.summarise(members.select("cluster", "pid", "ord", "uuid", "ts", "text"), dists))
+    summary = staged(P.summarise(members.select("cluster", "pid", "ord", "uuid", "ts", "text"), dists), "summary")
+    summary = P.rank_patterns(summary)
+    drop = (lambda s: s) if one_offs else C.drop_one_offs
     summary = summary.withColumn("label", P.infer_label(F.col("representative_text")))
     if classify and method == "centroid":
         if exemplars is None:
@@ -73,11 +79,11 @@ def find_patterns(
         rep_vec = clustered.select(F.col("pid").alias("rep_pid"), "idx", "val")
         items = summary.select("cluster", "rep_pid").join(rep_vec, "rep_pid").select("cluster", "idx", "val")
         cats = C.classify_by_centroid(items, "cluster", C.category_centroids(exemplars)).select("cluster", "category")
-        summary = C.drop_one_offs(summary.join(cats, "cluster", "left").withColumn(
+        summary = drop(summary.join(cats, "cluster", "left").withColumn(
             "category", F.coalesce("category", F.lit(C.ONE_OFF))))
     elif classify:
         kw = keywords if keywords is not None else C.keyword_table(corpus.sparkSession)
-        summary = C.drop_one_offs(C.classify_by_keywords(summary, "cluster", "representative_text", kw))
+        summary = drop(C.classify_by_keywords(summary, "cluster", "representative_text", kw))
     else:
         summary = summary.withColumn("category", F.lit(None).cast("string"))
     w_in, w_out = P.wasted_tokens(F.col("size"), F.col("avg_chars"), F.col("category"))
