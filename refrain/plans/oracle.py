@@ -6,7 +6,7 @@ of block Gram products), sharing only the fixed values.
 
 from __future__ import annotations
 
-from refrain.functions.text import MIN_SUBSTANTIAL_LEN, MIN_REPRESENTATIVE_LEN, NOISE_REGEX, WHITESPACE, _NOISE_HEAD
+from refrain.functions.text import MIN_SUBSTANTIAL_LEN, MIN_REPRESENTATIVE_LEN, NOISE_REGEX, WHITESPACE
 from refrain.operators.neighbours import eps2
 from refrain.operators.vectors import VOCAB_SIZE
 from refrain.sources.tables import DOC_EPOCH, DOC_PROJECT_ROOT, DOC_SESSIONS, DOC_STEP_MINUTES
@@ -24,7 +24,7 @@ def strip(e: str) -> str:
 
 
 def noise(e: str) -> str:
-    return f"regexp_matches(lower(left({e}, {_NOISE_HEAD})), {q(NOISE_REGEX)})"
+    return f"regexp_matches(lower({e}), {q(NOISE_REGEX)})"
 
 
 def substantial(e: str) -> str:
@@ -86,6 +86,12 @@ def tfidf_ctes(corpus: str) -> str:
     pnorm AS (SELECT pt.pid, coalesce(sum(v.val * v.val), 0.0) AS n2 FROM pt LEFT JOIN pvec v USING (pid) GROUP BY pt.pid)"""
 
 
+def vocabulary_ctes(corpus: str) -> str:
+    """Only the CTEs up to ``vocab``."""
+    every = tfidf_ctes(corpus)
+    return every[: every.index("    w AS (")].rstrip().rstrip(",")
+
+
 def dbscan_ctes(similarity: float, min_samples: int) -> str:
     """CTEs ``adj`` (ordered neighbour pairs), ``cores``, ``root``, ``lab(pid, cluster)`` over ``pt``/``pvec``/``pnorm``."""
     e2 = eps2(similarity)
@@ -118,10 +124,10 @@ def dbscan_ctes(similarity: float, min_samples: int) -> str:
         WHERE adj.p NOT IN (SELECT pid FROM cores) GROUP BY adj.p)"""
 
 
-def patterns_sql(corpus_sql: str, similarity: float = 0.75, min_samples: int = 3, classify_sql: str | None = None) -> str:
+def patterns_sql(corpus_sql: str, similarity: float = 0.75, min_samples: int = 3, classify_sql: str | None = None, one_offs: bool = False) -> str:
     """Whole pattern pipeline; ``classify_sql`` maps CTE ``summ`` to ``summ2`` with a ``category``."""
     cat = classify_sql or "summ2 AS (SELECT *, CAST(NULL AS VARCHAR) AS category FROM summ)"
-    where = "" if classify_sql is None else "WHERE category IS NULL OR category <> 'one-off-task'"
+    where = "" if classify_sql is None or one_offs else "WHERE category IS NULL OR category <> 'one-off-task'"
     return f"""
     WITH corpus AS ({corpus_sql}),
     {tfidf_ctes('corpus')},
@@ -153,11 +159,11 @@ def patterns_sql(corpus_sql: str, similarity: float = 0.75, min_samples: int = 3
         SELECT cluster, ts, ord, row_number() OVER (PARTITION BY cluster ORDER BY ts, ord) AS k FROM mem) WHERE k <= 10 GROUP BY cluster),
     agg AS (
         SELECT cluster, count(*) AS size, avg(length(text)) AS avg_chars, min(ts) AS first_seen, max(ts) AS last_seen,
-               min(md5(uuid)) AS h1, max(md5(uuid)) AS h2, min(uuid) AS u1, max(uuid) AS u2
+               bit_xor(('0x' || substr(md5(uuid), 1, 15))::BIGINT) AS hx, sum(('0x' || substr(md5(uuid), 16, 15))::BIGINT >> 30)::BIGINT AS hs
         FROM mem GROUP BY cluster),
     summ AS (
         SELECT a.cluster, printf('pat-%03d', row_number() OVER (ORDER BY a.size DESC, a.cluster)) AS id,
-               substr(md5(concat_ws('|', CAST(a.size AS VARCHAR), h1, h2, u1, u2)), 1, 8) AS pattern_key,
+               substr(md5(concat_ws('|', CAST(a.size AS VARCHAR), CAST(hx AS VARCHAR), CAST(hs AS VARCHAR))), 1, 8) AS pattern_key,
                coalesce(nullif({first_line('rep.representative_text', 80)}, ''), 'Unknown pattern') AS label,
                a.size, rep.representative_text,
                list_concat([rep.representative_text], coalesce(smp.s, [])) AS sample_texts,

@@ -17,6 +17,7 @@ from refrain.operators import neighbours as N
 from refrain.operators import vectors as V
 from refrain.plans import oracle as O
 from refrain.plans.scan import find_patterns
+from refrain.session import staged
 from refrain.sources.tables import conversation_messages, documents_messages, read_table
 
 AS_OF = dt.datetime(2024, 2, 10)  # fixed scan time for the registered queries
@@ -73,21 +74,22 @@ def f6_lookback_filter(spark, sf):
 
 @register(
     "f6_event_lookback",
-    "SELECT event_id, ts FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00'",
+    "SELECT event_id, ts FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-16 00:00:00'",
 )
 def f6_event_lookback(spark, sf):
     ev = read_table(spark, sf, "events")
-    since = M.since_from("30", dt.datetime(2024, 1, 31))
-    kept = M.filter_since(ev, since)
-    return kept.filter(F.col("ts").isNull() | (F.col("ts") < F.lit(dt.datetime(2024, 1, 31)))).select("event_id", "ts")
+    return M.filter_since(ev, M.since_from("15", dt.datetime(2024, 1, 31))).select("event_id", "ts")
 
 
 @register(
     "f9_default_timestamp",
-    f"SELECT uuid, coalesce(ts, TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}') AS ts FROM ({O.conversation_messages()})",
+    f"""SELECT uuid, coalesce(ts, TIMESTAMP '2024-02-10 00:00:00') AS ts FROM (
+        SELECT uuid, ts FROM ({O.conversation_messages()}) UNION ALL SELECT uuid, ts FROM ({O.documents_messages()}))""",
 )
 def f9_default_timestamp(spark, sf):
-    return M.default_ts(conversation_messages(spark, sf), AS_OF).select("uuid", "ts")
+    """Conversations have no times, documents do."""
+    both = conversation_messages(spark, sf).select("uuid", "ts").unionByName(documents_messages(spark, sf).select("uuid", "ts"))
+    return M.default_ts(both, AS_OF).select("uuid", "ts")
 
 
 @register("f11_substantial_messages", f"SELECT uuid, length(text) AS n_chars FROM ({DOC_CORPUS_SQL})")
@@ -139,34 +141,36 @@ def a4_scan_counters(spark, sf):
 
 # ---------------------------------------------------------------- 2.6 vectors
 _TFIDF = O.tfidf_ctes("corpus")
+_VOCAB = O.vocabulary_ctes("corpus")
 
 
-@register("w2_vocabulary", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF} SELECT v.term, s.cf, s.df, v.idx, round(v.idf, 6) AS idf FROM vocab v JOIN stats s USING (term)")
+def _doc_texts(spark, sf):
+    """The corpus, written once because two passes read it."""
+    return staged(doc_corpus(spark, sf).select(F.col("ord").alias("doc"), "text"), "corpus")
+
+
+@register("w2_vocabulary", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_VOCAB} SELECT v.term, s.cf, s.df, v.idx, round(v.idf, 6) AS idf FROM vocab v JOIN stats s USING (term)")
 def w2_vocabulary(spark, sf):
-    c = doc_corpus(spark, sf)
-    _, vocab = V.tfidf_vectors(c.select(F.col("ord").alias("doc"), "text"), spread=False)
+    _, vocab = V.tfidf_vectors(_doc_texts(spark, sf), spread=False)
     return vocab.select("term", "cf", "df", "idx", F.round("idf", 6).alias("idf"))
 
 
 @register("c3_tfidf_weights", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF} SELECT doc, idx, tf, round(val, 6) AS val FROM vec")
 def c3_tfidf_weights(spark, sf):
-    c = doc_corpus(spark, sf)
-    vecs, _ = V.tfidf_vectors(c.select(F.col("ord").alias("doc"), "text"), spread=False)
+    vecs, _ = V.tfidf_vectors(_doc_texts(spark, sf), spread=False)
     e = vecs.select("doc", F.explode(F.arrays_zip("idx", "tf", "val")).alias("e"))
     return e.select("doc", F.col("e.idx").alias("idx"), F.col("e.tf").alias("tf"), F.round("e.val", 6).alias("val"))
 
 
 @register("c3_zero_vectors", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_TFIDF} SELECT doc FROM vkey WHERE key = ''")
 def c3_zero_vectors(spark, sf):
-    c = doc_corpus(spark, sf)
-    vecs, _ = V.tfidf_vectors(c.select(F.col("ord").alias("doc"), "text"), spread=False)
+    vecs, _ = V.tfidf_vectors(_doc_texts(spark, sf), spread=False)
     return vecs.filter(F.size("idx") == 0).select("doc")
 
 
 # ---------------------------------------------------------------- J3, A15, C5-C8
 def _doc_points(spark, sf):
-    c = doc_corpus(spark, sf)
-    vecs, _ = V.tfidf_vectors(c.select(F.col("ord").alias("doc"), "text"), spread=False)
+    vecs, _ = V.tfidf_vectors(_doc_texts(spark, sf), spread=False)
     vecs = vecs.select("doc", "idx", "tf", "val")  # already checkpointed by tfidf_vectors
     return N.collapse(vecs, vecs.select("doc", F.col("doc").alias("ord")))
 
@@ -199,9 +203,18 @@ def c7_cluster_labels(spark, sf):
 
 
 # ---------------------------------------------------------------- patterns
-@register("c8_patterns_unclassified", O.patterns_sql(DOC_CORPUS_SQL, SIMILARITY, MIN_SAMPLES))
+def iso_dates(patterns: DataFrame) -> DataFrame:
+    """The dates as text."""
+    return patterns.withColumn("dates", F.transform("dates", lambda d: F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")))
+
+
+def iso_dates_sql(sql: str) -> str:
+    return f"SELECT * REPLACE (list_transform(dates, lambda d: strftime(d, '%Y-%m-%dT%H:%M:%S')) AS dates) FROM ({sql})"
+
+
+@register("c8_patterns_unclassified", iso_dates_sql(O.patterns_sql(DOC_CORPUS_SQL, SIMILARITY, MIN_SAMPLES)))
 def c8_patterns_unclassified(spark, sf):
-    return find_patterns(doc_corpus(spark, sf), SIMILARITY, MIN_SAMPLES, classify=False)
+    return iso_dates(find_patterns(doc_corpus(spark, sf), SIMILARITY, MIN_SAMPLES, classify=False))
 
 
 # ---------------------------------------------------------------- rules
@@ -211,17 +224,12 @@ from refrain.sources.curated import curated_messages, curated_sql  # noqa: E402
 
 
 def all_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents, user turns and curated rows as (uuid, text), spread by message.
-
-    The regex and substring work that follows is per row; hashing by uuid
-    spreads inputs stored in few row groups over every core.
-    """
-    msgs = (
+    """Documents, user turns and curated rows as (uuid, text); what follows is per row, so nothing is shuffled."""
+    return (
         documents_messages(spark, sf).select("uuid", "text")
         .unionByName(conversation_messages(spark, sf).select("uuid", "text"))
         .unionByName(curated_messages(spark).select("uuid", "text"))
     )
-    return V.spread_by_doc(msgs, "uuid")
 
 
 ALL_MESSAGES_SQL = f"""
@@ -260,17 +268,17 @@ def docs_and_curated(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("c10_keyword_categories", O.keyword_category(f"({DOCS_AND_CURATED_SQL})", "uuid", "text"))
 def c10_keyword_categories(spark, sf):
-    m = docs_and_curated(spark, sf).select("uuid", "text")
+    m = documents_messages(spark, sf).unionByName(curated_messages(spark)).select("uuid", "text")
     return C.classify_by_keywords(m, "uuid", "text", C.keyword_table(spark)).select("uuid", "category")
 
 
 _CLASSIFY_SUMM = f"summ2 AS (SELECT s.*, kc.category FROM summ s JOIN ({O.keyword_category('summ', 'cluster', 'representative_text')}) kc USING (cluster))"
 
 
-@register("f13_patterns_classified", O.patterns_sql(O.substantial_corpus(DOCS_AND_CURATED_SQL), SIMILARITY, MIN_SAMPLES, _CLASSIFY_SUMM))
+@register("f13_patterns_classified", iso_dates_sql(O.patterns_sql(O.substantial_corpus(DOCS_AND_CURATED_SQL), SIMILARITY, MIN_SAMPLES, _CLASSIFY_SUMM)))
 def f13_patterns_classified(spark, sf):
     corpus = M.substantial(docs_and_curated(spark, sf))
-    return find_patterns(corpus, SIMILARITY, MIN_SAMPLES, classify=True)
+    return iso_dates(find_patterns(corpus, SIMILARITY, MIN_SAMPLES, classify=True))
 
 
 # ---------------------------------------------------------------- dense vectors
@@ -321,12 +329,13 @@ def c11_centroid_classifier(spark, sf):
 
 @register(
     "a14_category_counts",
-    f"""WITH k AS ({O.keyword_category(f"({DOCS_AND_CURATED_SQL})", "uuid", "text")})
-        SELECT category, count(*) AS n_patterns FROM k GROUP BY category""",
+    f"""SELECT category, count(*) AS n_patterns FROM (
+        {O.patterns_sql(O.substantial_corpus(DOCS_AND_CURATED_SQL), SIMILARITY, MIN_SAMPLES, _CLASSIFY_SUMM, one_offs=True)}) GROUP BY category""",
 )
 def a14_category_counts(spark, sf):
-    m = docs_and_curated(spark, sf).select("uuid", "text")
-    return C.category_counts(C.classify_by_keywords(m, "uuid", "text", C.keyword_table(spark)))
+    """Patterns by category, before one-offs are removed."""
+    corpus = M.substantial(docs_and_curated(spark, sf))
+    return C.category_counts(find_patterns(corpus, SIMILARITY, MIN_SAMPLES, classify=True, one_offs=True))
 
 
 # ---------------------------------------------------------------- catalogues
@@ -380,6 +389,38 @@ def a12_tool_summary(spark, sf):
     return K.match_summary(K.tool_matches(_lower_texts(spark, sf), CS.tool_catalog(spark)))
 
 
+def _sample_texts(spark, sf):
+    """the saved samples of all patterns, which is what the catalogues are matched against."""
+    corpus = M.substantial(docs_and_curated(spark, sf))
+    return K.pattern_texts(find_patterns(corpus, SIMILARITY, MIN_SAMPLES, classify=False))
+
+
+_SAMPLES_SQL = f"SELECT unnest(sample_texts) AS text FROM ({O.patterns_sql(O.substantial_corpus(DOCS_AND_CURATED_SQL), SIMILARITY, MIN_SAMPLES)})"
+
+
+@register(
+    "a11_sample_tool_matches",
+    f"""WITH {O.catalog_hits(_SAMPLES_SQL, _TOOL_KW)},
+    best AS (SELECT h.*, c.name, c.install FROM hits h JOIN ({_TOOL_CAT}) c USING (id, pos)
+             QUALIFY row_number() OVER (PARTITION BY install ORDER BY hit_count DESC, pos) = 1)
+    SELECT id, name, install, hit_count, matched_keywords, row_number() OVER (ORDER BY hit_count DESC, pos) AS rank FROM best""",
+)
+def a11_sample_tool_matches(spark, sf):
+    m = K.tool_matches(_sample_texts(spark, sf), CS.tool_catalog(spark))
+    return m.select("id", "name", "install", "hit_count", "matched_keywords", "rank")
+
+
+@register(
+    "w7_sample_skill_matches",
+    f"""WITH {O.catalog_hits(_SAMPLES_SQL, _SKILL_KW)},
+    r AS (SELECT h.*, c.name, row_number() OVER (ORDER BY hit_count DESC, h.pos) AS rank FROM hits h JOIN ({_SKILL_CAT}) c USING (id, pos))
+    SELECT id, name, hit_count, matched_keywords, rank FROM r WHERE rank <= 6""",
+)
+def w7_sample_skill_matches(spark, sf):
+    m = K.skill_matches(_sample_texts(spark, sf), CS.skill_catalog(spark))
+    return m.select("id", "name", "hit_count", "matched_keywords", "rank")
+
+
 @register(
     "f18_pattern_texts",
     f"WITH p AS ({O.patterns_sql(DOC_CORPUS_SQL, SIMILARITY, MIN_SAMPLES)}) SELECT lower(unnest(sample_texts)) AS text FROM p",
@@ -390,7 +431,8 @@ def f18_pattern_texts(spark, sf):
 
 # ---------------------------------------------------------------- report rows and recommendations
 from refrain.operators import recommend as RC  # noqa: E402
-from refrain.sources.curated import inventory, inventory_sql  # noqa: E402
+from refrain.operators import inference as I  # noqa: E402
+from refrain.sources.curated import inventory, inventory_sql, responses, responses_sql  # noqa: E402
 
 _C8_SQL = O.patterns_sql(DOC_CORPUS_SQL, SIMILARITY, MIN_SAMPLES)
 _F13_SQL = O.patterns_sql(O.substantial_corpus(DOCS_AND_CURATED_SQL), SIMILARITY, MIN_SAMPLES, _CLASSIFY_SUMM)
@@ -407,11 +449,22 @@ def _f13(spark, sf):
     return find_patterns(corpus, SIMILARITY, MIN_SAMPLES, classify=True)
 
 
+_REPLIED_SQL = f"""SELECT p.* REPLACE (CASE WHEN r.reply IN ('repeatable-workflow', 'boilerplate-request', 'context-re-explanation', 'one-off-task')
+        THEN r.reply ELSE p.category END AS category)
+    FROM ({_F13_SQL}) p LEFT JOIN (SELECT regexp_replace(request_id, '^cat:', '') AS id, lower(trim(reply)) AS reply
+        FROM ({responses_sql()}) WHERE kind = 'category') r USING (id)"""
+
+
+def _replied(spark, sf):
+    """Classified patterns with the model's replies applied (J9): all categories but one-offs."""
+    return I.apply_categories(_f13(spark, sf), responses(spark))
+
+
 def _projects(spark, sf):
     return docs_and_curated(spark, sf).select("project_path").distinct()
 
 
-_SKILL_CAND = f"(category IS NULL OR category IN ('repeatable-workflow', 'boilerplate-request')) AND size >= {RC.MIN_SKILL_SIZE}"
+_SKILL_CAND = f"(category IS NULL OR category IN ('repeatable-workflow', 'boilerplate-request')) AND size >= 3"
 
 
 @register(
@@ -437,12 +490,12 @@ def f21_report_rows(spark, sf):
 
 @register(
     "f20_explain_rows",
-    f"""WITH p AS ({_F13_SQL}) SELECT id, list_transform(sample_texts[1:5], lambda x: left(x, 100)) AS samples,
+    f"""WITH p AS ({_REPLIED_SQL}) SELECT id, list_transform(sample_texts[1:5], lambda x: left(x, 100)) AS samples,
         CASE WHEN category IN ('repeatable-workflow', 'boilerplate-request') THEN 'skill'
              WHEN category = 'context-re-explanation' THEN 'patch' END AS action FROM p""",
 )
 def f20_explain_rows(spark, sf):
-    return RC.explain_rows(_f13(spark, sf))
+    return RC.explain_rows(_replied(spark, sf))
 
 
 def _lookup_sql(pid: str) -> str:
@@ -462,23 +515,24 @@ def f16_pattern_lookup_missing(spark, sf):
 
 
 def _slug_sql(e: str, n: int, default: str) -> str:
-    s = f"regexp_replace(lower({e}), '[^a-z0-9\\s-]', '', 'g')"
-    s = f"regexp_replace({s}, '\\s+', '-', 'g')"
+    space = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace())
+    s = f"regexp_replace({O.strip(f'lower({e})')}, '[^a-z0-9{space}-]', '', 'g')"
+    s = f"regexp_replace({s}, '[{space}]+', '-', 'g')"
     s = f"regexp_replace({s}, '-+', '-', 'g')"
     return f"coalesce(nullif(trim(left({s}, {n}), '-'), ''), {O.q(default)})"
 
 
 @register(
     "d1_skill_gaps",
-    f"""WITH p AS ({_C8_SQL}),
-    c AS (SELECT id, size, category, {_slug_sql("coalesce(label, 'pattern-' || id)", RC.SLUG_CHARS, 'pattern')} AS suggested_name FROM p WHERE {_SKILL_CAND}),
+    f"""WITH p AS ({_F13_SQL}),
+    c AS (SELECT id, size, category, {_slug_sql("coalesce(label, 'pattern-' || id)", 50, 'pattern')} AS suggested_name FROM p WHERE {_SKILL_CAND}),
     g AS (SELECT *, '.claude/skills/' || suggested_name || '/SKILL.md' AS suggested_path FROM c)
     SELECT {O.q(GAP_PROJECT)} AS project_path, id, suggested_name, suggested_path,
-           'Occurred ' || size || ' times (' || coalesce(category, 'unclassified') || ') - consistent enough to be a skill.' AS reason
+           size || ' requests of one kind (' || coalesce(category, 'unclassified') || '); a skill would answer them.' AS reason
     FROM g WHERE suggested_path NOT IN (SELECT rel_path FROM ({inventory_sql()}) WHERE project_path = {O.q(GAP_PROJECT)})""",
 )
 def d1_skill_gaps(spark, sf):
-    return RC.skill_gaps(_c8(spark, sf), inventory(spark), GAP_PROJECT)
+    return RC.skill_gaps(_f13(spark, sf), inventory(spark), GAP_PROJECT)
 
 
 _FEATURES_SQL = f"""
@@ -506,7 +560,7 @@ def d3_context_findings(spark, sf):
 @register(
     "d4_skill_drafts",
     f"""WITH p AS ({_C8_SQL}) SELECT id,
-        '.claude/skills/' || {_slug_sql('coalesce(label, id)', RC.SKILL_SLUG_CHARS, 'skill')} || '/SKILL.md' AS path,
+        '.claude/skills/' || {_slug_sql('coalesce(label, id)', 40, 'skill')} || '/SKILL.md' AS path,
         concat_ws(chr(10), '# ' || coalesce(label, id), '',
                   'Seen ' || size || ' times between ' || strftime(first_seen, '%Y-%m-%d') || ' and ' || strftime(last_seen, '%Y-%m-%d') || '.',
                   '', 'Example requests:', array_to_string(list_transform(sample_texts[1:3], lambda x: '- ' || x), chr(10))) AS body
@@ -518,17 +572,30 @@ def d4_skill_drafts(spark, sf):
 
 @register(
     "d4_context_patch",
-    f"""WITH p AS ({_F13_SQL}),
+    f"""WITH p AS ({_REPLIED_SQL}),
     ctx AS (SELECT id, '- ' || left(sample_texts[1], 100) AS line FROM p WHERE category = 'context-re-explanation'),
     has AS (SELECT count(*) AS n FROM ({inventory_sql()}) WHERE project_path = {O.q(GAP_PROJECT)} AND rel_path = 'CLAUDE.md')
     SELECT {O.q(GAP_PROJECT)} AS project_path, 'CLAUDE.md' AS path, 0 AS line_no,
-           CASE WHEN (SELECT count(*) FROM ctx) > 0 THEN '## Project context' ELSE 'No repeated context found.' END AS line
+           CASE WHEN (SELECT count(*) FROM ctx) > 0 THEN '## What requests keep repeating' ELSE 'No repeated context found.' END AS line
     WHERE (SELECT n FROM has) > 0
     UNION ALL
     SELECT {O.q(GAP_PROJECT)}, 'CLAUDE.md', CAST(regexp_extract(id, '(\\d+)$', 1) AS INTEGER), line FROM ctx WHERE (SELECT n FROM has) > 0""",
 )
 def d4_context_patch(spark, sf):
-    return RC.context_patch(_f13(spark, sf), inventory(spark), GAP_PROJECT)
+    return RC.context_patch(_replied(spark, sf), inventory(spark), GAP_PROJECT)
+
+
+@register(
+    "d4_script_drafts",
+    f"""WITH p AS ({_F13_SQL}) SELECT id,
+        'scripts/' || {_slug_sql('coalesce(label, id)', 40, 'workflow')} || '.sh' AS path,
+        concat_ws(chr(10), '#!/usr/bin/env bash', '# Draft for ' || id || ', asked for ' || size || ' times, for example:',
+                  array_to_string(list_transform(sample_texts[1:3], lambda x: '#   ' || regexp_replace(x, '\\s*\\n\\s*', ' ', 'g')), chr(10)),
+                  'set -euo pipefail', '# put the commands here') AS body
+        FROM p WHERE category = 'repeatable-workflow'""",
+)
+def d4_script_drafts(spark, sf):
+    return RC.script_drafts(_f13(spark, sf))
 
 
 @register(
@@ -559,19 +626,17 @@ def f22_match_rows(spark, sf):
 
 
 # ---------------------------------------------------------------- model requests / responses
-from refrain.operators import inference as I  # noqa: E402
-from refrain.sources.curated import responses, responses_sql  # noqa: E402
 
 
 @register(
     "j9_category_override",
-    f"""WITH p AS ({_C8_SQL}),
+    f"""WITH p AS ({_F13_SQL}),
     r AS (SELECT regexp_replace(request_id, '^cat:', '') AS id, lower(trim(reply)) AS reply FROM ({responses_sql()}) WHERE kind = 'category')
     SELECT p.id, CASE WHEN r.reply IN ({', '.join(O.q(c) for c in I.VALID_CATEGORIES)}) THEN r.reply ELSE p.category END AS category
     FROM p LEFT JOIN r USING (id)""",
 )
 def j9_category_override(spark, sf):
-    return I.apply_categories(_c8(spark, sf), responses(spark)).select("id", "category")
+    return _replied(spark, sf).select("id", "category")
 
 
 @register(
@@ -677,3 +742,43 @@ def c8_conversation_patterns(spark, sf):
     corpus = M.substantial(V.spread_by_doc(conversation_messages(spark, sf), "ord"))
     p = find_patterns(corpus, CONV_SIMILARITY, MIN_SAMPLES, classify=False)
     return p.select("id", "pattern_key", "label", "size", "representative_text", "sample_texts", "wasted_input_tokens", "wasted_output_tokens")
+
+
+# ---------------------------------------------------------------- session logs
+from refrain.sources import logs as L  # noqa: E402
+
+#: Lines that no reader may turn into a message.
+BAD_LINES = ['{"type": "user"', "[1, 2]", '"text"', "7", "", '{"type": "user", "message": null}', '{"type": "user", "message": "plain"}']
+
+
+def rendered_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``conversations`` as log lines (string and block contents, missing and broken fields), with bad lines among them."""
+    c = read_table(spark, sf, "conversations")
+    i = F.col("conv_id")
+    fields = [
+        F.col("role").alias("type"),
+        F.when(i % 6 != 0, F.concat(F.lit("c"), i, F.lit("-"), F.col("turn"))).alias("uuid"),
+        F.when(i % 4 != 0, F.concat(F.lit("/w/"), i % 4)).alias("cwd"),
+        F.when(i % 3 == 0, F.lit("2024-01-02T03:04:05Z")).when(i % 3 == 1, F.lit("yesterday")).alias("timestamp"),
+        F.when(i % 5 == 0, F.lit(True)).when(i % 5 == 1, F.lit(False)).alias("isSidechain"),
+    ]
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    blocks = F.array(block("tool_result", F.lit("not this")), block("text", F.col("text")), block("text", F.lit("  ")))
+    plain = F.to_json(F.struct(*fields, F.struct("role", F.col("text").alias("content")).alias("message")))
+    listed = F.to_json(F.struct(*fields, F.struct("role", blocks.alias("content")).alias("message")))
+    name = F.concat(F.lit("s%20"), i, F.lit("+x.jsonl"))
+    lines = c.select(F.when(i % 2 == 0, plain).otherwise(listed).alias("value"), F.concat(F.lit("file:/logs/proj%25"), i % 3, F.lit("/"), name).alias("file_path"), name.alias("file_name"))
+    bad = spark.createDataFrame([(b, "file:/logs/p/bad.jsonl", "bad.jsonl") for b in BAD_LINES], "value string, file_path string, file_name string")
+    return lines.unionByName(bad)
+
+
+@register(
+    "s3_parsed_log_messages",
+    f"""SELECT CASE WHEN conv_id % 6 <> 0 THEN 'c' || conv_id || '-' || turn ELSE '' END AS uuid,
+               's ' || conv_id || '+x' AS session_id, 'proj%' || conv_id % 3 AS project_dir,
+               CASE WHEN conv_id % 4 <> 0 THEN '/w/' || conv_id % 4 ELSE '.' END AS cwd,
+               CASE WHEN conv_id % 3 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' END AS ts, {O.strip('text')} AS text
+        FROM conversations WHERE role = 'user' AND conv_id % 5 <> 0 AND length({O.strip('text')}) > 0""",
+)
+def s3_parsed_log_messages(spark, sf):
+    return L.parse_lines(rendered_log_lines(spark, sf)).select("uuid", "session_id", "project_dir", "cwd", "ts", "text")

@@ -4,6 +4,7 @@ import datetime as dt
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from refrain.functions.text import slug, strip
@@ -91,6 +92,10 @@ def test_scan_results_round_trip(spark):
     assert not save_scan(p2.limit(0), path, "c", dt.datetime(2024, 3, 1))
     got = load_latest_scan(spark, path)
     assert sorted((r.id, r.size) for r in got.collect()) == [("pat-001", 5), ("pat-002", 4)]
+    assert save_scan(p1, path, "20240101", dt.datetime(2024, 4, 1))
+    assert [r.scan_id for r in load_latest_scan(spark, path).collect()] == ["20240101"]
+    with pytest.raises(ValueError):
+        save_scan(p2, path, "20240101", dt.datetime(2024, 5, 1))
 
 
 def test_centroid_classifier_selection(spark):
@@ -193,3 +198,40 @@ def test_scan_filters_keep_exactly_the_canonical_rows(spark):
         want = sorted(r.uuid for r in M.filter_since(base, since).select("uuid").collect())
         got = sorted(r.uuid for r in M.filter_since(documents_messages(spark, SF, since=since), since).select("uuid").collect())
         assert got == want, since
+
+
+def test_components_of_a_long_chain(spark):
+    """More nodes in a row than any fixed number of rounds would reach."""
+    n = 400
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(1000, 1000)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(n), 1000, 2000]], "pid long")
+    got = {r.pid: r.root for r in N.connected_components(nodes, edges).collect()}
+    assert got == {i: 0 for i in range(n)} | {1000: 1000, 2000: 2000}
+
+
+def test_slug_takes_unicode_space(spark):
+    rows = spark.createDataFrame([("foo\u00a0bar",), ("  a" + "b" * 60,), ("\u2003",)], "t string")
+    got = [r[0] for r in rows.select(slug("t", 40, "none")).collect()]
+    assert got == ["foo-bar", "a" + "b" * 39, "none"]
+
+
+def test_pattern_key_changes_with_an_inner_member(spark):
+    from refrain.operators.patterns import summarise
+
+    def key(uuids):
+        rows = [(0, 0, i, u, dt.datetime(2024, 1, 1), f"message number {i} of them all") for i, u in enumerate(uuids)]
+        members = spark.createDataFrame(rows, "cluster long, pid long, ord long, uuid string, ts timestamp, text string")
+        return summarise(members, spark.createDataFrame([(0, 0.0)], "pid long, d2 double")).first()["pattern_key"]
+
+    assert key("abcde") == key("edcba") != key("abxde")
+
+
+def test_large_keyword_tables_match_like_small_ones(spark, monkeypatch):
+    from refrain.functions import contains
+
+    texts = spark.createDataFrame([("lint and test",), ("tes",), ("",), ("a b",)], "t string")
+    words = spark.createDataFrame([("lint",), ("test",), ("es",), (" ",), ("",), ("zzz",)], "k string")
+    pairs = lambda: sorted(map(tuple, contains.contains_join(texts, "t", words, "k").collect()))
+    small = pairs()
+    monkeypatch.setattr(contains, "MAX_BROADCAST_KEYWORDS", 0)
+    assert pairs() == small and ("tes", "es") in small
