@@ -12,7 +12,7 @@ A stage sees what its predecessor kept and learns from the labels of those docum
 the columns of their input. Rows without id pass every filter but count in no training, and are no duplicates of
 anything; rows that repeat an id are one document, so one of them stays after ``minhash``. Other nulls, empty
 texts and empty tables are as defined by the operators. Input columns other than ``doc_id, text, source`` may have any
-names except ``_score``.
+name.
 """
 
 from __future__ import annotations
@@ -30,16 +30,21 @@ GOOD_FROM = 0.5
 TARGET_ENTROPY = 0.95
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Rows as one column, so that no column of theirs can clash with an operator's."""
+    return docs.select(F.struct(*docs.columns).alias("_doc"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    found = toxicity.scan(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
-    return found.filter(toxicity.probability(model, F.col("x")) < toxicity.THRESHOLD).select(*docs.columns)
+    found = toxicity.scan(whole(docs), model, id_col="_doc.doc_id", text_col="_doc.text", keep=["_doc"])
+    return found.filter(toxicity.probability(model, F.col("x")) < toxicity.THRESHOLD).select("_doc.*")
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.withColumn("_id", F.col("doc_id")), weights, id_col="_id", keep=docs.columns)
-    return scored.filter(F.col("score") >= GOOD_FROM).select(*docs.columns)
+    scored = quality.score(whole(docs), weights, id_col="_doc.doc_id", text_col="_doc.text", keep=["_doc"])
+    return scored.filter(F.col("score") >= GOOD_FROM).select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +60,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(docs, target_entropy=TARGET_ENTROPY)
-    return mixing.mix(docs, plan).select(*docs.columns)
+    wrapped = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_doc"))
+    return mixing.mix(wrapped, plan).select("_doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.load_ranks(public_tokenizers.path(BPE_RANKS))
-    coded = byte_bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
+    coded = byte_bpe.encode_decode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", "source", "ids", *bpe_digests(coded))
 
 
