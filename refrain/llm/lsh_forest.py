@@ -19,8 +19,8 @@ threshold ``s`` a region of base depth ``d`` is missed in all trees with probabi
 depth is the largest for which this stays below MISS. Similarity decisions use the exact test
 ``100 * |A & B| >= percent * |A | B|`` on 64-bit shingle hashes of the whole texts.
 
-What is shuffled: narrow signature rows, and the sets of those nodes that have a candidate. Sets are written once to
-the session's shared folder. No task holds more than two blocks of sets, and no pair lists are emitted: tasks return
+What is shuffled: narrow signature rows, and the texts and sets of those nodes that have a candidate (a bitmap of
+bounded size keeps the other texts where they are). Sets are written once to the session's shared folder. No task holds more than two blocks of sets, and no pair lists are emitted: tasks return
 links that connect components (fewer than the nodes they hold).
 
 Defined cases: a null or empty text, or one without words, has the empty set and links with nothing; a text with
@@ -48,6 +48,7 @@ SHINGLE, PERCENT = 5, 80
 TREES, DEPTH, LEAD = 16, 8, 2
 MISS = 3e-4
 REGION = 256  # nodes of a region (or block) that one task compares
+MAP_BITS = 25  # log2 of the bits of the map that sorts rows out
 SLICE = 4096  # shingles whose hashes are taken at once
 
 _RNG = np.random.default_rng(2024)
@@ -173,10 +174,6 @@ def _search(percent: int):
     return run
 
 
-def _prefix(column: str, depth: int) -> Column:
-    return F.substring(column, 1, depth * 4)
-
-
 def _near(depth: int):
     """Adjacent rows of an ordered partition that share tree and prefix."""
 
@@ -195,7 +192,30 @@ def _near(depth: int):
 def forest(nodes: DataFrame, trees: int = TREES) -> DataFrame:
     """``tree, sign, id``: every node once per tree with that tree's values."""
     wide = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    return nodes.select("id", "sign", wide).select("tree", F.expr(f"substring(sign, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("sign"), "id")
+    return nodes.select("id", "sign", wide).select("tree", _values(DEPTH).alias("sign"), "id")
+
+
+def _values(depth: int) -> Column:
+    """The first ``depth`` values of tree ``tree``."""
+    return F.expr(f"substring(sign, tree * {4 * DEPTH} + 1, {4 * depth})")
+
+
+def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Semi-join on ``id`` that leaves most rows where they are: a bitmap of bounded size sorts out those surely not wanted."""
+    n = wanted.count()
+    bits = 1 << min(MAP_BITS, max(10, (32 * n).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    parts = wanted.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m"))
+    marks = np.zeros(bits // 64, np.int64)
+    for w, m in parts.collect():  # at most 2^MAP_BITS / 64 rows
+        marks[w] = m
+    marks = np.unpackbits(marks.view(np.uint8), bitorder="little")
+
+    @F.arrow_udf("boolean")
+    def may_be(slots: pa.Array) -> pa.Array:
+        return pa.array(marks[slots.to_numpy(zero_copy_only=False)].astype(bool))
+
+    return rows.filter(may_be(slot)).join(wanted, "id", "left_semi")
 
 
 def near_duplicates(
@@ -215,12 +235,11 @@ def near_duplicates(
     copies = salted_join(usable.select("id", "digest"), groups.filter("size > 1").select("digest", "rep"), ["digest"])
     same = copies.select(F.col("rep").alias("a"), F.col("id").alias("b")).filter("a <> b")
 
-    woods = staged(forest(nodes), "forest")
-    lead = woods.filter(F.col("tree") < LEAD).repartitionByRange(partitions(spark), "tree", "sign", "id").sortWithinPartitions("tree", "sign", "id")
+    lead = forest(nodes, LEAD).repartitionByRange(partitions(spark), "tree", "sign", "id").sortWithinPartitions("tree", "sign", "id")
     first = staged(lead.mapInArrow(_near(depth), f"a {kind}, b {kind}").filter("a <> b").distinct(), "candidates")
-    regions = _region_members(woods, depth, region)
-    wanted = first.select(F.col("a").alias("id")).union(first.select("b")).union(regions.select("id")).distinct()
-    sets = texts.filter(F.col("id").isNotNull()).join(wanted, "id").mapInArrow(_sets(shingle), f"id {kind}, grams binary")
+    regions = _region_members(nodes, depth, region)
+    wanted = staged(first.select(F.col("a").alias("id")).union(first.select("b")).union(regions.select("id")).distinct(), "wanted")
+    sets = among(texts.filter(F.col("id").isNotNull()), wanted).mapInArrow(_sets(shingle), f"id {kind}, grams binary")
     sets = staged(sets.filter(F.length("grams") > 0).dropDuplicates(), "sets")
 
     side = lambda c, g: sets.select(F.col("id").alias(c), F.col("grams").alias(g))
@@ -235,17 +254,23 @@ def near_duplicates(
     )
 
 
-def _region_members(woods: DataFrame, depth: int, region: int) -> DataFrame:
-    """``tree, key, id, size`` of the regions with at least two nodes, divided while they're too large and can be."""
-    live, done = woods.withColumn("key", _prefix("sign", depth)), []
+def _region_members(nodes: DataFrame, depth: int, region: int) -> DataFrame:
+    """``key, id, size`` of the regions with at least two nodes, divided while they're too large and can be.
+
+    A key is a hash of tree and prefix, so only narrow rows move; should two keys ever be equal, their regions are
+    searched as one.
+    """
+    named = lambda rows, d: rows.select(F.xxhash64("tree", _values(d)).alias("key"), "tree", "id")
+    live, done = named(nodes.select("id", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")), depth), []
     for d in range(depth, DEPTH + 1):
-        sizes = live.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = staged(salted_join(live, sizes, ["tree", "key"]), "regions")
+        sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        sized = staged(salted_join(live, sizes, ["key"]), "regions")
         fits = F.lit(True) if d == DEPTH else F.col("size") <= region
-        done.append(sized.filter(fits).select("tree", "key", "id", "size"))
-        live = sized.filter(~fits).select("tree", "sign", "id", _prefix("sign", d + 1).alias("key"))
-        if live.isEmpty():
+        done.append(sized.filter(fits).select("key", "id", "size"))
+        large = sized.filter(~fits).select("tree", "id")
+        if large.isEmpty():
             break
+        live = named(large.join(nodes, "id"), d + 1)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -255,27 +280,27 @@ def _region_members(woods: DataFrame, depth: int, region: int) -> DataFrame:
 def _search_regions(regions: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, region: int, kind: str) -> DataFrame:
     """Links that the regions' members still lack."""
     near = parts.select(F.col("node").alias("id"), "component")
-    rows = regions.join(near, "id", "left").select("tree", "key", "id", "size", F.coalesce("component", "id").alias("comp"))
+    rows = regions.join(near, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
     rows = staged(rows, "members")
-    stats = rows.groupBy("tree", "key").agg(
+    stats = rows.groupBy("key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x"),
     ).filter("low <> high")
-    once = stats.groupBy("size", "s", "x").agg(F.min(F.struct("tree", "key")).alias("r")).select("r.tree", "r.key")
-    rows = staged(salted_join(rows.drop("size"), once, ["tree", "key"]), "open")
-    by_comp = rows.groupBy("tree", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = by_comp.groupBy("tree", "key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    once = stats.groupBy("size", "s", "x").agg(F.min("key").alias("key"))
+    rows = staged(salted_join(rows.drop("size"), once, ["key"]), "open")
+    by_comp = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
     blocks = largest.select(
-        "tree", "key", F.col("top.comp").alias("top"),
+        "key", F.col("top.comp").alias("top"),
         F.ceil(F.col("all") / region).cast("int").alias("n_all"), F.ceil((F.col("all") - F.col("top.n")) / region).cast("int").alias("n_query"),
     )
-    rows = salted_join(rows, blocks, ["tree", "key"]).withColumn("query", F.col("comp") != F.col("top"))
+    rows = salted_join(rows, blocks, ["key"]).withColumn("query", F.col("comp") != F.col("top"))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = ["tree", "key", "id", "comp"]
+    base = ["key", "id", "comp"]
     asked = rows.select(*base, every("n_query").alias("q"), mine("n_all").alias("a"), F.lit(False).alias("query"), F.col("query").alias("own"), mine("n_query").alias("home"))
     answers = asked.select(*base, "q", "a", (F.col("own") & (F.col("q") == F.col("home"))).alias("query"))
     asks = rows.filter("query").select(*base, mine("n_query").alias("q"), every("n_all").alias("a"), F.lit(True).alias("query"), mine("n_all").alias("home"))
     asks = asks.filter("a <> home").drop("home")  # where it is an answer of the block, that row asks too
     dealt = answers.unionByName(asks).join(sets, "id")
-    return dealt.groupBy("tree", "key", "q", "a").applyInPandas(_search(percent), f"a {kind}, b {kind}")
+    return dealt.groupBy("key", "q", "a").applyInPandas(_search(percent), f"a {kind}, b {kind}")
