@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from refrain.session import staged
 
+FILES_PER_CORE = 4
 SALTS = 8  # pieces into which the rows of one key are dealt
 
 
@@ -33,25 +34,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Only nodes with an edge to another node are returned; loops, repeated edges and edges with a null end
     are ignored. Node values may be of any type that has an order and a hash.
     """
-    live = staged(_plain(edges.select("a", "b")), "edges")
+    live = _kept(_plain(edges.select("a", "b")), "edges")
     images = []
     while not live.isEmpty():
-        images.append(staged(_images(live, len(images)), "images"))
+        images.append(_kept(_images(live, len(images)), "images"))
         to = images[-1]
         moved = salted_join(live, to.select(F.col("node").alias("a"), F.col("image").alias("na")), ["a"])
         moved = salted_join(moved, to.select(F.col("node").alias("b"), F.col("image").alias("nb")), ["b"])
-        live = staged(_plain(moved.select(F.col("na").alias("a"), F.col("nb").alias("b"))), "edges")
+        live = _kept(_plain(moved.select(F.col("na").alias("a"), F.col("nb").alias("b"))), "edges")
     if not images:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).filter(F.lit(False))
     found = images[-1]
     for to in reversed(images[:-1]):
         later = found.select(F.col("node").alias("image"), F.col("image").alias("last"))
         found = salted_join(to, later, ["image"], "left").select("node", F.coalesce("last", "image").alias("image"))
-    found = staged(found, "roots")
+    found = _kept(found, "roots")
     least = found.groupBy("image").agg(F.min("node").alias("component"))
     return salted_join(found, least, ["image"]).select("node", "component")
 
 
+def _kept(rows: DataFrame, label: str) -> DataFrame:
+    """Narrow rows in a few files per core: the rounds shrink fast, and small tables should be seen as such."""
+    return staged(rows.coalesce(FILES_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism), label)
+
+
 def _plain(edges: DataFrame) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     return edges.filter((F.col("a") != F.col("b"))).select(low.alias("a"), high.alias("b")).distinct()
