@@ -209,11 +209,12 @@ def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     marks = np.zeros(bits // 64, np.int64)
     for w, m in parts.collect():  # at most 2^MAP_BITS / 64 rows
         marks[w] = m
-    marks = np.unpackbits(marks.view(np.uint8), bitorder="little")
+    marks = marks.view(np.uint8)
 
     @F.arrow_udf("boolean")
     def may_be(slots: pa.Array) -> pa.Array:
-        return pa.array(marks[slots.to_numpy(zero_copy_only=False)].astype(bool))
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array((marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     return rows.filter(may_be(slot)).join(wanted, "id", "left_semi")
 

@@ -140,10 +140,15 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     ids = docs.select(F.col(id_col).alias("id")).distinct()
     cuts = ids.filter("id is not null").select(F.approx_percentile("id", [i / n for i in range(1, n)], 10_000).alias("p")).first()["p"] if n > 1 else None
-    place = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-        place = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("id"))))
+    bounds = np.array(sorted(set(cuts or [])))
+
+    @F.arrow_udf("int")
+    def range_of(keys: pa.Array) -> pa.Array:
+        known = keys.is_valid().to_numpy(zero_copy_only=False)
+        values = keys.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array(np.where(known, np.searchsorted(bounds, values, side="right"), 0).astype(np.int32))
+
+    place = range_of("id") if len(bounds) else F.lit(0)
     # the first id of every range belongs to the range before it too; the very first one to the last range
     firsts = sorted(ids.select(place.alias("range"), "id").groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("m")).collect(), key=lambda r: r["range"])
     lend = spark.createDataFrame(
