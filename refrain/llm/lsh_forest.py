@@ -8,7 +8,8 @@ prefixes are neighbours in that order.
    are candidates. Their similarity is computed on the full sets, and confirmed links are contracted to components.
    This merges nearly all copies with one comparison per node and tree.
 2. *Regions.* In every tree, nodes with a common prefix form a region. Its depth adapts: a region of more than
-   REGION nodes is divided at the next depth, down to the last one. Regions that still hold several components are
+   REGION nodes is divided at the next depth, down to the last one. Its nodes, also those that end up alone, are
+   ordered by as many further trees as the last depth needs. Regions that still hold several components are
    searched exactly: every node outside the region's largest component is compared with all nodes of the
    region that aren't in its own component. Regions of any size are dealt to tasks as a grid of blocks, so none is
    cut off; equal regions of several trees are searched once.
@@ -16,7 +17,10 @@ prefixes are neighbours in that order.
 
 A pair is thus found if it shares a region in some tree, or if its nodes meet through others. For a pair at the
 threshold ``s`` a region of base depth ``d`` is missed in all trees with probability ``(1 - s^d)^TREES``; the base
-depth is the largest for which this stays below MISS. Similarity decisions use the exact test
+depth is the largest for which this stays below MISS. A pair that meets in divided regions only is in the further trees
+with both nodes; their number is such that the last depth ``e`` is missed in all trees with a probability
+``(1 - s^e)^trees`` of at most what the base depth leaves of MISS. So MISS holds whatever the regions' sizes; regions
+of the last depth are searched at any size. Similarity decisions use the exact test
 ``100 * |A & B| >= percent * |A | B|`` on 64-bit shingle hashes of the whole texts.
 
 What is shuffled: narrow signature rows, and the texts and sets of those nodes that have a candidate (a bitmap of
@@ -32,6 +36,7 @@ table. The result holds the id and the operator's own columns only, so other inp
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +51,7 @@ from refrain.session import staged
 
 SHINGLE, PERCENT = 5, 80
 TREES, DEPTH, LEAD = 16, 8, 2
+MOST_TREES = 64  # that the last depth may need
 MISS = 3e-4
 REGION = 256  # nodes of a region (or block) that one task compares
 MAP_BITS = 25  # log2 of the bits of the map that sorts rows out
@@ -53,6 +59,7 @@ SLICE = 4096  # shingles whose hashes are taken at once
 
 _RNG = np.random.default_rng(2024)
 _FACTORS = _RNG.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MORE = np.random.default_rng(2025).integers(1, 2**63, MOST_TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +69,17 @@ def base_depth(percent: int, trees: int = TREES, depth: int = DEPTH, miss: float
     return max(fit, default=1)
 
 
+def last_depth(percent: int, trees: int = TREES, depth: int = DEPTH, miss: float = MISS, most: int = MOST_TREES) -> tuple[int, int]:
+    """Depth down to which large regions are divided, and the trees that keep the whole miss below ``miss`` there."""
+    s, base = percent / 100, base_depth(percent, trees, depth, miss)
+    left = miss - (1 - s**base) ** trees  # what a pair that shares no base prefix leaves
+    if left <= 0 or s >= 1:
+        return base, trees
+    need = {d: max(trees, math.ceil(math.log(left) / math.log1p(-(s**d)))) for d in range(base + 1, depth + 1)}
+    last = max((d for d, n in need.items() if n <= most), default=base)
+    return last, need.get(last, trees)
+
+
 def word_hash(word: bytes) -> tuple[int]:
     return (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"),)
 
@@ -91,12 +109,12 @@ def shingles(text: str, size: int, memo: WordTable) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(found: np.ndarray) -> bytes:
+def signature(found: np.ndarray, factors: np.ndarray = _FACTORS) -> bytes:
     """Minimum of every hash function over the set; big-endian, so that bytes sort like the values."""
-    least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint64)
+    least = np.full(len(factors), 0xFFFFFFFF, np.uint64)
     for at in range(0, len(found), SLICE):
         some = found[at : at + SLICE]
-        np.minimum(least, ((some[:, None] * _FACTORS[None, :]) >> np.uint64(32)).min(axis=0), out=least)
+        np.minimum(least, ((some[:, None] * factors[None, :]) >> np.uint64(32)).min(axis=0), out=least)
     return least.astype(">u4").tobytes()
 
 
@@ -125,6 +143,17 @@ def _sets(size: int):
     return run
 
 
+def _sign_sets(count: int):
+    """Minima of ``count`` further hash functions over sets that are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [signature(np.frombuffer(g, np.uint64), _MORE[:count]) for g in batch.column("grams").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(signs, pa.binary())], ["id", "sign"])
+
+    return run
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if 100 * len(small) < percent * len(large):
@@ -238,11 +267,15 @@ def near_duplicates(
 
     lead = forest(nodes, LEAD).repartitionByRange(partitions(spark), "tree", "sign", "id").sortWithinPartitions("tree", "sign", "id")
     first = staged(lead.mapInArrow(_near(depth), f"a {kind}, b {kind}").filter("a <> b").distinct(), "candidates")
-    regions = _region_members(nodes, depth, region)
-    wanted = staged(first.select(F.col("a").alias("id")).union(first.select("b")).union(regions.select("id")).distinct(), "wanted")
+    last, trees = last_depth(percent)
+    regions, divided = _region_members(nodes, depth, last, region)
+    wanted = staged(first.select(F.col("a").alias("id")).union(first.select("b")).union(regions.select("id")).union(divided).distinct(), "wanted")
     sets = among(texts.filter(F.col("id").isNotNull()), wanted).mapInArrow(_sets(shingle), f"id {kind}, grams binary")
     sets = staged(sets.filter(F.length("grams") > 0).dropDuplicates(), "sets")
 
+    if not divided.isEmpty():
+        regions = regions.unionByName(_further_members(sets, divided, last, trees - TREES, kind))
+
     side = lambda c, g: sets.select(F.col("id").alias(c), F.col("grams").alias(g))
     links = staged(first.join(side("a", "ga"), "a").join(side("b", "gb"), "b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links")
     found = links.unionByName(_search_regions(regions, connected_components(links), sets, percent, region, kind))
@@ -255,27 +288,43 @@ def near_duplicates(
     )
 
 
-def _region_members(nodes: DataFrame, depth: int, region: int) -> DataFrame:
-    """``key, id, size`` of the regions with at least two nodes, divided while they're too large and can be.
+def _region_members(nodes: DataFrame, depth: int, last: int, region: int) -> tuple[DataFrame, DataFrame]:
+    """``key, id, size`` of the regions with at least two nodes, divided while they're too large and can be; ``id`` of the nodes of divided ones.
 
     A key is a hash of tree and prefix, so only narrow rows move; should two keys ever be equal, their regions are
     searched as one.
     """
     named = lambda rows, d: rows.select(F.xxhash64("tree", _values(d)).alias("key"), "tree", "id")
     live, done = named(nodes.select("id", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")), depth), []
-    for d in range(depth, DEPTH + 1):
-        sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = staged(salted_join(live, sizes, ["key"]), "regions")
-        fits = F.lit(True) if d == DEPTH else F.col("size") <= region
+    divided = nodes.select("id").limit(0)
+    for d in range(depth, last + 1):
+        sized = _sized(live)
+        fits = F.lit(True) if d == last else F.col("size") <= region
         done.append(sized.filter(fits).select("key", "id", "size"))
         large = sized.filter(~fits).select("tree", "id")
         if large.isEmpty():
             break
+        if d == depth:
+            divided = staged(large.select("id").distinct(), "divided")
         live = named(large.join(nodes, "id"), d + 1)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out, divided
+
+
+def _sized(live: DataFrame) -> DataFrame:
+    """Rows of the keys with at least two rows, with their number."""
+    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return staged(salted_join(live, sizes, ["key"]), "regions")
+
+
+def _further_members(sets: DataFrame, divided: DataFrame, depth: int, trees: int, kind: str) -> DataFrame:
+    """``key, id, size`` of the regions of ``trees`` further trees, which hold the nodes of divided regions only."""
+    signed = sets.join(divided, "id", "left_semi").mapInArrow(_sign_sets(trees * depth), f"id {kind}, sign binary")
+    rows = signed.select("id", "sign", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    prefix = F.expr(f"substring(sign, tree * {4 * depth} + 1, {4 * depth})")
+    return _sized(rows.select(F.xxhash64(F.col("tree") + TREES, prefix).alias("key"), "id").distinct()).select("key", "id", "size")
 
 
 def _search_regions(regions: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, region: int, kind: str) -> DataFrame:

@@ -361,6 +361,25 @@ def test_near_duplicates_on_odd_rows(docs, no_docs):
     assert lsh_forest.near_duplicates(no_docs).count() == 0
 
 
+def test_isolated_pairs_at_the_threshold_in_a_large_region_are_found(spark):
+    # a template shared by all (similarity 0.78 at most) and pairs of documents at just 0.80 in it
+    rows = []
+    for pair in range(300):
+        for side in "ab":
+            own = [f"p{pair}x{i}" for i in range(6)] + [f"d{pair}{side}{i}" for i in range(49)]
+            rows.append((2 * pair + (side == "b"), " ".join([f"t{i}" for i in range(390)] + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = lsh_forest.near_duplicates(df, shingle=1, percent=80, region=64).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95])
+def test_large_regions_keep_the_miss_bound(percent):
+    s, base = percent / 100, lsh_forest.base_depth(percent)
+    last, trees = lsh_forest.last_depth(percent)
+    assert last == base or (1 - s**base) ** lsh_forest.TREES + (1 - s**last) ** trees <= lsh_forest.MISS
+
+
 # the pipeline
 
 
