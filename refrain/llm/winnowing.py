@@ -7,6 +7,8 @@ no passage shorter than ``k`` does. A text of fewer than SHORT code points keeps
 k-gram (which can only add matches); one of fewer k-grams than a window is one window; one shorter than ``k`` has the
 single hash of its whole text at position 0. The likeness of two fingerprints is the Jaccard index of their
 hashes, each as often as it was chosen (a text that repeats itself has few different ones); two empty ones are alike (1.0).
+Both sides of a pair are compared under one window: where only one of the texts is shorter than SHORT, every k-gram of
+both counts.
 
 ``neighbours`` puts every document beside the next one by ascending id (after the last: the first), without ordering
 the table in one task: ids alone give quantile boundaries; each document then goes to its range, the first one of the
@@ -63,6 +65,10 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
         power = power * power % 2**64
 
 
+def window_of(text: str, window: int) -> int:
+    return 1 if len(text) < SHORT else window
+
+
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Chosen hashes and their positions, in order of place."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -71,8 +77,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     if len(points) < k:
         whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         return np.frombuffer(whole, np.uint64) & ~_LOW, np.zeros(1, np.int64)
-    if len(points) < SHORT:
-        window = 1
+    window = window_of(text, window)
     n = len(points) - k + 1
     hashes, places = [], []
     for at in range(0, max(n - window + 1, 1), SLICE):
@@ -106,6 +111,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def alike(a: str, b: str, found_a: tuple, found_b: tuple, k: int = K, window: int = WINDOW) -> float:
+    """Likeness of two texts with known fingerprints, both under the smaller one of their windows."""
+    least = min(window_of(a, window), window_of(b, window))
+    x, y = (f if window_of(t, window) == least else winnow(t, k, least) for t, f in ((a, found_a), (b, found_b)))
+    return likeness(x[0], y[0])
+
+
 def digest(found: tuple[np.ndarray, np.ndarray]) -> str:
     """Hex digest of hashes and positions; empty for the empty fingerprint."""
     hashes, places = found
@@ -177,7 +189,7 @@ def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     changed = edited(last[2], text)
                     other = winnow(changed, k, window)
                     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((last[1], len(last[2]), sha, digest(last[3]), digest(other), likeness(last[3][0], other[0]), likeness(last[3][0], own[0])))
+                    out.append((last[1], len(last[2]), sha, digest(last[3]), digest(other), alike(last[2], changed, last[3], other, k, window), alike(last[2], text, last[3], own, k, window)))
                 last = None if borrowed else (place, key, text, own)
             columns = list(zip(*out)) if out else [()] * len(names)
             types = [batch.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -98,6 +98,18 @@ def test_shared_passages_share_a_hash():
         assert set(a) & set(b)
 
 
+def test_texts_on_both_sides_of_short_are_compared_alike():
+    draw = random.Random(5)
+    grams = lambda t: {t[i : i + winnowing.K] for i in range(len(t) - winnowing.K + 1)}
+    for long, short in [(100, 99), (110, 83), (133, 100), (100, 9)]:
+        text = "".join(draw.choice("abcdefgh ") for _ in range(long))
+        a, b = text, text[:short]
+        want = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        got = [winnowing.alike(x, y, winnowing.winnow(x), winnowing.winnow(y)) for x, y in ((a, b), (b, a))]
+        assert got[0] == got[1] and (short >= winnowing.SHORT or got[0] == pytest.approx(want))
+        assert got[0] > 0.6 or short < winnowing.K
+
+
 @pytest.mark.parametrize("text, size", [("", 0), (" \t\n", 0), ("a b", 1), ("A b c", 1), ("a b c d", 2), ("a b c a b c", 3)])
 def test_shingle_sets(text, size):
     assert len(lsh_forest.shingles(text, 3, lsh_forest.Words())) == size
