@@ -2,7 +2,10 @@
 
 A page becomes a tree of elements; scripts, styles and other parts that are never shown aren't read, and boilerplate
 subtrees are cut by element (navigation, page headers and footers, asides, forms ...) or by the words of their
-class, id and role (menus, adverts, notices, comments ...). Every paragraph-like block then gives points to its
+class, id and role (menus, adverts, notices, comments ...; not of headings and paragraphs). Such a subtree is read all
+the same when it holds most of the page's paragraph points and what is outside has less than a third as many, when it
+holds the page's largest article or main element and no more points are outside, or when it is a section of an article
+whose id only repeats its heading. If no text is left, words and forms cut nothing. Every paragraph-like block then gives points to its
 ancestors: one, one per comma, and one per 100 code points up to three; the parent gets all of them, the
 grandparent half, the next ones a sixth, a ninth and so on for LEVELS levels. A container's score is discounted by its link density (share of
 its text inside links). The container with the best score is kept, and so are those of its siblings that score at
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object svg math canvas audio video textarea title".split())
+RAW = set("script style noscript template iframe object svg annotation annotation-xml canvas audio video textarea title".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table "
@@ -36,6 +39,7 @@ BLOCKS = set(
 )
 CUT = set("nav header footer aside form fieldset button select option dialog menu label input output datalist head".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6 li dt th".split())
+PLAIN = set("html body article main p h1 h2 h3 h4 h5 h6".split())  # not cut by words
 HOLDERS = set("article main section div body td center".split())
 #: An open element of the value is ended by a start tag of the key.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,31 +55,53 @@ _MAIN = re.compile(r"article|main|content|story|post|entry|body|text")
 _PART = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]*))?""")
 _SPACE = re.compile(r"\s+")
+_SLUG = re.compile(r"[\W_]+")
+_TALK = re.compile(r"comment|disqus|respond|repl")
+HIDDEN, ELEMENT, WORD, TITLE = 1, 2, 3, 4  # why a subtree is cut; TITLE: a section by its id alone
 LEVELS = 6  # ancestors that a block gives points to
 
 
 class Node:
-    __slots__ = ("name", "parent", "marks", "parts", "children", "points", "chars", "linked", "cut", "kept")
+    __slots__ = ("name", "parent", "marks", "parts", "children", "points", "chars", "linked", "cut", "kept", "ident", "free", "dark")
 
-    def __init__(self, name: str, parent: Node | None, marks: str = "", cut: bool = False):
-        self.name, self.parent, self.marks, self.cut = name, parent, marks, cut
+    def __init__(self, name: str, parent: Node | None, marks: str = "", cut: int = 0, ident: str = ""):
+        self.name, self.parent, self.marks, self.cut, self.ident = name, parent, marks, cut, ident
         self.parts: list[str | Node] = []
         self.children: list[Node] = []
         self.points, self.kept = 0.0, False
         self.chars = self.linked = 0
+        self.free, self.dark = 0.0, False
 
 
-def _marks(raw: str) -> tuple[str, bool]:
-    """Class, id and role in lower case; whether the element is hidden."""
+def _marks(raw: str) -> tuple[str, str, bool]:
+    """Class, id and role in lower case; the id alone; whether the element is hidden."""
     if not raw.strip("/ \t\r\n"):
-        return "", False
-    words, hidden = [], False
+        return "", "", False
+    words, ident, hidden = [], "", False
     for m in _ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), unescape((m[2] or "").strip("\"'")).lower()
         if name in ("class", "id", "role", "aria-label"):
             words.append(value)
+            ident = value if name == "id" else ident
         hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None)
-    return " ".join(words), hidden
+    return " ".join(words), ident, hidden
+
+
+def _away(words: str) -> bool:
+    return bool(words) and _AWAY.search(words.replace("_", "-")) is not None
+
+
+def _why_cut(name: str, marks: str, ident: str, hidden: bool, inside: bool) -> int:
+    """Why the subtree of an element is cut, 0 if it isn't; ``inside`` an article or main."""
+    if hidden:
+        return HIDDEN
+    if name == "header" and inside:  # the article's own heading
+        return WORD if _away(marks.replace("header", " ")) else 0
+    if name in CUT:
+        return ELEMENT
+    if name in PLAIN or not _away(marks):
+        return 0
+    return TITLE if name == "section" and inside and not _away(marks.replace(ident, " ") if ident else marks) else WORD
 
 
 def parse(html: str) -> list[Node]:
@@ -134,11 +160,8 @@ def parse(html: str) -> list[Node]:
         if name in VOID:
             node.parts.append("\n" if name == "br" else " " if name != "hr" else Node("hr", node))
             continue
-        marks, hidden = _marks(m[2])
-        away = hidden or name in CUT or (name not in ("html", "body", "article", "main") and bool(marks) and _AWAY.search(marks.replace("_", "-")) is not None)
-        if away and name == "header" and for_open.get("article") and not _AWAY.search(marks):
-            away = False  # the article's own heading
-        child = Node(name, node, marks, away)
+        marks, ident, hidden = _marks(m[2])
+        child = Node(name, node, marks, _why_cut(name, marks, ident, hidden, bool(for_open.get("article") or for_open.get("main"))), ident)
         node.parts.append(child)
         if not m[0].endswith("/>") or name in BLOCKS:
             for_open[name] = for_open.get(name, 0) + 1
@@ -156,8 +179,8 @@ def _blocks_between(node: Node, name: str) -> bool:
     return False
 
 
-def _blocks(root: Node) -> list[tuple[Node, str, int]]:
-    """Text blocks outside the cut parts, in page order: innermost block element, text, code points inside links."""
+def _blocks(root: Node, least: int = HIDDEN, most: int = TITLE) -> list[tuple[Node, str, int]]:
+    """Text blocks outside the parts cut for these reasons, in page order: innermost block element, text, code points inside links."""
     out: list[tuple[Node, str, int]] = []
     held: list[str] = []
     links = 0
@@ -186,7 +209,7 @@ def _blocks(root: Node) -> list[tuple[Node, str, int]]:
         if isinstance(part, str):
             held.append(part)
             links += len(_SPACE.sub(" ", part).strip()) if in_link else 0
-        elif not part.cut:
+        elif not least <= part.cut <= most:
             if part.name in BLOCKS:
                 flush()
                 owner = part
@@ -199,15 +222,83 @@ def _blocks(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def _worth(node: Node, text: str, linked: int) -> float | None:
+    """Points that a block gives; none if it isn't like a paragraph."""
+    if node.name in HEADINGS or len(text) < 25 and node.name != "p":
+        return None
+    return (1 + text.count(",") + text.count("，") + min(len(text) // 100, 3)) * (1 - linked / len(text))
+
+
+def _heads_itself(node: Node) -> bool:
+    """Whether a section's id is its first heading, as text tools write it, and no more than a quarter of it is links."""
+    head = next((c for c in node.children if c.name in HEADINGS), None)
+    if head is None or _TALK.search(node.ident) or 4 * node.linked > node.chars:
+        return False
+    text, stack = [], [head]
+    while stack:
+        part = stack.pop()
+        text.append(part) if isinstance(part, str) else stack.extend(reversed(part.parts))
+    slug = lambda t: _SLUG.sub("-", t.lower()).strip("-")
+    return slug("".join(text)) == slug(node.ident)
+
+
+def _spare(nodes: list[Node]) -> None:
+    """Undo the cuts, but of hidden parts, that hold the article."""
+    if not any(n.cut > HIDDEN for n in nodes):
+        return
+    for node, text, linked in _blocks(nodes[0], HIDDEN, HIDDEN):
+        worth = _worth(node, text, linked) or 0.0
+        node.points += worth
+        node.free += worth
+        node.chars += len(text)
+        node.linked += linked
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.points += node.points
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+            node.parent.free += 0 if node.cut else node.free  # what is read as soon as the parent is
+    total, outside = nodes[0].points, nodes[0].free
+    articles = [n for n in nodes if n.name in ("article", "main") and n.points > 0 and not _away(n.marks)]
+    best = max(articles, key=lambda n: n.points, default=None)
+    holders, up = set(), best
+    while up is not None:
+        holders.add(up)
+        up = up.parent
+    for node in nodes:
+        node.dark = node.parent is not None and node.parent.dark
+        if node.dark or node.cut <= HIDDEN:
+            node.dark |= node.cut > 0
+        elif (
+            2 * node.points > total and 3 * outside < node.points
+            or node in holders and best.points >= outside
+            or node.cut == TITLE and node.points > 0 and _heads_itself(node)
+        ):
+            node.cut = 0
+            outside += node.free
+        else:
+            node.dark = True
+    for node in nodes:
+        node.points, node.chars, node.linked = 0.0, 0, 0
+
+
 def main_text(html: str | None) -> str:
     """The article of a page."""
     if not html:
         return ""
     nodes = parse(html)
-    root = nodes[0]
-    blocks = _blocks(root)
+    _spare(nodes)
+    blocks = _blocks(nodes[0])
     if not blocks:
-        return ""
+        for node in nodes:
+            if node.cut in (WORD, TITLE) or node.cut == ELEMENT and node.name in ("form", "fieldset"):
+                node.cut = 0
+        blocks = _blocks(nodes[0])
+    return _best_text(nodes, blocks) if blocks else ""
+
+
+def _best_text(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> str:
+    """Text of the best container and its like."""
     for node, text, linked in blocks:
         node.chars += len(text)
         node.linked += linked
@@ -217,9 +308,9 @@ def main_text(html: str | None) -> str:
             node.parent.linked += node.linked
     scored: list[Node] = []
     for node, text, linked in blocks:
-        if node.name in HEADINGS or len(text) < 25 and node.name != "p":
+        points = _worth(node, text, linked)
+        if points is None:
             continue
-        points = (1 + text.count(",") + text.count("，") + min(len(text) // 100, 3)) * (1 - linked / len(text))
         up = node if node.name in HOLDERS or node.parent is None else node.parent
         for level in range(LEVELS):
             if not up.points:

@@ -188,6 +188,32 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+OTHER = "<div class=menu><p>Not an article, just a menu</p></div>"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class='content has-sidebar'>{OTHER}<p>{LONG}</p><div class=sidebar><p>See also</p></div></div>", LONG),
+        (f"<div id=page class=no-sidebar><article><p>{LONG}</p></article><div class=related><article><p>Short, one</p></article></div></div>", LONG),
+        (f"<div class=nav-open><div class='overlay-root'><main><h1>T</h1><p>{LONG}</p></main></div></div>", f"T\n\n{LONG}"),
+        (f"<article><div class='side-image'><p>{LONG}</p></div></article>", LONG),
+        (f"<form action=x><input name=v><div id=page><nav><a href=x>Home</a></nav><p>{LONG}</p><select><option>x</select></div></form>", LONG),
+        (f"<article><p>{LONG}</p><h2 id=related-work>Related work</h2><p class=notice-text>{LONG}</p></article>", f"{LONG}\n\nRelated work\n\n{LONG}"),
+        (f"<article><header class=entry-header><h1>T</h1></header><p>{LONG}</p></article>", f"T\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section></article>", f"{LONG}\n\n{LONG}\n\nDiscussion\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><p>{LONG}</p><section id=comments><h2>Comments</h2><p>{LONG}</p></section></article>", f"{LONG}\n\n{LONG}"),
+        (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p></article>", f"{LONG} x=1"),
+        ("<div class=widget>short</div>", "short"),
+        (f"<div class=post><p>{LONG}</p></div><div id=comments><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+        (f"<div class=post><p>{LONG}</p></div><div class=related><article><p>Short, one</p></article></div>", LONG),
+        (f"<div class=sidebar style='display:none'><p>{LONG}</p></div>", ""),
+    ],
+)
+def test_wrappers_of_articles_are_read(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_broken_and_deep_pages_are_read():
     assert html_extract.main_text("<div>" * 20_000 + "x") == "x"
     assert html_extract.main_text("<p <b></p></div></p>a") in ("", "a")
