@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, chat_format, html_extract, lsh_forest, mixing, multi_index, quality, toxicity, warc, winnowing
+from refrain.llm import byte_bpe, chat_format, html_extract, lsh_forest, mixing, multi_index, quality, token_align, toxicity, warc, winnowing
 from refrain.llm.common import table
+from refrain.session import staged
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +132,20 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+ALIGN_A, ALIGN_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and link counts of two tokenizers' tokens, for every document."""
+    vocabularies = token_align.Vocabularies(public_tokenizers.path(ALIGN_A), public_tokenizers.path(ALIGN_B))
+    aligned = token_align.align(table(spark, sf_dir, "documents"), vocabularies)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    shown = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
+    aligned = staged(aligned.select(*shown[:-1], digest, "link_a", "link_b"), "aligned")
+    counted = token_align.with_counts(aligned, token_align.count_pairs(aligned), shown)
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 OP9_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, 'null') AS src,
@@ -177,6 +192,7 @@ QUERIES = {
     "op8_preference_format": op8_preference_format,
     "op9_source_mix": op9_source_mix,
     "op10_lsh_forest": op10_lsh_forest,
+    "op11_token_align": op11_token_align,
 }
 
 ORACLE = {
