@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, chat_format, html_extract, lsh_forest, mixing, multi_index, quality, token_align, toxicity, warc, winnowing
+from refrain.llm import byte_bpe, chat_format, hard_negatives, html_extract, lsh_forest, mixing, multi_index, quality, token_align, toxicity, warc, winnowing
 from refrain.llm.common import table
 from refrain.session import staged
 
@@ -146,6 +146,30 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among all embeddings."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding", label=moved)
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(256 * x::DOUBLE))) = 0),
+a AS (SELECT vec_id, label, q, min(n) AS n FROM v WHERE vec_id % 50 = 0 GROUP BY ALL),
+s AS (SELECT a.n AS a_n, a.vec_id AS anchor_id, v.n, v.vec_id, a.label = v.label AS same,
+        CASE WHEN len(a.q) = 0 THEN 0 ELSE list_inner_product(a.q, v.q)::BIGINT END AS score
+      FROM a JOIN v ON len(a.q) = len(v.q) AND a.vec_id <> v.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a_n ORDER BY score DESC, vec_id, n) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a_n = p.a_n AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
+QUALIFY row_number() OVER w <= 3
+WINDOW w AS (PARTITION BY p.a_n, p.n ORDER BY s.score DESC, s.vec_id, s.n)
+"""
+
+
 OP9_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, 'null') AS src,
@@ -193,10 +217,12 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_lsh_forest": op10_lsh_forest,
     "op11_token_align": op11_token_align,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE = {
     "op7_warc": OP7_SQL,
     "op8_preference_format": OP8_SQL,
     "op9_source_mix": OP9_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
