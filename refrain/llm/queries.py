@@ -6,9 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import byte_bpe, chat_format, hard_negatives, html_extract, lsh_forest, mixing, multi_index, quality, token_align, toxicity, warc, winnowing
+from refrain.llm import byte_bpe, chat_format, hard_negatives, html_extract, lsh_forest, mixing, multi_index, quality, secret_scan, token_align, toxicity, warc, winnowing
 from refrain.llm.common import table
-from refrain.session import staged
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,12 +137,8 @@ ALIGN_A, ALIGN_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups, links and link counts of two tokenizers' tokens, for every document."""
     vocabularies = token_align.Vocabularies(public_tokenizers.path(ALIGN_A), public_tokenizers.path(ALIGN_B))
-    aligned = token_align.align(table(spark, sf_dir, "documents"), vocabularies)
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-    shown = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
-    aligned = staged(aligned.select(*shown[:-1], digest, "link_a", "link_b"), "aligned")
-    counted = token_align.with_counts(aligned, token_align.count_pairs(aligned), shown)
-    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return token_align.align(table(spark, sf_dir, "documents"), vocabularies, keep={"groups_sha256": digest})
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +165,13 @@ WINDOW w AS (PARTITION BY p.a_n, p.n ORDER BY s.score DESC, s.vec_id, s.n)
 """
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added secret spans of every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}")
+    return found.select("doc_id", *map(number, range(3)), F.sha2(secret_scan.written("base"), 256).alias("base_sha256"), secret_scan.written("spans").alias("spans"))
+
+
 OP9_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, 'null') AS src,
@@ -218,6 +220,7 @@ QUERIES = {
     "op10_lsh_forest": op10_lsh_forest,
     "op11_token_align": op11_token_align,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE = {
