@@ -9,12 +9,12 @@ documents, and a cumulative sum of token lengths less its value at the document'
 which each token ends. An Acero hash join of both sides on the (document, end) key finds the tokens that end together:
 these pairs are the *links*, and their ends cut both token lists into the *groups* that cover equal bytes.
 
-How often a pair of ids is linked is counted over all documents: ``Table.group_by`` makes partial counts, one row per pair and
-task, and Spark adds them up. Tokens that end together have one's bytes as a suffix of the other's, so the
+How often a pair of ids is linked is counted over all documents: the same task makes partial counts by ``Table.group_by``, one
+per pair, and Spark adds them up. Tokens that end together have one's bytes as a suffix of the other's, so the
 number of different pairs is bounded by the vocabularies alone (``pair_bound``), however large the corpus; that is why the
-counts may be sent to all tasks, where a second Acero join puts them beside the links.
+counts may be broadcast to the links.
 
-Nothing else is shuffled: every row's tokens stay in its task. Defined cases: texts that are null, empty, or whose
+Texts are read by Python once and never shuffled; what is shuffled later is a few numbers per document. Defined cases: texts that are null, empty, or whose
 tokens on one side don't join to the bytes of ``space + text`` (a U+2581 in the text, say) have no tokens and no
 links, and count nowhere; names of special tokens inside a text are plain text; texts may have any length (a slice
 holds at least one whole text); repeated rows and null ids are rows like any other; an empty table gives an empty
@@ -32,14 +32,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20  # of text, taken at a time
-SLICE_LINKS = 1 << 20
-MEMO_WORDS = 400_000  # distinct words a task keeps at a time, and their ids
-MEMO_IDS = 1 << 23
-FLUSH_PAIRS = 1 << 20
+from refrain.session import staged
+
+SLICE_BYTES = 1 << 19  # of text, taken at a time
+MEMO_WORDS = 200_000  # distinct words a task keeps at a time, and their ids
+MEMO_IDS = 1 << 22
+FLUSH_PAIRS = 1 << 19  # partial counts that wait to be merged
+COUNTS_ROW = 1 << 14  # partial counts in a row
 SPACE = "▁"
 _ODD_BLANK = re.compile(r" (?:\s|\Z)")
 # Fixed value: the split that the byte-level pre-tokenizer of ``tokenizers`` applies.
@@ -86,13 +88,15 @@ class ByteLevelSide:
 
     def encoder(self):
         """Function from texts to their ids."""
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_str(self.spec)
-        own.encode_special_tokens = True
+        made = []
 
         def one(text: str) -> list[int]:
-            return own.encode(" " + text, add_special_tokens=False).ids
+            if not made:
+                from tokenizers import Tokenizer
+
+                made.append(Tokenizer.from_str(self.spec))
+                made[0].encode_special_tokens = True
+            return made[0].encode(" " + text, add_special_tokens=False).ids
 
         if not self.by_word:
             return lambda texts: map(one, texts)
@@ -247,7 +251,7 @@ def _plain(ids: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), pc.list_flatten(ids))
 
 
-COLUMNS = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "groups": pa.string(), "link_a": pa.list_(pa.int32()), "link_b": pa.list_(pa.int32())}
+COLUMNS = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "groups": pa.string(), "links": pa.list_(pa.int64())}
 
 
 def align_lists(a: pa.ListArray, b: pa.ListArray, side_a: Side, side_b: Side) -> dict[str, pa.Array]:
@@ -258,16 +262,16 @@ def align_lists(a: pa.ListArray, b: pa.ListArray, side_a: Side, side_b: Side) ->
     key, at_a, at_b = (links.column(c).to_numpy() for c in ("key", "at_a", "at_b"))
     order = np.argsort(at_a, kind="stable")  # the join keeps no order
     doc, at_a, at_b = key[order] >> 40, at_a[order], at_b[order]
-    names = []
+    names, ends = [], []
     for ids, side, at in ((a, side_a, at_a), (b, side_b, at_b)):
-        cuts = pa.array(np.concatenate([[0], at + 1]), pa.int32())
-        names.append(pc.binary_join(pa.ListArray.from_arrays(cuts, side.name.take(pc.list_flatten(ids))), ","))
+        cuts, flat = pa.array(np.concatenate([[0], at + 1]), pa.int32()), pc.list_flatten(ids)
+        names.append(pc.binary_join(pa.ListArray.from_arrays(cuts, side.name.take(flat)), ","))
+        ends.append(flat.take(pa.array(at)).cast(pa.int64()))
     group = pc.binary_join_element_wise(*names, "|")
-    link_a, link_b = (pc.list_flatten(ids).take(pa.array(at)) for ids, at in ((a, at_a), (b, at_b)))
     return {
         "n_a": pc.list_value_length(a).cast(pa.int64()), "n_b": pc.list_value_length(b).cast(pa.int64()),
         "n_groups": pa.array(np.bincount(doc, minlength=n).astype(np.int64)), "groups": pc.binary_join(_lists(doc, n, group), ";"),
-        "link_a": _lists(doc, n, link_a), "link_b": _lists(doc, n, link_b),
+        "links": _lists(doc, n, pc.add(pc.shift_left(ends[0], pa.scalar(32, pa.int64())), ends[1])),
     }
 
 
@@ -284,10 +288,27 @@ def align_texts(texts: list[str], words: Words, side_a: Side, side_b: Side) -> l
         return [found[c] for c in COLUMNS]
     place = np.full(len(texts), len(use))
     place[use] = np.arange(len(use))
-    none = {"n_a": 0, "n_b": 0, "n_groups": 0, "groups": "", "link_a": [], "link_b": []}
+    none = {"n_a": 0, "n_b": 0, "n_groups": 0, "groups": "", "links": []}
     return [pa.concat_arrays([found[c], pa.array([none[c]], kind)]).take(pa.array(place)) for c, kind in COLUMNS.items()]
 
 
+class PairCounts:
+    """Partial counts of links, merged whenever FLUSH_PAIRS wait: never more than that and the vocabularies' pairs."""
+
+    def __init__(self):
+        self.waiting: list[pa.Table] = []
+
+    def add(self, links: pa.Array) -> None:
+        counted = pa.table({"key": links}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+        self.waiting.append(counted.rename_columns(["key", "n"]))
+        if sum(t.num_rows for t in self.waiting) > FLUSH_PAIRS:
+            self.waiting = [self.merged()]
+
+    def merged(self) -> pa.Table:
+        summed = pa.concat_tables(self.waiting).group_by("key", use_threads=False).aggregate([("n", "sum")])
+        return summed.rename_columns(["key", "n"]).combine_chunks()
+
+
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive rows of at most ``most`` in sum, or a single larger one."""
     start, total = 0, 0
@@ -300,78 +321,56 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def align(docs: DataFrame, vocabularies: Vocabularies, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``COLUMNS`` of every row; ``groups`` lists ids as ``a1,a2|b1;a3|b2,b3``, links are paired by place in two lists."""
+def _kernel(vocabularies: Vocabularies):
+    """Rows ``place, id, COLUMNS`` of the documents, then rows of partial counts: keys in ``links``, numbers in ``counts``."""
     a, b = vocabularies.a, vocabularies.b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, side_a, side_b = Words(a, b), Side(a.pieces), Side(b.pieces)
+        words, side_a, side_b, counts = Words(a, b), Side(a.pieces), Side(b.pieces), PairCounts()
+        names, kind = ["place", "id", *COLUMNS, "counts"], None
         for batch in batches:
-            text = batch.column("text")
+            kind, text = batch.schema.field("id").type, batch.column("text")
             sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
             for i, j in _slices(sizes, SLICE_BYTES):
-                texts = [t or "" for t in text.slice(i, j - i).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), *align_texts(texts, words, side_a, side_b)], ["id", *COLUMNS])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(run, f"id {kind}, n_a long, n_b long, n_groups long, groups string, link_a array<int>, link_b array<int>")
-    return found.withColumnRenamed("id", id_col)
-
-
-def _links(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Table]]:
-    """Slices of rows with their links as ``row, key``; the key holds both ids."""
-    a, b = batch.column("link_a"), batch.column("link_b")
-    for i, j in _slices(pc.list_value_length(a).to_numpy(zero_copy_only=False), SLICE_LINKS):
-        one, two = a.slice(i, j - i), b.slice(i, j - i)
-        key = pc.add(pc.shift_left(pc.list_flatten(one).cast(pa.int64()), pa.scalar(32, pa.int64())), pc.list_flatten(two).cast(pa.int64()))
-        yield i, j, pa.table({"row": pc.list_parent_indices(one).cast(pa.int64()), "key": key})
-
-
-def count_pairs(aligned: DataFrame) -> DataFrame:
+                found = align_texts([t or "" for t in text.slice(i, j - i).to_pylist()], words, side_a, side_b)
+                counts.add(pc.list_flatten(found[-1]))
+                own = [batch.column(c).slice(i, j - i) for c in ("place", "id")]
+                yield pa.RecordBatch.from_arrays([*own, *found, pa.nulls(j - i, pa.list_(pa.int64()))], names)
+        if kind is None:
+            return
+        table = counts.merged()
+        for at in range(0, table.num_rows, COUNTS_ROW):
+            key, n = (pa.array([table.column(c).slice(at, COUNTS_ROW).to_numpy()], pa.list_(pa.int64())) for c in ("key", "n"))
+            empty = [pa.nulls(1, t) for t in (pa.int64(), kind, *list(COLUMNS.values())[:-1])]
+            yield pa.RecordBatch.from_arrays([*empty, key, n], names)
+
+    return run
+
+
+def pair_counts(partial: DataFrame) -> DataFrame:
     """``key, n, best`` of every linked id pair (A's id times 2^32 plus B's): its links, and whether no pair of its B id has more."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.Table] = []
-
-        def merged() -> pa.Table:
-            return pa.concat_tables(waiting).group_by("key", use_threads=False).aggregate([("n", "sum")]).rename_columns(["key", "n"]).combine_chunks()
-
-        for batch in batches:
-            for _, _, links in _links(batch):
-                waiting.append(links.group_by("key", use_threads=False).aggregate([([], "count_all")]).rename_columns(["key", "n"]))
-                if sum(t.num_rows for t in waiting) > FLUSH_PAIRS:
-                    waiting[:] = [merged()]
-        if waiting:
-            yield from merged().to_batches()
-
-    counts = aligned.select("link_a", "link_b").mapInArrow(partial, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = partial.select(F.explode(F.arrays_zip("links", "counts")).alias("p")).groupBy(F.col("p.links").alias("key")).agg(F.sum("p.counts").alias("n"))
     of_b = Window.partitionBy(F.expr("key & 4294967295"))  # the pairs of one B id: a part of pair_bound()
-    return counts.withColumn("best", F.col("n") == F.max("n").over(of_b))
+    return pairs.withColumn("best", (F.col("n") == F.max("n").over(of_b)).cast("long"))
 
 
-def with_counts(aligned: DataFrame, pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in ``keep`` and ``n_links, n_best, count_sum`` of every aligned row.
+def align(docs: DataFrame, vocabularies: Vocabularies, *, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+    """``id, n_a, n_b, n_groups, n_links, n_best, count_sum`` and the columns in ``keep`` of every row.
 
-    ``pairs`` has at most ``Vocabularies.pair_bound()`` rows, so it is sent to all tasks.
+    ``keep`` names expressions over ``n_a, n_b, n_groups, groups``; by default it is ``groups`` itself, the ids of all groups as
+    ``a1,a2|b1;a3|b2,b3``.
     """
-    sink = pa.BufferOutputStream()
-    table = pairs.select("key", "n", F.col("best").cast("long").alias("best")).toArrow()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    sent = aligned.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = pa.ipc.open_stream(sent.value).read_all()
-        for batch in batches:
-            for i, j, links in _links(batch):
-                met = links.join(counts, keys="key", join_type="inner", use_threads=False)
-                sums = met.group_by("row", use_threads=False).aggregate([([], "count_all"), ("best", "sum"), ("n", "sum")])
-                row = sums.column("row").to_numpy()
-                out = np.zeros((3, j - i), np.int64)
-                for k, c in enumerate(("count_all", "best_sum", "n_sum")):
-                    out[k, row] = sums.column(c).to_numpy()
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), *map(pa.array, out)], [*keep, "n_links", "n_best", "count_sum"])
-
-    kinds = ", ".join(f"`{c}` {aligned.schema[c].dataType.simpleString()}" for c in keep)
-    return aligned.select(*keep, "link_a", "link_b").mapInArrow(look, f"{kinds}, n_links long, n_best long, count_sum long")
+    keep = {"groups": F.col("groups")} if keep is None else keep
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = rows.mapInArrow(_kernel(vocabularies), f"place long, id {kind}, n_a long, n_b long, n_groups long, groups string, links array<long>, counts array<long>")
+    kept = F.struct(F.lit(0).alias("_"), *[c.alias(name) for name, c in keep.items()]).alias("kept")
+    found = staged(found.select("place", "id", "n_a", "n_b", "n_groups", kept, "links", "counts"), "aligned")
+    pairs = staged(pair_counts(found.filter("place is null")), "pairs")
+    own = found.filter("place is not null")
+    # at most vocabularies.pair_bound() pairs are broadcast; the rows of a document are together, so few numbers are shuffled
+    met = own.select("place", F.explode("links").alias("key")).join(F.broadcast(pairs), "key")
+    sums = met.groupBy("place").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    out = own.select("place", "id", "n_a", "n_b", "n_groups", "kept").join(sums, "place", "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_best", "count_sum")]
+    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", *numbers, *[F.col(f"kept.`{name}`").alias(name) for name in keep])

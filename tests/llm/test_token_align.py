@@ -94,12 +94,21 @@ def test_odd_texts(spark, plain, vocabularies, tmp_path):
     clash = "id n_a groups link_a key row".split()
     rows = [(None if i == 3 else i, t, *(["z"] * len(clash))) for i, t in enumerate(ODD)] + [(4, "x", *(["z"] * len(clash)))]
     docs = spark.createDataFrame(rows, ["doc_id", "text", *clash])
-    aligned = token_align.align(docs, vocabularies).withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).cache()
-    got = token_align.with_counts(aligned, token_align.count_pairs(aligned), ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"])
+    got = token_align.align(docs, vocabularies)
+    got = got.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(""))
     want = sorted(((r[0], *x) for r, x in zip(rows, plain([r[1] for r in rows]))), key=lambda r: (r[0] is None, r))
     assert digests(got.collect()) == want
-    empty = token_align.align(docs.filter("false"), vocabularies)
-    assert token_align.with_counts(empty, token_align.count_pairs(empty), ["doc_id"]).collect() == []
+    assert token_align.align(docs.filter("false"), vocabularies, keep={"place": F.col("groups")}).collect() == []
+    assert token_align.align(docs.filter("doc_id = 1"), vocabularies, keep={}).collect() == [(1, 0, 0, 0, 0, 0, 0)]
+
+
+def test_counts_merge_within_a_task(monkeypatch):
+    monkeypatch.setattr(token_align, "FLUSH_PAIRS", 3)
+    counts = token_align.PairCounts()
+    for part in ([1, 2, 2], [5, 1], [7], [], [2, 9, 9, 9]):
+        counts.add(pa.array(part, pa.int64()))
+    merged = counts.merged()
+    assert dict(zip(*(merged.column(c).to_pylist() for c in ("key", "n")))) == {1: 2, 2: 3, 5: 1, 7: 1, 9: 3}
 
 
 def test_word_wise_encoding_equals_whole_texts(vocabularies):
@@ -127,4 +136,4 @@ def test_slices_and_pair_bound():
     a, b = [b"a", b"ba", b""], [b"a", b"cba", b"a"]
     ends = sum(x.endswith(y) or y.endswith(x) for x in a if x for y in b if y)
     assert token_align.suffix_pairs(a, b) == ends
-    assert pa.types.is_list(token_align.COLUMNS["link_a"])
+    assert pa.types.is_list(token_align.COLUMNS["links"])
