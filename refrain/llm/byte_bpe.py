@@ -4,7 +4,7 @@ A text is split by the vocabulary's pattern (in the JVM, Unicode classes on); ea
 once: starting from its bytes, the adjacent pair with the lowest rank is joined, leftmost first, until no pair is
 in the rank map; the ids are the ranks of the remaining pieces. Occurrences take the ids of their distinct word by
 index, so the merges of a word are not repeated for its copies in a batch, and a bounded memo carries words over
-to later batches of the same worker. Decoding looks every id's byte piece up and concatenates the pieces; the
+to later batches of the same task. Decoding looks every id's byte piece up and concatenates the pieces; the
 result is binary because ids need not end on a character boundary.
 
 Two forms share these rules:
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,10 @@ from pyspark.sql import functions as F
 
 from refrain.llm.common import text_or_empty
 
-MEMO_WORDS = 400_000  # distinct words kept per worker; the memo is emptied when full
+MEMO_WORDS = 150_000  # distinct words kept in a task; the memo is emptied when full
 SLICE_ROWS = 512  # rows taken at a time within an Arrow batch
 LONG_WORD = 256  # bytes from which the heap is used
 NO_RANK = 1 << 60
-_MEMO: dict[str, dict[str, list[int]]] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,7 +93,7 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return bounds
 
 
-def encode_batch(words: pa.ListArray, ranks: dict[bytes, int], memo: dict[str, list[int]]) -> pa.ListArray:
+def encode_batch(words: pa.ListArray, ranks: dict[bytes, int], memo: dict[str, tuple[int, ...]]) -> pa.ListArray:
     """Ids of each row's words, concatenated."""
     coded = words.flatten().dictionary_encode()
     if len(memo) > MEMO_WORDS:
@@ -102,7 +102,7 @@ def encode_batch(words: pa.ListArray, ranks: dict[bytes, int], memo: dict[str, l
     for word in coded.dictionary.to_pylist():
         ids = memo.get(word)
         if ids is None:
-            ids = memo[word] = merge_word(word.encode(), ranks)
+            ids = memo[word] = tuple(merge_word(word.encode(), ranks))
         each.append(ids)
     n_ids = np.fromiter(map(len, each), np.int64, len(each))
     flat = np.fromiter((i for ids in each for i in ids), np.int32, int(n_ids.sum()))
@@ -136,27 +136,24 @@ def pieces_of(ranks: dict[bytes, int]) -> pa.Array:
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """Add ``ids array<int>`` and ``decoded binary`` (from the ids) to every row."""
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
-    name = f"{len(ranks)}:{hash(frozenset(ranks.items()))}"
 
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
-    def code(words: pa.Array) -> pa.Array:
-        memo = _MEMO.setdefault(name, {})
-        pieces = pieces_of(ranks) if name not in _PIECES else _PIECES[name]
-        _PIECES[name] = pieces
-        done = []
-        for at in range(0, len(words), SLICE_ROWS):
-            ids = encode_batch(words.slice(at, SLICE_ROWS), ranks, memo)
-            done.append(pa.StructArray.from_arrays([ids, decode_batch(ids, pieces)], fields=list(kind)))
-        return pa.concat_arrays(done) if done else pa.array([], kind)
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo, pieces = {}, pieces_of(ranks)  # of this task
+        for words in batches:
+            done = []
+            for at in range(0, len(words), SLICE_ROWS):
+                ids = encode_batch(words.slice(at, SLICE_ROWS), ranks, memo)
+                done.append(pa.StructArray.from_arrays([ids, decode_batch(ids, pieces)], fields=list(kind)))
+            yield pa.concat_arrays(done) if done else pa.array([], kind)
 
     words = F.regexp_extract_all(text_or_empty(text_col), F.lit("(?U)" + pattern), F.lit(0))
     others = [c for c in docs.columns if c not in (ids_col, decoded_col)]
-    coded = docs.select(*others, code(words).alias("_coded"))
-    return coded.select(*others, F.col("_coded.ids").alias(ids_col), F.col("_coded.decoded").alias(decoded_col))
+    # one column for the input's, so that none of theirs can clash
+    coded = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("own"), code(words).alias("coded"))
+    return coded.select(*[F.col(f"own.`{c}`").alias(c) for c in others], F.col("coded.ids").alias(ids_col), F.col("coded.decoded").alias(decoded_col))
 
 
-_PIECES: dict[str, pa.Array] = {}
-
 # The native form.
 
 BUCKETS = 4096

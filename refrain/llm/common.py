@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +31,20 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def slices(column: pa.Array, rows: int = 512) -> Iterator[list]:
+    """The values of a batch, a few rows at a time."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 class WordTable(dict):
-    """Memo of a worker: word (bytes) -> code, with one NumPy column per value that ``make`` derives from a word.
+    """Memo of a task: word (bytes) -> code, with one NumPy column per value that ``make`` derives from a word.
 
-    ``trim`` is called between texts and empties the memo when it holds more than ``limit`` words.
+    ``trim`` is called between texts and empties the memo when it holds more than ``limit`` words. Make one in the
+    generator of a task, so that it goes when the task ends; a worker lives longer.
     """
 
-    def __init__(self, make: Callable[[bytes], tuple], dtypes: list, limit: int = 400_000):
+    def __init__(self, make: Callable[[bytes], tuple], dtypes: list, limit: int = 150_000):
         super().__init__()
         self.make, self.limit = make, limit
         self.columns = [np.zeros(1024, kind) for kind in dtypes]

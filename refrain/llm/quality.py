@@ -20,15 +20,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import WordTable, id_fold, text_or_empty
+from refrain.llm.common import WordTable, id_fold, slices, text_or_empty
 
 BITS = 18
 SCALE = 16.0
@@ -38,6 +37,7 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
+STEP = 256  # texts whose features are made at a time
 
 _MIX, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CORE = re.compile(r"[^\W_]+")
@@ -55,7 +55,7 @@ def word_forms(word: bytes) -> tuple[int, int]:
     case = "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l" if core.islower() else "d" if core.isdigit() else "m" if core else ""
     around = _CORE.sub("w", text)
     if len(around) > 12:  # a long run of one sign counts as one form
-        around = re.sub(r"(.)\1+", r"\1+", around)[:24]
+        around = re.sub(r"(.)\1+", r"\1+", around)
     return _h("c" + core.lower()), _h("f" + case + around)
 
 
@@ -82,7 +82,24 @@ def sparse_row(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, SCALE * n / max(len(grams), 1)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 0, epochs: int = EPOCHS) -> np.ndarray:
+class SparseRows:
+    """Rows of a shard, ``(coordinates, values, label)`` each, over the flat columns ``at`` and ``n`` (uses of a coordinate)."""
+
+    def __init__(self, shard: pa.Table):
+        shard = shard.sort_by("id")  # the same order whatever the shuffle delivered
+        at, n = (shard.column(c).combine_chunks() for c in ("at", "n"))
+        self.at, self.n, self.y = at.flatten().to_numpy(), n.flatten().to_numpy(), shard.column("y").to_numpy()
+        self.upto = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))])
+
+    def __len__(self) -> int:
+        return len(self.y)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        own = slice(self.upto[i], self.upto[i + 1])
+        return self.at[own], SCALE * self.n[own] / max(self.n[own].sum(), 1), int(self.y[i])
+
+
+def train_ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], seed: int = 0, epochs: int = EPOCHS) -> np.ndarray:
     """Weights after ``epochs`` passes over ``(coordinates, values, label)``; the last weight is the bias."""
     z, n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)
     order = np.random.default_rng(seed)
@@ -131,21 +148,25 @@ def train(
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordForms()
         for batch in batches:
-            got = [sparse_row(hashed_ngrams(t.encode(), memo)) for t in batch.column("text").to_pylist()]
-            lists = [pa.array([g[i] for g in got], kind) for i, kind in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64())))]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("id"), batch.column("y"), *lists], ["shard", "id", "y", "at", "x"])
-
-    def learn(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")  # the same order whatever the shuffle delivered
-        w = train_ftrl([(np.asarray(a), np.asarray(x), y) for a, x, y in zip(part["at"], part["x"], part["y"])], seed=int(key[0]))
+            for i, texts in enumerate(slices(batch.column("text"), STEP)):
+                got = [np.unique(hashed_ngrams(t.encode(), memo), return_counts=True) for t in texts]
+                lists = [pa.array([g[k].astype(np.int32) for g in got], pa.list_(pa.int32())) for k in (0, 1)]
+                own = [batch.column(c).slice(i * STEP, STEP) for c in ("shard", "id", "y")]
+                yield pa.RecordBatch.from_arrays([*own, *lists], ["shard", "id", "y", "at", "n"])
+
+    def learn(key: tuple, shard: pa.Table) -> pa.Table:
+        w = train_ftrl(SparseRows(shard), seed=key[0].as_py())
         at = np.nonzero(w)[0]
-        return pd.DataFrame({"at": at, "w": w[at]})
+        # coordinate -1 counts the shards
+        return pa.table({"at": np.append(at, -1), "w": np.append(w[at], 1.0)})
 
-    sparse = rows.mapInArrow(features, "shard int, id string, y int, at array<bigint>, x array<double>")
-    parts = sparse.groupBy("shard").applyInPandas(learn, "at bigint, w double")
+    sparse = rows.mapInArrow(features, "shard int, id string, y int, at array<int>, n array<int>")
+    parts = sparse.groupBy("shard").applyInArrow(learn, "at bigint, w double")
+    sums = dict(parts.groupBy("at").agg(F.sum("w").alias("w")).collect())  # at most 2^BITS + 2 rows
+    learned = sums.pop(-1, 1.0)
     weights = np.zeros(2**BITS + 1)
-    for at, w in parts.groupBy("at").agg((F.sum("w") / F.lit(float(shards))).alias("w")).collect():  # at most 2^BITS + 1 rows
-        weights[at] = w
+    for at, w in sums.items():
+        weights[at] = w / learned
     return weights
 
 
@@ -153,22 +174,14 @@ def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_
     """``id``, the columns in ``keep``, ``score`` of every row."""
 
     @F.arrow_udf("double")
-    def dot(texts: pa.Array) -> pa.Array:
-        memo = _memo()
-        return pa.array([score_of(hashed_ngrams(t.encode(), memo), weights) for t in texts.to_pylist()], pa.float64())
+    def dot(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = WordForms()
+        for texts in batches:
+            yield pa.array([score_of(hashed_ngrams(t.encode(), memo), weights) for some in slices(texts) for t in some], pa.float64())
 
     return docs.select(id_col, *(keep or []), dot(text_or_empty(text_col)).alias("score"))
 
 
-_MEMO: list[WordTable] = []
-
-
-def _memo() -> WordTable:
-    if not _MEMO:
-        _MEMO.append(WordForms())
-    return _MEMO[0]
-
-
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT, **options) -> DataFrame:
     """``id, held_out, score, predicted`` of every document, learned from the labels outside the held-out fold."""
     weights = train(docs, labels, id_col=id_col, folds=folds, held_out=held_out, **options)

@@ -6,7 +6,7 @@ at most about MAX_ROWS training rows (a documented bound: by a hash of the id, s
 their labels); copies of a toxic document must not vouch for its words, so a token counts for no more toxic
 documents than it has different pairs of neighbours in them. The score of a token is its log-odds ratio under a Dirichlet prior that adds up to PRIOR documents (fewer
 for few labels) with the pooled rate of the token, less DRIFT; it is kept where it is positive and the ratio is at least Z_LEAST standard
-deviations above zero (and, as a documented bound on the model, among the MODEL_TOKENS most certain ones). A word
+deviations above zero; the model is bounded by the vocabulary of the MAX_ROWS training rows. A word
 without a score of its own takes its stem's; any other word costs DRIFT.
 
 *Scan.* The maximal scoring segments of a text (all of them, in linear time: a stack of candidates whose links skip
@@ -28,22 +28,23 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import WordTable, id_fold, text_or_empty
+from refrain.llm.common import WordTable, id_fold, slices, text_or_empty
 from refrain.session import staged
 
 STEM = 4
 PRIOR = 100.0
 Z_LEAST = 1.96
-MODEL_TOKENS = 65_536
 DRIFT = 2.0
 CALIBRATION = 5  # one in so many training rows calibrates, the others count tokens
 SIGNIFICANT = 0.05
+STRONG = 12.0  # powers of ten
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 MAX_ROWS = 50_000  # labelled rows that train the model
@@ -80,9 +81,10 @@ class Model:
 
 
 def surprise(x, log_k: float):
-    """-log10 of the extreme-value p-value."""
-    e = np.exp(np.clip(log_k - np.asarray(x, float), -60, 60))
-    return np.minimum(-np.log10(np.maximum(-np.expm1(-e), 1e-300)), 12.0)
+    """-log10 of the extreme-value p-value, on a logarithmic scale beyond STRONG."""
+    below = log_k - np.asarray(x, float)
+    value = np.where(below < -30, -below / np.log(10), -np.log10(np.maximum(-np.expm1(-np.exp(np.clip(below, -30, 60))), 1e-300)))
+    return np.where(value > STRONG, STRONG + np.log1p(np.maximum(value - STRONG, 0)), value)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -129,7 +131,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([names, *map(pa.array, grown)], ["token", "toxic", "clean", "clean_uses"])
 
     for batch in batches:
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
+        for text, y in zip(chain.from_iterable(slices(batch.column("text"))), batch.column("y").to_pylist()):
             codes = words.codes(text.encode())
             own, stem = (c[codes] for c in words.columns)
             both = np.concatenate([own, stem[stem >= 0]])
@@ -162,7 +164,7 @@ def _contexts(chosen: set[str]):
         words = WordTable(numbers, [np.int64] * 3)
         for batch in batches:
             tokens, near = [], []
-            for text in batch.column("text").to_pylist():
+            for text in chain.from_iterable(slices(batch.column("text"))):
                 words.trim()
                 codes = words.codes(text.encode())
                 if not len(codes):
@@ -230,7 +232,7 @@ def train(
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     part = F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(CALIBRATION)) == 0
     rows = texts.join(F.broadcast(usable), "id").withColumn("part", part)
-    n = {(r["part"], r["y"]): r["count"] for r in usable.withColumn("part", part).groupBy("part", "y").count().collect()}
+    n = {(r["part"], r["y"]): r["count"] for r in rows.groupBy("part", "y").count().collect()}  # labels with a text only
     n_toxic, n_clean = n.get((False, 1), 0), n.get((False, 0), 0)
     every = sum(n.values())
     share = sum(v for (_, y), v in n.items() if y) / every if every else 0.0
@@ -240,12 +242,11 @@ def train(
     counted = rows.filter(~F.col("part")).select("text", "y").mapInArrow(_count_tokens, "token string, toxic long, clean long, clean_uses long")
     counted = staged(counted.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "clean_uses")]), "toxic-counts")
     words = counted.filter(F.col("token").startswith("=")).agg(F.sum("clean_uses")).first()[0] or 1
-    chosen = log_odds(counted, n_toxic, n_clean).orderBy(F.desc("z"), "token").limit(MODEL_TOKENS)
-    first = {r["token"] for r in chosen.select("token").collect()}  # at most MODEL_TOKENS
+    first = {r["token"] for r in log_odds(counted, n_toxic, n_clean).select("token").collect()}  # tokens of at most MAX_ROWS texts
     uses = rows.filter(~F.col("part") & (F.col("y") == 1)).select("text").mapInArrow(_contexts(first), "token string, near long")
     uses = uses.distinct().groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
     counted = counted.join(uses, "token").withColumn("toxic", F.least("toxic", "uses")).drop("uses")
-    best = log_odds(counted, n_toxic, n_clean).orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).collect()
+    best = log_odds(counted, n_toxic, n_clean).orderBy("token").collect()
     if not best:
         return Model(intercept=base)
     model = Model({r["token"]: r["score"] for r in best})
@@ -273,26 +274,31 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     kind = pa.struct([("x", pa.float64()), ("n_words", pa.int32()), ("passages", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])))])
 
     @F.arrow_udf("struct<x: double, n_words: int, passages: array<struct<first: int, last: int, score: double>>>")
-    def look(texts: pa.Array) -> pa.Array:
-        words, out = WordTable(model.word_score, [np.float64]), []
-        for text in texts.to_pylist():
-            words.trim()
-            codes = words.codes(text.encode())
-            found = segments(words.columns[0][codes])
-            x = statistic(found, len(codes), model.lam)
-            least = (model.log_k + np.log(max(len(codes), 1)) - np.log(SIGNIFICANT)) / model.lam
-            passages = [{"first": a, "last": b, "score": s} for a, b, s in found if s >= least]
-            out.append({"x": x if np.isfinite(x) else None, "n_words": len(codes), "passages": passages})
-        return pa.array(out, kind)
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = WordTable(model.word_score, [np.float64])
+        for texts in batches:
+            out = []
+            for text in chain.from_iterable(slices(texts)):
+                words.trim()
+                codes = words.codes(text.encode())
+                found = segments(words.columns[0][codes])
+                x = statistic(found, len(codes), model.lam)
+                least = (model.log_k + np.log(max(len(codes), 1)) - np.log(SIGNIFICANT)) / model.lam
+                passages = [{"first": a, "last": b, "score": s} for a, b, s in found if s >= least]
+                out.append({"x": x if np.isfinite(x) else None, "n_words": len(codes), "passages": passages})
+            yield pa.array(out, kind)
 
     return docs.select(id_col, *(keep or []), look(text_or_empty(text_col)).alias("_s")).select(id_col, *(keep or []), "_s.x", "_s.n_words", "_s.passages")
 
 
 def probability(model: Model, x: Column) -> Column:
     """``Model.probability`` as a Spark expression."""
-    e = F.exp(F.least(F.greatest(F.lit(model.log_k) - x, F.lit(-60.0)), F.lit(60.0)))
+    below = F.lit(model.log_k) - x
+    e = F.exp(F.least(F.greatest(below, F.lit(-30.0)), F.lit(60.0)))
     p = F.greatest(-F.expm1(-e), F.lit(1e-300))
-    value = F.when(x.isNull(), F.lit(float(surprise(-np.inf, model.log_k)))).otherwise(F.least(-F.log10(p), F.lit(12.0)))
+    value = F.when(below < -30, -below / F.lit(float(np.log(10)))).otherwise(-F.log10(p))
+    value = F.when(value > STRONG, STRONG + F.log1p(value - STRONG)).otherwise(value)
+    value = F.when(x.isNull(), F.lit(float(surprise(-np.inf, model.log_k)))).otherwise(value)
     z = F.least(F.greatest(F.lit(model.intercept) + F.lit(model.slope) * value, F.lit(-35.0)), F.lit(35.0))
     return 1 / (1 + F.exp(-z))
 
