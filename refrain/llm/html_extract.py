@@ -7,8 +7,10 @@ the same when it holds most of the page's paragraph points and what is outside h
 holds the page's largest article or main element and no more points are outside, or when it is a section of an article
 whose id only repeats its heading. If no text is left, words and forms cut nothing. Every paragraph-like block then gives points to its
 ancestors: one, one per comma, and one per 100 code points up to three; the parent gets all of them, the
-grandparent half, the next ones a sixth, a ninth and so on for LEVELS levels. A container's score is discounted by its link density (share of
-its text inside links). The container with the best score is kept, and so are those of its siblings that score at
+grandparent half, the next ones a sixth, a ninth and so on. Wrappers, which hold no more text than one child, count as one
+with that child, however many there are. A container's score is discounted by its link density (share of
+its text inside links). The container with the best score is taken, or a larger one around it that has over twice as many
+paragraph points and few links (an article whose paragraphs lie apart); it is kept, and so are those of its siblings that score at
 least a fifth as much or are paragraphs of text with few links. The kept blocks are joined in page order.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
@@ -29,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refrain.llm.common import slices
+
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object svg annotation annotation-xml canvas audio video textarea title".split())
@@ -52,17 +56,22 @@ _AWAY = re.compile(
     r"toolbar\w*|pagination|pager|skip\w*|copyright|legal|disclaimer\w*|hidden|complementary|contentinfo|navigation|search\w*|alert\w*)(?![a-z])"
 )
 _MAIN = re.compile(r"article|main|content|story|post|entry|body|text")
-_PART = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]*))?""")
+#: A quote opens a value only after the equals sign; anywhere else it is part of a name, as browsers read it.
+_VALUE = r"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?"""
+_PART = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*" + _VALUE + r")?)*)(?:>|\Z)", re.S
+)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(" + _VALUE + "))?")
+_OWN_HEADER = re.compile(r"(?<!page)(?<!site)(?<!top)(?<!global)(?:^|[-_\s])header")
 _SPACE = re.compile(r"\s+")
 _SLUG = re.compile(r"[\W_]+")
 _TALK = re.compile(r"comment|disqus|respond|repl")
 HIDDEN, ELEMENT, WORD, TITLE = 1, 2, 3, 4  # why a subtree is cut; TITLE: a section by its id alone
-LEVELS = 6  # ancestors that a block gives points to
+LEVELS = 64  # ancestors with text of their own that a block gives points to: the last ones get less than a hundredth
 
 
 class Node:
-    __slots__ = ("name", "parent", "marks", "parts", "children", "points", "chars", "linked", "cut", "kept", "ident", "free", "dark")
+    __slots__ = ("name", "parent", "marks", "parts", "children", "points", "chars", "linked", "cut", "kept", "ident", "free", "dark", "top")
 
     def __init__(self, name: str, parent: Node | None, marks: str = "", cut: int = 0, ident: str = ""):
         self.name, self.parent, self.marks, self.cut, self.ident = name, parent, marks, cut, ident
@@ -71,6 +80,7 @@ class Node:
         self.points, self.kept = 0.0, False
         self.chars = self.linked = 0
         self.free, self.dark = 0.0, False
+        self.top: Node | None = None  # the outermost wrapper of this node alone
 
 
 def _marks(raw: str) -> tuple[str, str, bool]:
@@ -99,7 +109,7 @@ def _why_cut(name: str, marks: str, ident: str, hidden: bool, inside: bool) -> i
         return WORD if _away(marks.replace("header", " ")) else 0
     if name in CUT:
         return ELEMENT
-    if name in PLAIN or not _away(marks):
+    if name in PLAIN or not _away(_OWN_HEADER.sub(" ", marks) if inside else marks):
         return 0
     return TITLE if name == "section" and inside and not _away(marks.replace(ident, " ") if ident else marks) else WORD
 
@@ -306,13 +316,20 @@ def _best_text(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> str:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+    for node in nodes:  # parents first
+        up = node.parent
+        if up is not None and up.parent is not None and up.chars == node.chars and up.name not in ("article", "main", "body", "html"):
+            node.top = up.top or up
+        node.free = 0.0
     scored: list[Node] = []
     for node, text, linked in blocks:
         points = _worth(node, text, linked)
         if points is None:
             continue
         up = node if node.name in HOLDERS or node.parent is None else node.parent
+        up.free += points
         for level in range(LEVELS):
+            up = up.top or up
             if not up.points:
                 scored.append(up)
                 up.points = 1e-9 + _prior(up)
@@ -327,6 +344,14 @@ def _best_text(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> str:
     best = max(scored, key=value)
     while best.parent is not None and best.parent.name == "article":
         best = best.parent  # parts of one article belong together
+    for node in reversed(nodes):  # all paragraph points inside a node
+        if node.parent is not None:
+            node.parent.free += node.free
+    up = best.parent
+    while up is not None and up.parent is not None:
+        if up.free > 2 * best.free and 4 * up.linked <= up.chars:
+            best = up
+        up = up.parent
     best.kept = True
     for other in best.parent.children if best.parent is not None else ():
         if other is best or other.cut:
@@ -355,7 +380,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
 
     @F.arrow_udf("string")
     def read(html: pa.Array) -> pa.Array:
-        return pa.array([main_text(h) for h in html.to_pylist()], pa.string())
+        return pa.array([main_text(h) for some in slices(html, 64) for h in some], pa.string())
 
     shown = [c for c in (id_col, url_col) if c]
     out = pages.select(*shown, read(F.col(html_col).cast("string")).alias("text"))
