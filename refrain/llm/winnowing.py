@@ -3,18 +3,18 @@
 A text's k-grams of code points are hashed by a rolling polynomial (mod 2^64, then mixed); in every window of
 ``window`` consecutive hashes the least one is chosen, the rightmost of equal ones, and recorded once with its position.
 Any passage of at least ``window + k - 1`` code points that two texts share thus contributes an equal hash to both, and
-no passage shorter than ``k`` does. A text of fewer than SHORT code points keeps every
-k-gram (which can only add matches); one of fewer k-grams than a window is one window; one shorter than ``k`` has the
+no passage shorter than ``k`` does. A text of fewer k-grams than a window is one window; one shorter than ``k`` has the
 single hash of its whole text at position 0. The likeness of two fingerprints is the Jaccard index of their
 hashes, each as often as it was chosen (a text that repeats itself has few different ones); two empty ones are alike (1.0).
-Both sides of a pair are compared under one window: where only one of the texts is shorter than SHORT, every k-gram of
-both counts.
 
 ``neighbours`` puts every document beside the next one by ascending id (after the last: the first), without ordering
 the table in one task: ids alone give quantile boundaries; each document then goes to its range, the first one of the
 following range goes there too, and ranges are read in order as streams. A text crosses the network once (a few,
 one per range, twice).
 
+Ids are numbers (their quantiles are asked for); there are as many ranges as shuffle partitions, or one per RANGE_ROWS
+rows if that is more, so a task's share doesn't grow with the table.
+
 Defined cases: null text counts as empty; an empty text has an empty fingerprint; rows with equal ids are
 ordered by their text; null ids come first; a table of one row is its own neighbour; very long texts are hashed in
 slices, with the same result; an empty table gives an empty table. The results hold the id and the operator's own columns
@@ -24,6 +24,7 @@ only.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from refrain.llm.common import partitions, text_or_empty
 
 K, WINDOW = 10, 12
-SHORT = 100  # code points below which every k-gram is kept
+RANGE_ROWS = 20_000  # of a range, about
 SLICE = 1 << 18  # k-grams hashed at once
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)  # bits that order equal hashes within a slice
@@ -65,10 +66,6 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
         power = power * power % 2**64
 
 
-def window_of(text: str, window: int) -> int:
-    return 1 if len(text) < SHORT else window
-
-
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Chosen hashes and their positions, in order of place."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -77,7 +74,6 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     if len(points) < k:
         whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         return np.frombuffer(whole, np.uint64) & ~_LOW, np.zeros(1, np.int64)
-    window = window_of(text, window)
     n = len(points) - k + 1
     hashes, places = [], []
     for at in range(0, max(n - window + 1, 1), SLICE):
@@ -111,13 +107,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def alike(a: str, b: str, found_a: tuple, found_b: tuple, k: int = K, window: int = WINDOW) -> float:
-    """Likeness of two texts with known fingerprints, both under the smaller one of their windows."""
-    least = min(window_of(a, window), window_of(b, window))
-    x, y = (f if window_of(t, window) == least else winnow(t, k, least) for t, f in ((a, found_a), (b, found_b)))
-    return likeness(x[0], y[0])
-
-
 def digest(found: tuple[np.ndarray, np.ndarray]) -> str:
     """Hex digest of hashes and positions; empty for the empty fingerprint."""
     hashes, places = found
@@ -148,7 +137,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows ``range, borrowed, id, text`` sorted by range and id; ``borrowed`` rows are only there as the next of the last."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = max(partitions(spark), math.ceil(docs.count() / RANGE_ROWS))
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     ids = docs.select(F.col(id_col).alias("id")).distinct()
     cuts = ids.filter("id is not null").select(F.approx_percentile("id", [i / n for i in range(1, n)], 10_000).alias("p")).first()["p"] if n > 1 else None
@@ -189,7 +178,7 @@ def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     changed = edited(last[2], text)
                     other = winnow(changed, k, window)
                     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((last[1], len(last[2]), sha, digest(last[3]), digest(other), alike(last[2], changed, last[3], other, k, window), alike(last[2], text, last[3], own, k, window)))
+                    out.append((last[1], len(last[2]), sha, digest(last[3]), digest(other), likeness(last[3][0], other[0]), likeness(last[3][0], own[0])))
                 last = None if borrowed else (place, key, text, own)
             columns = list(zip(*out)) if out else [()] * len(names)
             types = [batch.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

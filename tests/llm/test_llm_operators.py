@@ -209,13 +209,16 @@ def test_fingerprints_beside_the_next_document(spark, docs, no_docs):
     assert spans[3] == [] and [(x["hash"] % 2**64, x["position"]) for x in spans[0]] == [(int(h), int(p)) for h, p in zip(*winnowing.winnow(words(60)))]
 
 
-def test_near_copies_around_the_short_length_are_near(spark):
+def test_likeness_is_that_of_the_returned_fingerprints(spark):
     draw = np.random.default_rng(6)
     text = "".join(draw.choice(list("abcdefgh "), 110))
-    df = spark.createDataFrame([(0, text[:100]), (1, text[:99]), (2, text), (3, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in winnowing.compare_neighbours(df).collect()}
-    assert got[0]["near_next"] > 0.9 and got[1]["near_next"] > 0.8  # 99 and 110 code points
-    assert got[2]["near_edited"] > 0.6  # cut to 83
+    texts = [text[:n] for n in (102, 101, 100, 99, 98, 110, 0, 9, 10, 21)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: np.array([x["hash"] for x in r["fingerprint"]], np.int64).view(np.uint64) for r in winnowing.fingerprints(df).collect()}
+    for r in winnowing.compare_neighbours(df).collect():
+        assert r["near_next"] == winnowing.likeness(spans[r["doc_id"]], spans[(r["doc_id"] + 1) % len(texts)])
+    near = {r["doc_id"]: r["near_next"] for r in winnowing.compare_neighbours(df).collect()}
+    assert min(near[i] for i in range(4)) > 0.7
 
 
 # 5
