@@ -67,12 +67,11 @@ def tfidf_ctes(corpus: str) -> str:
         SELECT ord AS doc, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM {corpus}),
     terms AS (
         SELECT doc, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM toks),
-    tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY doc, term),
-    stats AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term),
+    tf AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM terms GROUP BY doc, term),
     ndocs AS (SELECT count(*) AS n FROM {corpus}),
-    top AS (SELECT term, df FROM stats ORDER BY cf DESC, term ASC LIMIT {VOCAB_SIZE}),
+    top AS MATERIALIZED (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM tf GROUP BY term ORDER BY cf DESC, term ASC LIMIT {VOCAB_SIZE}),
     vocab AS (
-        SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx,
+        SELECT term, cf, df, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx,
                ln((1.0 + (SELECT n FROM ndocs)) / (1.0 + df)) + 1.0 AS idf FROM top),
     w AS (SELECT doc, idx, tf.tf, (1.0 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term)),
     nrm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc),
@@ -124,13 +123,16 @@ def dbscan_ctes(similarity: float, min_samples: int) -> str:
         WHERE adj.p NOT IN (SELECT pid FROM cores) GROUP BY adj.p)"""
 
 
-def patterns_sql(corpus_sql: str, similarity: float = 0.75, min_samples: int = 3, classify_sql: str | None = None, one_offs: bool = False) -> str:
-    """Whole pattern pipeline; ``classify_sql`` maps CTE ``summ`` to ``summ2`` with a ``category``."""
+def patterns_sql(corpus_sql: str, similarity: float = 0.75, min_samples: int = 3, classify_sql: str | None = None, one_offs: bool = False, points: str | None = None) -> str:
+    """Whole pattern pipeline; ``classify_sql`` maps CTE ``summ`` to ``summ2`` with a ``category``.
+
+    ``points``: CTEs ``vkey, pt, pvec, pnorm, vec`` over ``corpus`` instead of the TF-IDF ones.
+    """
     cat = classify_sql or "summ2 AS (SELECT *, CAST(NULL AS VARCHAR) AS category FROM summ)"
     where = "" if classify_sql is None or one_offs else "WHERE category IS NULL OR category <> 'one-off-task'"
     return f"""
     WITH corpus AS ({corpus_sql}),
-    {tfidf_ctes('corpus')},
+    {points or tfidf_ctes('corpus')},
     {dbscan_ctes(similarity, min_samples)},
     mem AS (
         SELECT c.*, k.key, pt.pid, lab.cluster FROM corpus c JOIN vkey k ON k.doc = c.ord

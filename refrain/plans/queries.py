@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from refrain.operators import messages as M
 from refrain.operators import neighbours as N
 from refrain.operators import vectors as V
+from refrain.operators.embed import embed
 from refrain.plans import oracle as O
 from refrain.plans.scan import find_patterns
 from refrain.session import staged
@@ -149,7 +150,7 @@ def _doc_texts(spark, sf):
     return staged(doc_corpus(spark, sf).select(F.col("ord").alias("doc"), "text"), "corpus")
 
 
-@register("w2_vocabulary", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_VOCAB} SELECT v.term, s.cf, s.df, v.idx, round(v.idf, 6) AS idf FROM vocab v JOIN stats s USING (term)")
+@register("w2_vocabulary", f"WITH corpus AS ({DOC_CORPUS_SQL}), {_VOCAB} SELECT term, cf, df, idx, round(idf, 6) AS idf FROM vocab")
 def w2_vocabulary(spark, sf):
     _, vocab = V.tfidf_vectors(_doc_texts(spark, sf), spread=False)
     return vocab.select("term", "cf", "df", "idx", F.round("idf", 6).alias("idf"))
@@ -258,6 +259,74 @@ def a5_rule_counts(spark, sf):
     return R.rule_counts(all_messages(spark, sf))
 
 
+# ---------------------------------------------------------------- rules and keywords as large tables
+from refrain.functions.contains import contains_join  # noqa: E402
+from refrain.operators import rules_index as RI  # noqa: E402
+
+
+def benchmark_words(spark: SparkSession, sf: str) -> DataFrame:
+    """``item_id, at, word``: the lower-case ASCII words of every benchmark item, in order."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return read_table(spark, sf, "benchmark").select("item_id", F.posexplode(words).alias("at", "word"))
+
+
+BENCHMARK_WORDS_SQL = """
+    SELECT item_id, unnest(range(0, len(w))) AS at, unnest(w) AS word
+    FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)"""
+
+
+RULE_WORD = 4  # shorter words make no rule
+
+
+def derived_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The five fixed rules, and one per pair of neighbouring benchmark words, in three forms by the length of the first."""
+    w = benchmark_words(spark, sf)
+    pairs = w.join(w.select("item_id", (F.col("at") - 1).alias("at"), F.col("word").alias("next")), ["item_id", "at"]).select("word", "next").distinct()
+    pairs = pairs.filter((F.length("word") >= RULE_WORD) & (F.length("next") >= RULE_WORD))
+    made = pairs.select(
+        F.concat_ws(" ", "word", "next").alias("name"),
+        F.when(F.length("word") % 3 == 0, F.concat(F.lit("(?i)"), "word", F.lit(r"\s+"), "next"))
+        .when(F.length("word") % 3 == 1, F.concat(F.lit("(?i)[ (]("), "word", F.lit("|"), "next", F.lit("ing) [a-z]{5,6} ?"), F.substring("next", 1, 2)))
+        .otherwise(F.concat("word", F.lit(r"[,.]? (x{0}|the )"), "next")).alias("regex"),
+    )
+    return R.rules_table(spark).select("name", "regex").unionByName(made)
+
+
+# ``needle`` and ``other``: a text without both has no match, which spares the twin most of its regex calls
+DERIVED_RULES_SQL = rf"""
+    SELECT name, regex, '' AS needle, '' AS other FROM ({O.rules_values()}) UNION ALL
+    SELECT word || ' ' || next, CASE length(word) % 3 WHEN 0 THEN '(?i)' || word || '\s+' || next
+        WHEN 1 THEN '(?i)[ (](' || word || '|' || next || 'ing) [a-z]{{5,6}} ?' || left(next, 2)
+        ELSE word || '[,.]? (x{{0}}|the )' || next END, word, CASE length(word) % 3 WHEN 1 THEN next || 'ing' ELSE word END
+    FROM (SELECT DISTINCT a.word, b.word AS next FROM ({BENCHMARK_WORDS_SQL}) a JOIN ({BENCHMARK_WORDS_SQL}) b ON a.item_id = b.item_id AND b.at = a.at + 1)
+    WHERE length(word) >= {RULE_WORD} AND length(next) >= {RULE_WORD}"""
+
+
+@register(
+    "j1_rules_as_table",
+    f"""SELECT r.name, count(*) AS n_matches, min(m.uuid) AS first_uuid
+        FROM (SELECT *, lower(text) AS low FROM ({ALL_MESSAGES_SQL})) m JOIN ({DERIVED_RULES_SQL}) r
+        ON (contains(m.low, r.needle) OR contains(m.low, r.other)) AND regexp_matches(m.text, r.regex) GROUP BY r.name""",
+)
+def j1_rules_as_table(spark, sf):
+    """Rules made from a table, found through their required strings."""
+    hits = RI.rule_hits(all_messages(spark, sf), derived_rules(spark, sf), rule="name")
+    return hits.groupBy("name").agg(F.count(F.lit(1)).alias("n_matches"), F.min("uuid").alias("first_uuid"))
+
+
+@register(
+    "j2_keyword_automaton",
+    f"""SELECT k.word, count(*) AS n_texts, min(m.ord) AS first_ord
+        FROM (SELECT ord, lower(text) AS t FROM ({O.documents_messages()})) m JOIN (SELECT DISTINCT word FROM ({BENCHMARK_WORDS_SQL})) k ON contains(m.t, k.word)
+        GROUP BY k.word""",
+)
+def j2_keyword_automaton(spark, sf):
+    """Which benchmark words occur in which documents, read once through an automaton."""
+    texts = documents_messages(spark, sf).select("ord", F.lower("text").alias("t"))
+    hits = contains_join(texts, "t", benchmark_words(spark, sf).select("word").distinct(), "word", nested=0)
+    return hits.groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"), F.min("ord").alias("first_ord"))
+
+
 # ---------------------------------------------------------------- classification
 DOCS_AND_CURATED_SQL = f"SELECT * FROM ({O.documents_messages()}) UNION ALL SELECT * FROM ({curated_sql()})"
 
@@ -301,6 +370,30 @@ def c4_dense_dbscan_labels(spark, sf):
     return N.dbscan(points, DENSE_SIMILARITY, MIN_SAMPLES)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTER_SIMILARITY = 0.995
+
+
+def letter_model():
+    """A stand-in for a model, as a caller would supply it: how often each letter occurs."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.lower().count(c) for c in LETTERS] for t in texts], float)
+
+
+_LETTER_POINTS = O.dense_point_ctes(
+    "(SELECT ord, list_transform(string_split('" + ",".join(LETTERS) + "', ','), lambda c: length(lower(text)) - length(replace(lower(text), c, ''))) AS v FROM corpus)", "ord", "v"
+) + ", vec AS (SELECT doc, unnest(range(0, len(v))) AS idx, unnest(v) AS val FROM unit)"
+
+
+@register("p3_model_patterns", iso_dates_sql(O.patterns_sql(DOC_CORPUS_SQL, LETTER_SIMILARITY, MIN_SAMPLES, points=_LETTER_POINTS)))
+def p3_model_patterns(spark, sf):
+    """Patterns over vectors of a model that the caller supplies."""
+    corpus = doc_corpus(spark, sf)
+    vectors = embed(corpus, "ord", "text", letter_model, len(LETTERS))
+    return iso_dates(find_patterns(corpus, LETTER_SIMILARITY, MIN_SAMPLES, classify=False, vectors=vectors))
+
+
 @register(
     "c11_centroid_classifier",
     f"""WITH {_EMB_DB},

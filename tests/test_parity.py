@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF
 
-TABLES = "documents conversations embeddings events pages labels".split()
+TABLES = "documents conversations embeddings events pages labels benchmark".split()
 FAST = [k for k in E.oracle_sql()]
 
 
