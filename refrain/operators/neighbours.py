@@ -5,7 +5,8 @@ Two vectors are neighbours when ``|a|^2 + |b|^2 - 2 a.b <= 2 (1 - s) + 1e-9``;
 this is the Euclidean test on normalised vectors and also treats zero vectors
 right (zero-zero distance 0, zero-unit distance 1).
 
-Plan (all shuffles keyed by generated block ids, so no content key can be hot):
+Plan (all shuffles keyed by generated block ids, so no content key can be hot; where epsilon is small against
+the spread of the points, ``cells.py`` replaces steps 2 to 4):
 
 1. *Collapse*: equal vectors become one point with a ``mult`` (copies) and the
    lowest ``ord`` as its id. Same labels, far fewer pairs.
@@ -17,8 +18,8 @@ Plan (all shuffles keyed by generated block ids, so no content key can be hot):
 4. *Pass 2*: the same block pairs with core flags; each task reduces its
    core-core edges to a star forest (one edge per core, never all pairs) and
    its border links to one core per local component.
-5. *Components*: randomised contraction of the forest (``components.py``), until
-   no edge is left; each round is written to the session's checkpoint folder.
+5. *Components*: of at most FINISH edges in one task; of more by randomised contraction of the forest
+   (``components.py``), whose rounds are written to the session's checkpoint folder.
 6. Borders join the adjacent cluster discovered first (lowest root ``ord``);
    points with no core neighbour are noise and dropped.
 """
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,7 @@ from refrain.operators import components
 from refrain.session import ensure_checkpoint_dir
 
 DEFAULT_BLOCK = 2048
+FINISH = 1_000_000  # edges that one task joins: about 100 MB
 EPS_SLACK = 1e-9
 LAST_RUN = {}  # timing of the latest component search, for bench.py
 
@@ -131,6 +134,36 @@ def _weights_fn(thr: float):
     return fn
 
 
+def reduced_links(pts: pd.DataFrame, ii: np.ndarray, jj: np.ndarray) -> pd.DataFrame:
+    """``kind, a, b`` for the neighbours ``ii, jj`` among ``pts``: a star per local component of cores, border links to their centres."""
+    core = pts["core"].to_numpy(bool)
+    pid = pts["pid"]
+    n = len(pts)
+    cc = core[ii] & core[jj]
+    lab = _local_components(n, ii[cc], jj[cc])
+    # centre each local star on its lowest pid, so the global label
+    # propagation starts close to its fixed point
+    keys = pid.to_numpy() if pid.dtype.kind in "iu" else np.arange(n)
+    rank = np.empty(n, dtype=np.int64)
+    rank[np.argsort(keys, kind="stable")] = np.arange(n)
+    best = np.full(n, n, dtype=np.int64)
+    np.minimum.at(best, lab, rank)
+    lab = np.argsort(rank)[best[lab]]
+    star = np.nonzero(core & (lab != np.arange(n)))[0]
+    # border links: non-core endpoint -> local component of the core endpoint
+    b1 = (~core[ii]) & core[jj]
+    b2 = core[ii] & (~core[jj])
+    bp = np.concatenate([ii[b1], jj[b2]])
+    bc = lab[np.concatenate([jj[b1], ii[b2]])]
+    if len(bp):
+        pairs = np.unique(np.stack([bp, bc], axis=1), axis=0)
+        bp, bc = pairs[:, 0], pairs[:, 1]
+    kinds = ["e"] * len(star) + ["b"] * len(bp)
+    a = pd.concat([pid.iloc[lab[star]], pid.iloc[bp]], ignore_index=True)
+    b = pd.concat([pid.iloc[star], pid.iloc[bc]], ignore_index=True)
+    return pd.DataFrame({"kind": pd.Series(kinds, dtype=object), "a": a, "b": b})
+
+
 def _links_fn(thr: float):
     def fn(key, pdf):
         bi, bj = int(key[0]), int(key[1])
@@ -149,32 +182,7 @@ def _links_fn(thr: float):
             xr, nr = _densify(right, dim)
             ii, jj = np.nonzero(_adjacency(xl, nl, xr, nr, thr))
             jj = jj + len(left)
-        core = pts["core"].to_numpy(bool)
-        pid = pts["pid"]
-        n = len(pts)
-        cc = core[ii] & core[jj]
-        lab = _local_components(n, ii[cc], jj[cc])
-        # centre each local star on its lowest pid, so the global label
-        # propagation starts close to its fixed point
-        keys = pid.to_numpy() if pid.dtype.kind in "iu" else np.arange(n)
-        rank = np.empty(n, dtype=np.int64)
-        rank[np.argsort(keys, kind="stable")] = np.arange(n)
-        best = np.full(n, n, dtype=np.int64)
-        np.minimum.at(best, lab, rank)
-        lab = np.argsort(rank)[best[lab]]
-        star = np.nonzero(core & (lab != np.arange(n)))[0]
-        # border links: non-core endpoint -> local component of the core endpoint
-        b1 = (~core[ii]) & core[jj]
-        b2 = core[ii] & (~core[jj])
-        bp = np.concatenate([ii[b1], jj[b2]])
-        bc = lab[np.concatenate([jj[b1], ii[b2]])]
-        if len(bp):
-            pairs = np.unique(np.stack([bp, bc], axis=1), axis=0)
-            bp, bc = pairs[:, 0], pairs[:, 1]
-        kinds = ["e"] * len(star) + ["b"] * len(bp)
-        a = pd.concat([pid.iloc[lab[star]], pid.iloc[bp]], ignore_index=True)
-        b = pd.concat([pid.iloc[star], pid.iloc[bc]], ignore_index=True)
-        return pd.DataFrame({"kind": pd.Series(kinds, dtype=object), "a": a, "b": b})
+        return reduced_links(pts, ii, jj)
 
     return fn
 
@@ -216,16 +224,39 @@ def core_links(points: DataFrame, similarity: float, n_blocks: int) -> DataFrame
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``pid, root`` of every node, root = lowest pid of its component (nodes without an edge are their own)."""
+    """``pid, root`` of every node, root = lowest pid of its component (nodes without an edge are their own).
+
+    Up to FINISH edges (a checked bound) are joined by one task; more go through rounds of contraction.
+    """
     started = time.time()
-    found = components.connected_components(edges)
+    small = _pid_type(nodes) == "bigint" and edges.count() <= FINISH
+    found = edges.coalesce(1).mapInPandas(_joined, "node bigint, component bigint") if small else components.connected_components(edges)
     LAST_RUN.update(component_seconds=round(time.time() - started, 3))
     return nodes.join(found, nodes["pid"] == found["node"], "left").select("pid", F.coalesce("component", "pid").alias("root"))
 
 
-def dbscan(points: DataFrame, similarity: float = 0.75, min_samples: int = 3, block: int = DEFAULT_BLOCK) -> DataFrame:
+def _joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lowest member of every node's component."""
+    edges = pd.concat([*parts, pd.DataFrame({"a": [], "b": []}, dtype="int64")])
+    nodes, at = np.unique(edges[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for a, b in at.reshape(-1, 2).tolist():
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": nodes, "component": nodes[[top(i) for i in range(len(nodes))]] if len(nodes) else nodes})
+
+
+def dbscan(points: DataFrame, similarity: float = 0.75, min_samples: int = 3, block: int = DEFAULT_BLOCK, cells: bool | None = None) -> DataFrame:
     """C5-C8 on collapsed points (``pid, mult, idx, val``) -> ``pid, cluster, core``.
 
+    ``cells``: neighbours by metric cells (True), by block pairs (False), or by what costs less (None).
+
     ``cluster`` is the root: the lowest pid among the cluster's core points,
     i.e. the order in which a sequential scan would discover the cluster.
     Noise points are not returned. ``pid`` may be any orderable type (e.g. a
@@ -239,11 +270,18 @@ def dbscan(points: DataFrame, similarity: float = 0.75, min_samples: int = 3, bl
         points = points.withColumn("nid", F.monotonically_increasing_id()).checkpoint(eager=True)
         idmap = points.select(F.col("nid").alias("pid"), F.col("pid").alias("opid"))
         points = points.drop("pid").withColumnRenamed("nid", "pid")
-    n_blocks = block_count(points.count(), block)
-    weights = neighbour_weights(points, similarity, n_blocks)
+    from refrain.operators import cells as metric  # it builds on this module
+
+    n_points = points.count()
+    n_blocks = block_count(n_points, block)
+    parted = metric.partition(points, similarity, n_points, block, force=bool(cells)) if cells is not False and n_points else None
+    if parted:
+        points = parted[0]
+    weights = metric.cell_weights(*parted, similarity, block) if parted else neighbour_weights(points, similarity, n_blocks)
     flagged = points.join(weights, "pid").withColumn("core", F.col("n_neighbours") >= F.lit(min_samples))
     flagged = flagged.checkpoint(eager=True)
-    links = core_links(flagged, similarity, n_blocks).checkpoint(eager=True)
+    links = metric.cell_links(flagged, parted[1], similarity, block) if parted else core_links(flagged, similarity, n_blocks)
+    links = links.checkpoint(eager=True)
     cores = flagged.filter("core").select("pid")
     roots = connected_components(cores, links.filter(F.col("kind") == "e").select("a", "b"))
     if integral:

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refrain.operators import cells as metric
 from refrain.operators import messages as M
 from refrain.operators import neighbours as N
 from refrain.operators import vectors as V
@@ -370,6 +371,24 @@ def c4_dense_dbscan_labels(spark, sf):
     return N.dbscan(points, DENSE_SIMILARITY, MIN_SAMPLES)
 
 
+CLOSE_SIMILARITY = 0.95
+
+
+@register(
+    "j3_metric_cells",
+    f"""WITH {_EMB_DB}, {O.dbscan_ctes(CLOSE_SIMILARITY, 2)}
+    SELECT cnt.pid, cnt.n AS n_neighbours, lab.cluster FROM cnt LEFT JOIN lab USING (pid)""",
+)
+def j3_metric_cells(spark, sf):
+    """Neighbour counts and clusters of close vectors, by metric partitioning."""
+    vecs, _ = _embedding_vectors(spark, sf)
+    points, _ = N.collapse(vecs, vecs.select("doc", F.col("doc").alias("ord")))
+    points = staged(points, "points")
+    rows, sizes = metric.partition(points, CLOSE_SIMILARITY, points.count(), N.DEFAULT_BLOCK, force=True)
+    found = N.dbscan(points, CLOSE_SIMILARITY, 2, cells=True).select("pid", "cluster")
+    return metric.cell_weights(rows, sizes, CLOSE_SIMILARITY).join(found, "pid", "left")
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LETTER_SIMILARITY = 0.995
 
