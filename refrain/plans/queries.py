@@ -928,3 +928,30 @@ def rendered_log_lines(spark: SparkSession, sf: str) -> DataFrame:
 )
 def s3_parsed_log_messages(spark, sf):
     return L.parse_lines(rendered_log_lines(spark, sf)).select("uuid", "session_id", "project_dir", "cwd", "ts", "text")
+
+
+def damaged_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The rendered lines, some of them cut off, put into a list, without a message, or blank."""
+    lines = rendered_log_lines(spark, sf)
+    conv = F.regexp_extract("file_name", r"%20(\d+)\+", 1)
+    turn = F.regexp_extract("value", r'"uuid":"c\d+-(\d+)"', 1)
+    k = F.when((conv != "") & (turn != ""), (F.expr("try_cast(regexp_extract(file_name, '%20([0-9]+)', 1) AS BIGINT)") * 3 + turn.try_cast("bigint")) % 13)
+    value = F.col("value")
+    damaged = (
+        F.when(k == 2, F.substring(value, F.lit(1), F.length(value) - 1)).when(k == 5, F.concat(F.lit("["), value, F.lit("]")))
+        .when(k == 7, F.replace(value, F.lit('"message":'), F.lit('"massage":'))).when(k == 11, F.lit(" \t")).otherwise(value)
+    )
+    return lines.withColumn("value", damaged)
+
+
+@register(
+    "s4_line_report",
+    f"""WITH l AS (SELECT *, CASE WHEN conv_id % 6 <> 0 THEN (conv_id * 3 + turn) % 13 ELSE 0 END AS k FROM conversations)
+        SELECT 'proj%' || conv_id % 3 AS project_dir, 's ' || conv_id || '+x.jsonl' AS file_name, count(*) AS n_lines,
+               count(*) FILTER (k = 11) AS n_blank, count(*) FILTER (k = 2) AS n_not_json, count(*) FILTER (k = 5) AS n_not_an_object, count(*) FILTER (k = 7) AS n_no_message,
+               count(*) FILTER (k NOT IN (2, 5, 7, 11) AND role = 'user' AND conv_id % 5 <> 0 AND length({O.strip('text')}) > 0) AS n_messages
+        FROM l GROUP BY conv_id UNION ALL SELECT 'p', 'bad.jsonl', 7, 1, 1, 3, 2, 0""",
+)
+def s4_line_report(spark, sf):
+    """Lines, rejected lines by reason and human turns of every file."""
+    return L.line_report(damaged_log_lines(spark, sf))

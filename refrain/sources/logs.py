@@ -67,23 +67,43 @@ def _decoded(c: str) -> Column:
     return F.try_url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """S2, S3, F1-F4, F8, F10 on ``value, file_path, file_name`` rows (batch or stream).
+#: Why a line is rejected, in the order in which the reasons are looked for.
+REASONS = ["blank", "not json", "not an object", "no message"]
 
-    ``block`` and ``line`` (place in the file), where the rows have them, are kept.
-    """
+
+def classified(lines: DataFrame) -> DataFrame:
+    """``value, v, reason, session_id, project_dir, file_name`` and the place of every line; ``reason`` is null for a line that is read."""
     place = [c for c in ("block", "line") if c in lines.columns]
-    v = F.try_parse_json(F.col("value"))
-    parsed = lines.filter(F.length(strip(F.col("value"))) > 0).select(
-        v.alias("v"),
-        F.regexp_replace(_decoded("file_name"), r"\.jsonl$", "").alias("session_id"),
+    parsed = lines.select(
+        "value",
+        F.try_parse_json(F.col("value")).alias("v"),
+        F.regexp_replace(_decoded("file_name"), r"\.jsonl(\.gz)?$", "").alias("session_id"),
         F.regexp_extract(_decoded("file_path"), r"/([^/]+)/[^/]+$", 1).alias("project_dir"),
         _decoded("file_name").alias("file_name"),
         *place,
     )
-    # S3: malformed lines parse to NULL; non-objects and a null message are skipped too
-    obj = parsed.filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
-    obj = obj.filter(F.schema_of_variant(F.try_variant_get("v", "$.message", "variant")).startswith("OBJECT"))
+    message = F.schema_of_variant(F.try_variant_get("v", "$.message", "variant"))
+    reason = (
+        F.when(F.length(strip(F.col("value"))) == 0, REASONS[0])
+        .when(F.col("v").isNull(), REASONS[1])
+        .when(~F.schema_of_variant("v").startswith("OBJECT"), REASONS[2])
+        .when(~F.coalesce(message.startswith("OBJECT"), F.lit(False)), REASONS[3])
+    )
+    return parsed.withColumn("reason", reason)
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """S2, S3, F1-F4, F8, F10 on ``value, file_path, file_name`` rows (batch or stream).
+
+    ``block`` and ``line`` (place in the file), where the rows have them, are kept. S3: rejected lines are skipped.
+    """
+    return messages_of(classified(lines))
+
+
+def messages_of(found: DataFrame) -> DataFrame:
+    """The human turns among classified lines."""
+    place = [c for c in ("block", "line") if c in found.columns]
+    obj = found.filter(F.col("reason").isNull())
     rows = obj.select(
         F.coalesce(_get(F.col("v"), "$.uuid", "string"), F.lit("")).alias("uuid"),
         "session_id",
@@ -101,7 +121,40 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.filter(F.col("is_user") & ~F.col("is_sidechain") & (F.length("text") > 0))
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame | None:
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """S3: the lines that no message is read from, with their file, place and reason (blank lines aside)."""
+    found = classified(lines).filter(F.col("reason").isNotNull() & (F.col("reason") != REASONS[0]))
+    return found.select("project_dir", "file_name", *[c for c in ("block", "line") if c in found.columns], "reason", "value")
+
+
+def line_report(lines: DataFrame) -> DataFrame:
+    """Per file: its lines, those rejected by reason, and its human turns; one scan, one row per file."""
+    found = classified(lines)
+    turns = F.col("reason").isNull() & (_get(F.col("v"), "$.type", "string") == "user")
+    turns &= ~F.coalesce(_get(F.col("v"), "$.isSidechain", "boolean"), F.lit(False)) & (F.length(extract_text(F.col("v"))) > 0)
+    counts = [F.count_if(F.col("reason") == r).alias("n_" + r.replace(" ", "_")) for r in REASONS]
+    return found.groupBy("project_dir", "file_name").agg(F.count(F.lit(1)).alias("n_lines"), *counts, F.count_if(turns).alias("n_messages"))
+
+
+def file_report(spark: SparkSession, root: str, glob: str = LOG_GLOB) -> DataFrame:
+    """``line_report`` of every session file with content, also of those that can't be read.
+
+    ``unreadable`` marks a file of which no line came out (a broken archive, say). Files are listed without being opened.
+    """
+    schema = "project_dir string, file_name string, bytes bigint, n_lines bigint, " + ", ".join(f"n_{r.replace(' ', '_')} bigint" for r in REASONS) + ", n_messages bigint, unreadable boolean"
+    lines = read_lines(spark, root, glob)
+    if lines is None:
+        return spark.createDataFrame([], schema)
+    listed = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}").select(
+        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("project_dir"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("length").alias("bytes")
+    )
+    report = line_report(lines)
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in report.columns[2:]]
+    both = listed.join(report, ["project_dir", "file_name"], "left")
+    return both.select("project_dir", "file_name", "bytes", *counts, F.col("n_lines").isNull().alias("unreadable"))
+
+
+def read_lines(spark: SparkSession, root: str, glob: str = LOG_GLOB) -> DataFrame | None:
     """Raw lines with their file and place in it; ``None`` when the root has no session files.
 
     ``block`` is where the line's split of the file begins and ``line`` grows within a split, so together they
@@ -109,7 +162,7 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame | None:
     """
     reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     try:
-        lines = reader.text(f"{root.rstrip('/')}/{LOG_GLOB}")
+        lines = reader.text(f"{root.rstrip('/')}/{glob}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

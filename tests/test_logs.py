@@ -161,3 +161,25 @@ def test_session_counts_follow_the_filters(spark):
     r = _root(); _write(r, "p", "s1", [_user("one", ts="2024-01-01T00:00:00Z", cwd="/a"), _user("two", ts=None, cwd="/a"), _user("three", cwd="/b")])
     row = session_table(spark, r, project="/a", as_of=dt.datetime(2024, 5, 1)).collect()[0]
     assert (row.n_messages, row.start_time, row.end_time, row.session_cwd) == (2, dt.datetime(2024, 1, 1), dt.datetime(2024, 5, 1), "/b")
+
+
+def test_rejected_lines_and_unreadable_files(spark):
+    import gzip
+
+    from refrain.sources.logs import file_report, read_lines, rejected_lines
+
+    r = _root()
+    _write(r, "p", "good", [_user("one"), "", "{broken", "[1]", '{"type": "user"}', _user("side", isSidechain=True), _user("two")])
+    _write(r, "p", "empty", [])
+    for name, cut in (("whole", 0), ("torn", 25)):
+        packed = gzip.compress((json.dumps(_user("zipped")) + "\n").encode())
+        with open(os.path.join(r, "p", f"{name}.jsonl.gz"), "wb") as f:
+            f.write(packed[: len(packed) - cut])
+    glob = "*/*.jsonl*"
+    got = {x.file_name: x for x in file_report(spark, r, glob).collect()}
+    assert {k: (x.n_lines, x.n_blank, x.n_not_json, x.n_not_an_object, x.n_no_message, x.n_messages, x.unreadable) for k, x in got.items()} == {
+        "good.jsonl": (7, 1, 1, 1, 1, 2, False), "whole.jsonl.gz": (1, 0, 0, 0, 0, 1, False), "torn.jsonl.gz": (0, 0, 0, 0, 0, 0, True),
+    }
+    bad = rejected_lines(read_lines(spark, r, glob)).orderBy("block", "line").collect()
+    assert [(x.file_name, x.reason, x.value) for x in bad] == [("good.jsonl", "not json", "{broken"), ("good.jsonl", "not an object", "[1]"), ("good.jsonl", "no message", '{"type": "user"}')]
+    assert file_report(spark, _root()).count() == 0

@@ -1,6 +1,7 @@
 """Operator tests on small inputs checked against brute force or hand results."""
 
 import datetime as dt
+import os
 import tempfile
 
 import numpy as np
@@ -98,6 +99,27 @@ def test_scan_results_round_trip(spark):
         save_scan(p2, path, "20240101", dt.datetime(2024, 5, 1))
 
 
+def test_only_committed_scans_are_read(spark, monkeypatch):
+    from refrain.sources import results
+
+    path = tempfile.mkdtemp(prefix="refrain-results-") + "/scans"
+    row = dict(id="pat-001", pattern_key="k", label="l", category=None, size=3, representative_text="t", sample_texts=["t"], dates=[], first_seen=None, last_seen=None, wasted_input_tokens=1, wasted_output_tokens=2)
+    schema = results.PATTERN_SCHEMA.split("saved_at timestamp, ")[1]
+    scan = lambda n: spark.createDataFrame([dict(row, size=n)], schema)
+    for i in range(3):
+        assert save_scan(scan(i), path, f"s{i}", dt.datetime(2024, 1, 1 + i))
+    monkeypatch.setattr(results, "ENTRY_SCHEMA", "broken")  # the save breaks off after the rows, before its entry
+    with pytest.raises(Exception):
+        save_scan(scan(9), path, "s9", dt.datetime(2024, 5, 1))
+    monkeypatch.undo()
+    assert len(os.listdir(path + "/scans")) == 4 or len(os.listdir(path + "/scans")) == 3
+    got = load_latest_scan(spark, path)
+    assert [(r.scan_id, r.size) for r in got.collect()] == [("s2", 2)]
+    assert len(got.inputFiles()) == 1
+    assert save_scan(scan(9), path, "s9", dt.datetime(2024, 5, 1))
+    assert [r.scan_id for r in load_latest_scan(spark, path).collect()] == ["s9"]
+
+
 def test_centroid_classifier_selection(spark):
     """The centroid method labels each pattern by its representative's vector."""
     from refrain.plans.scan import find_patterns
