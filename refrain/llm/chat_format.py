@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refrain.session import staged
+
 END = "<|end|>\n"
 LEARNED = "assistant"
-NEAR = 4096  # conversation ids looked through at once for the next one
 
 
 def escaped(text: Column) -> Column:
@@ -79,22 +80,39 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, *, pair: str = "pai
     )
 
 
+def following(ids: DataFrame) -> DataFrame:
+    """``id, next``: the next of the distinct ids in ascending order (after the last: the first).
+
+    Ids are ordered in ranges, each of them in one task; only the first id of every range meets the others'.
+    """
+    ranged = staged(ids.repartitionByRange("id").select("id", F.spark_partition_id().alias("range")), "ids")
+    inside = F.lead("id").over(Window.partitionBy("range").orderBy("id"))
+    ring = Window.orderBy("range")  # one row per range
+    heads = ranged.groupBy("range").agg(F.min("id").alias("head"))
+    heads = heads.select("range", F.lead("head").over(ring).alias("after"), F.first("head").over(ring).alias("first"))
+    return ranged.select("id", "range", inside.alias("inside")).join(heads, "range").select("id", F.coalesce("inside", "after", "first").alias("next"))
+
+
 def with_swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from plain conversations (``conv_id`` integer, ``turn, role, text``).
 
-    Chosen is every conversation up to its last assistant turn; rejected is the same with the text of that turn taken
-    from the next conversation by ascending id (after the last: the first) that has such a turn. The next one is found within
-    ranges of NEAR ids, and range by range beyond them.
+    Chosen is every conversation as it is. In rejected the replies from some point on are another conversation's: of ``n``
+    assistant turns those beyond the first ``conv_id mod n`` take the texts of the assistant turns, in turn, of the next
+    conversation by ascending id (after the last: the first) that has any. So prompts end at different turns, completions hold
+    several, and a conversation without a reply is the same on both sides. Repeated rows count once; rows without an id
+    belong to no conversation.
     """
-    turns = conversations.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text")
-    last = turns.filter(F.col("role") == LEARNED).groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
-    last = last.select("conv_id", F.col("m.turn").alias("last"), F.col("m.text").alias("reply"), F.floor(F.col("conv_id") / NEAR).alias("near"))
-    heads = last.groupBy("near").agg(F.min_by("reply", "conv_id").alias("head"))
-    ring = Window.orderBy("near")  # one row per NEAR ids
-    heads = heads.withColumn("after", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring)))
-    following = F.lead("reply").over(Window.partitionBy("near").orderBy("conv_id"))
-    last = last.withColumn("following", following).join(heads.select("near", "after"), "near")
-    last = last.select("conv_id", "last", F.coalesce("following", "after").alias("other"))
-    upto = turns.join(last, "conv_id").filter(F.col("turn") <= F.col("last"))
-    swapped = F.when((F.col("turn") == F.col("last")) & (F.col("role") == LEARNED), F.col("other")).otherwise(F.col("text"))
-    return upto.drop("last", "other"), upto.withColumn("text", swapped).drop("last", "other")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    turns = conversations.filter("conv_id is not null").select("conv_id", "turn", text("role"), text("text")).distinct()
+    replies = turns.filter(F.col("role") == LEARNED)
+    replies = replies.withColumn("j", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1)
+    replies = staged(replies, "replies")  # read as both sides of the exchange
+    counts = replies.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    to = following(counts.select(F.col("conv_id").alias("id")))
+    to = to.join(counts.select(F.col("conv_id").alias("id"), "n"), "id").join(counts.select(F.col("conv_id").alias("next"), F.col("n").alias("n_next")), "next")
+    told = replies.join(to.withColumnRenamed("id", "conv_id"), "conv_id")
+    kept = told.filter(F.col("j") < F.pmod("conv_id", "n")).select("conv_id", "turn", "role", "text")
+    asked = told.filter(F.col("j") >= F.pmod("conv_id", "n")).select("conv_id", "turn", "role", "next", (F.col("j") % F.col("n_next")).alias("k"))
+    theirs = replies.select(F.col("conv_id").alias("next"), F.col("j").alias("k"), "text")
+    swapped = asked.join(theirs, ["next", "k"]).select("conv_id", "turn", "role", "text")
+    return turns, turns.filter(F.col("role") != LEARNED).unionByName(kept).unionByName(swapped)

@@ -68,23 +68,23 @@ def spans_text(column: str):
 
 
 def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and masked completions of every conversation with a reply, against the next conversation's reply."""
+    """Prompt and masked completions of every conversation, against the same with another's replies from some point on."""
     chosen, rejected = chat_format.with_swapped_replies(table(spark, sf_dir, "conversations"))
     pairs = chat_format.preference_pairs(chosen, rejected, pair="conv_id")
     return pairs.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans_text("chosen_spans"), spans_text("rejected_spans"), "differs")
 
 
 OP8_SQL = r"""
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-m AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
-y AS (SELECT m.conv_id, last, max(text) AS reply FROM m JOIN t ON t.conv_id = m.conv_id AND turn = last AND role = 'assistant' GROUP BY ALL),
-o AS (SELECT conv_id, last, coalesce(lead(reply) OVER (ORDER BY conv_id), first(reply) OVER (ORDER BY conv_id)) AS other FROM y),
-u AS (SELECT t.*, last, other FROM t JOIN o USING (conv_id) WHERE turn <= last),
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text) - 1 AS j, count(*) OVER (PARTITION BY conv_id) AS n FROM t WHERE role = 'assistant'),
+ids AS (SELECT conv_id, n, ((conv_id % n) + n) % n AS since, coalesce(lead(conv_id) OVER (ORDER BY conv_id), first(conv_id) OVER (ORDER BY conv_id)) AS nxt
+        FROM (SELECT DISTINCT conv_id, n FROM a)),
+swapped AS (SELECT a.conv_id, a.turn, a.role, CASE WHEN a.j < ids.since THEN a.text ELSE o.text END AS text
+            FROM a JOIN ids USING (conv_id) JOIN ids x ON x.conv_id = ids.nxt JOIN a o ON o.conv_id = ids.nxt AND o.j = a.j % x.n),
 both_sides AS (
-  SELECT 'c' AS side, conv_id, turn, role, text FROM u UNION ALL
-  SELECT DISTINCT 'r', conv_id, turn, role, CASE WHEN turn = last AND role = 'assistant' THEN other ELSE text END FROM u),
-n AS (SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn, role, text) AS i,
+  SELECT 'c' AS side, conv_id, turn, role, text FROM t UNION ALL
+  SELECT 'r', conv_id, turn, role, text FROM (SELECT * FROM t WHERE role <> 'assistant' UNION SELECT * FROM swapped)),
+n AS (SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
         '<|' || replace(replace(role, '\', '\\'), '<|', '<\|') || '|>' || chr(10) AS head,
         replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10) AS body FROM both_sides),
 p AS (SELECT conv_id, least(count(*) FILTER (side = 'c'), count(*) FILTER (side = 'r')) AS shorter FROM n GROUP BY conv_id),

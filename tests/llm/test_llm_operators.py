@@ -275,6 +275,28 @@ def test_archives_begin_with_their_dictionary(spark):
 # 8
 
 
+def test_swapped_replies_on_odd_rows(spark):
+    schema = "conv_id long, turn int, role string, text string, range string, n string"
+    talk = lambda i, *turns: [(i, t, r, x, "z", "z") for t, (r, x) in enumerate(turns)]
+    u, a = (lambda x: ("user", x)), (lambda x: ("assistant", x))
+    rows = talk(5, u("q"), a("A"), u("r"), a("B"), u("end")) + talk(7, u("only")) + talk(10**12, a("C"), u("s")) + talk(12, u("x"), a("D"), a("E"), a("F"), u(None))
+    rows += talk(None, u("lost"), a("lost")) + [rows[1], (-3, None, "assistant", None, "z", "z"), (7, 1, None, "odd", "z", "z")]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    chosen, rejected = chat_format.with_swapped_replies(df)
+    got = {r["conv_id"]: r for r in chat_format.preference_pairs(chosen, rejected, pair="conv_id").collect()}
+    assert sorted(got) == [-3, 5, 7, 12, 10**12]
+    said = lambda r, side: [r[side][s["from"] : s["to"]].removesuffix("<|end|>\n") for s in r[f"{side}_spans"]]
+    # 5 % 2 = 1: the second reply on; 12 % 3 = 0: all of them
+    assert got[5]["n_prompt_turns"] == 3 and said(got[5], "chosen") == ["B"] and said(got[5], "rejected") == ["E"]
+    assert got[5]["chosen"].endswith("<|user|>\nend<|end|>\n") and got[5]["rejected"].endswith("<|user|>\nend<|end|>\n")
+    assert got[12]["n_prompt_turns"] == 1 and said(got[12], "chosen") == ["D", "E", "F"] and said(got[12], "rejected") == ["C"] * 3
+    assert said(got[10**12], "rejected") == [""] and said(got[-3], "rejected") == ["A"]
+    assert not got[7]["differs"] and got[7]["n_prompt_turns"] == 2 and got[7]["chosen"] == got[7]["rejected"] == ""
+    one = chat_format.preference_pairs(*chat_format.with_swapped_replies(df.filter("conv_id = 5")), pair="conv_id").collect()
+    assert len(one) == 1 and one[0]["n_prompt_turns"] == 3 and said(one[0], "rejected") == ["B"] or said(one[0], "chosen") == []
+    assert chat_format.preference_pairs(*chat_format.with_swapped_replies(df.filter("false")), pair="conv_id").count() == 0
+
+
 def test_preference_pairs_share_one_prompt(spark):
     schema = "pair_id long, turn int, role string, text string, prompt string"
     chosen = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "bye"), (2, 0, "user", "x"), (3, 0, None, None), (4, 0, "user", "<|end|> \\"), (None, 0, "user", "x"), (1, 0, "user", "hi")]
