@@ -12,6 +12,8 @@ Dense inputs (``ARRAY<FLOAT>``) use the same shape with ``idx = 0..d-1``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from refrain.session import staged
 # Fixed values of the vectoriser: runs of >= 2 word characters, 512 terms.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 VOCAB_SIZE = 512
+TRACKED = 200_000  # terms in a summary
+SPARE = 4  # candidates per term of the vocabulary
 
 
 def tokens(text) -> "F.Column":
@@ -76,6 +80,28 @@ def vocabulary(stats: DataFrame, n_docs, size: int = VOCAB_SIZE) -> DataFrame:
     )
 
 
+def frequent_candidates(terms: DataFrame, size: int, tracked: int = TRACKED) -> tuple[DataFrame, float]:
+    """``term`` of the candidates for the ``size`` most frequent ones, and a number that no other term's count exceeds.
+
+    A summary that tracks ``m`` items misjudges a count by at most ``n / slots * 3.5`` of ``n`` in all, with ``slots`` the power of two
+    from ``m / 0.75`` on; terms it doesn't return may have twice that, or as much as the last one that it returns.
+    """
+    k = SPARE * size
+    found = terms.agg(F.expr(f"approx_top_k(term, {k}, {max(tracked, k)})").alias("top"), F.count("term").alias("n")).first()
+    top = found["top"] or []
+    slots = 1 << math.ceil(math.log2(max(tracked, k) / 0.75))
+    unseen = 2 * 3.5 * found["n"] / slots
+    if len(top) >= k:
+        unseen = max(unseen, float(min(t["count"] for t in top)))
+    return terms.sparkSession.createDataFrame([(t["item"],) for t in top], "term string"), unseen
+
+
+def _settled(vocab: DataFrame, size: int, unseen: float) -> bool:
+    """Whether a term that occurs ``unseen`` times at most can't belong to the vocabulary."""
+    got = vocab.agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("least")).first()
+    return got["least"] > unseen if got["n"] == size else unseen < 1
+
+
 def spread_by_doc(docs: DataFrame, key: str = "doc") -> DataFrame:
     """Hash-partition the corpus by document.
 
@@ -95,9 +121,10 @@ def tfidf_vectors(
 
     Returns ``(vectors, vocab)``; ``vectors`` has ``doc, idx ARRAY<INT>,
     tf ARRAY<BIGINT>, val ARRAY<DOUBLE>`` with ``idx`` ascending.
-    Two passes over the text: the first counts every term (one partial aggregate, one shuffle by term) and keeps
-    the ``size`` most frequent ones; the second counts only those per document. No table of all (document, term)
-    pairs is made; the vocabulary (<= ``size`` rows) is broadcast.
+    Two passes over the text. The first makes a summary of the frequent terms, of bounded size in every task, so
+    nothing is shuffled by term however many different ones there are; the second counts the candidates exactly per document, and
+    the vocabulary is the best of them. Where the summary's error bound doesn't rule out that a term beyond the candidates is
+    as frequent as the last of the vocabulary, all terms are counted instead. The vocabulary (<= ``size`` rows) is broadcast.
     """
     docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     if spread:  # callers whose corpus lies in enough partitions skip this exchange
@@ -105,11 +132,18 @@ def tfidf_vectors(
     # tokens are projected once, so that the generator does not repeat the regex
     toks = docs.select("doc", tokens(F.col("text")).alias("toks"))
     terms = toks.select("doc", F.explode(with_ngrams(F.col("toks"))).alias("term"))
-    top = terms.groupBy("term").agg(F.count(F.lit(1)).alias("cf")).orderBy(F.desc("cf"), F.asc("term")).limit(size)
-    top = staged(top.select("term"), "terms")
-    tf = staged(terms.join(F.broadcast(top), "term").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
     keys = docs.select("doc")
-    vocab = staged(vocabulary(term_statistics(tf), F.lit(float(keys.count())), size), "vocabulary")
+    n_docs = F.lit(float(keys.count()))
+
+    def counted(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        tf = staged(terms.join(F.broadcast(chosen), "term").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+        return tf, staged(vocabulary(term_statistics(tf), n_docs, size), "vocabulary")
+
+    candidates, unseen = frequent_candidates(terms, size)
+    tf, vocab = counted(candidates)
+    if not _settled(vocab, size, unseen):
+        top = terms.groupBy("term").agg(F.count(F.lit(1)).alias("cf")).orderBy(F.desc("cf"), F.asc("term")).limit(size)
+        tf, vocab = counted(staged(top.select("term"), "terms"))
     weighted = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").select(
         "doc", "idx", "tf", ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("w")
     )

@@ -257,3 +257,27 @@ def test_large_keyword_tables_match_like_small_ones(spark, monkeypatch):
     small = pairs()
     monkeypatch.setattr(contains, "MAX_BROADCAST_KEYWORDS", 0)
     assert pairs() == small and ("tes", "es") in small
+
+
+def test_vocabulary_of_the_summary_is_exact(spark, monkeypatch):
+    from refrain.operators import vectors as V
+
+    draw = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    weight = 1 / np.arange(1, 3001) ** 1.2
+    texts = [" ".join(draw.choice(words, 40, p=weight / weight.sum())) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(5)
+    terms = df.select("doc", F.explode(V.with_ngrams(V.tokens(F.col("text")))).alias("term"))
+    exact = terms.groupBy("term").count().collect()
+    for tracked in (50_000, 700):
+        candidates, unseen = V.frequent_candidates(terms, 50, tracked)
+        known = {r["term"] for r in candidates.collect()}
+        assert all(r["count"] <= unseen for r in exact if r["term"] not in known)
+    want = {r["term"]: r["count"] for r in sorted(exact, key=lambda r: (-r["count"], r["term"]))[:50]}
+    for tracked in (50_000, 250):  # the smaller summary settles nothing, so all terms are counted
+        monkeypatch.setattr(V.frequent_candidates, "__defaults__", (tracked,))
+        _, vocab = V.tfidf_vectors(df, size=50)
+        assert {r["term"]: r["cf"] for r in vocab.collect()} == want
+    few = terms.filter("doc < 2").select("term").distinct().count()
+    assert V.tfidf_vectors(df.filter("doc < 2"), size=5000)[1].count() == few
+    assert V.tfidf_vectors(df.filter("false"), size=5)[1].count() == 0
