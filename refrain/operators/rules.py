@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from refrain.session import spread_if_few
+
 # Fixed values that must equal the reference: (name, description, suggestion, regex).
 RULES = [
     (
@@ -52,7 +54,9 @@ def rule_matches(messages: DataFrame, rules=RULES) -> DataFrame:
     With the rules known up front each regex is a literal, compiled once per
     task; one array column per message is exploded, so there is no nested-loop
     join. ``(?u)`` makes Java's case folding Unicode-aware, like the original.
+    Texts are only moved where a scan of few splits would leave cores idle.
     """
+    messages = spread_if_few(messages.select("uuid", "text"))
     hits = F.array(*[F.when(F.regexp_like(F.col("text"), F.lit("(?u)" + r[3])), F.lit(i)) for i, r in enumerate(rules)])
     return messages.select("uuid", F.explode(F.array_compact(hits)).alias("pos"))
 

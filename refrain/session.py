@@ -52,6 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """Deal rows out where their scan has fewer splits than there are cores (a small table in one file); otherwise as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and return the table just written.
 
