@@ -879,6 +879,17 @@ def d2_feature_gaps(spark, sf):
     return RC.feature_gaps(_projects(spark, sf), inventory(spark), n_cand, n_skill, n_tool, tools_configured=False)
 
 
+@register(
+    "d2_gaps_with_tools",
+    f"""{_GAPS_SQL} SELECT project_path, feature, CASE WHEN feature = 'tool servers' THEN TRUE ELSE present END AS present,
+        CASE WHEN feature = 'tool servers' AND severity = 'high' THEN 'medium' ELSE severity END AS severity FROM g""",
+)
+def d2_gaps_with_tools(spark, sf):
+    """The same with tool servers configured: present, and of medium severity where the patterns name some."""
+    n_cand, n_skill, n_tool = _feature_inputs(spark, sf)
+    return RC.feature_gaps(_projects(spark, sf), inventory(spark), n_cand, n_skill, n_tool, tools_configured=True)
+
+
 @register("f17_missing_features", f"{_GAPS_SQL} SELECT * FROM g WHERE NOT present")
 def f17_missing_features(spark, sf):
     n_cand, n_skill, n_tool = _feature_inputs(spark, sf)
