@@ -240,7 +240,7 @@ def build_index(points: DataFrame, similarity: float, target_recall: float) -> t
         return None
     halves = [Half(np.array([w["word"] for w in words if w["half"] == h], float)) for h in (0, 1)]
     cut = halves[0].words.shape[1]
-    some = np.array([r["unit"] for r in sample.limit(2000).collect()], float)
+    some = np.array([r["unit"] for r in sample.orderBy(F.xxhash64(F.lit("radius"), "id"), "id").limit(2000).collect()], float)
     return halves, radius_for(some, halves, math.sqrt(2 - 2 * similarity), target_recall), cut
 
 
