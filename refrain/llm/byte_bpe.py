@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import text_or_empty
+from refrain.llm.common import released, text_or_empty
 
 MEMO_WORDS = 150_000  # distinct words kept in a task; the memo is emptied when full
 SLICE_ROWS = 512  # rows taken at a time within an Arrow batch
@@ -138,6 +138,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, tex
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    @released
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo, pieces = {}, pieces_of(ranks)  # of this task
         for words in batches:

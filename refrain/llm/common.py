@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,26 @@ def slices(column: pa.Array, rows: int = 512) -> Iterator[list]:
         yield column.slice(at, rows).to_pylist()
 
 
+def released(kernel):
+    """Decorate a generator over batches so that a finished task gives its memory back to the machine.
+
+    Workers are reused: without this, what one task has freed stays with its process through all later stages.
+    """
+
+    @wraps(kernel)
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 class WordTable(dict):
     """Memo of a task: word (bytes) -> code, with one NumPy column per value that ``make`` derives from a word.
 

@@ -38,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import WordTable, partitions, text_or_empty
+from refrain.llm.common import WordTable, partitions, released, slices, text_or_empty
 from refrain.operators.components import connected_components, salted_join
 from refrain.session import staged
 
@@ -56,6 +57,7 @@ MISS = 3e-4
 REGION = 256  # nodes of a region (or block) that one task compares
 MAP_BITS = 25  # log2 of the bits of the map that sorts rows out
 SLICE = 4096  # shingles whose hashes are taken at once
+STEP = 256  # rows whose sets are held at a time
 
 _RNG = np.random.default_rng(2024)
 _FACTORS = _RNG.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,11 +121,12 @@ def signature(found: np.ndarray, factors: np.ndarray = _FACTORS) -> bytes:
 
 
 def _sign(size: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
             n, digests, signs = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in chain.from_iterable(slices(batch.column("text"))):
                 found = shingles(text, size, memo)
                 n.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
@@ -134,11 +137,13 @@ def _sign(size: int):
 
 
 def _sets(size: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
-            found = [shingles(t, size, memo).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "grams"])
+            for i, texts in enumerate(slices(batch.column("text"), STEP)):
+                found = [shingles(t, size, memo).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i * STEP, STEP), pa.array(found, pa.binary())], ["id", "grams"])
 
     return run
 
@@ -146,6 +151,7 @@ def _sets(size: int):
 def _sign_sets(count: int):
     """Minima of ``count`` further hash functions over sets that are known."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs = [signature(np.frombuffer(g, np.uint64), _MORE[:count]) for g in batch.column("grams").to_pylist()]
@@ -165,10 +171,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _confirm(percent: int):
     """Keep the candidate pairs whose full sets are similar enough."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("ga").to_pylist(), batch.column("gb").to_pylist()
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)]
+            sides = zip(*(chain.from_iterable(slices(batch.column(c), STEP)) for c in ("ga", "gb")))
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -206,6 +213,7 @@ def _search(percent: int):
 def _near(depth: int):
     """Adjacent rows of an ordered partition that share tree and prefix."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:

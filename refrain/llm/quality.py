@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import WordTable, id_fold, slices, text_or_empty
+from refrain.llm.common import WordTable, id_fold, released, slices, text_or_empty
 
 BITS = 18
 SCALE = 16.0
@@ -145,6 +145,7 @@ def train(
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(usable), "id")
     rows = rows.select(F.col("id").cast("string").alias("id"), "y", "text", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(shards)).cast("int").alias("shard"))
 
+    @released
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordForms()
         for batch in batches:
@@ -174,6 +175,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_
     """``id``, the columns in ``keep``, ``score`` of every row."""
 
     @F.arrow_udf("double")
+    @released
     def dot(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = WordForms()
         for texts in batches:

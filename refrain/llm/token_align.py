@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refrain.llm.common import released
 from refrain.session import staged
 
 SLICE_BYTES = 1 << 19  # of text, taken at a time
@@ -325,6 +326,7 @@ def _kernel(vocabularies: Vocabularies):
     """Rows ``place, id, COLUMNS`` of the documents, then rows of partial counts: keys in ``links``, numbers in ``counts``."""
     a, b = vocabularies.a, vocabularies.b
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, side_a, side_b, counts = Words(a, b), Side(a.pieces), Side(b.pieces), PairCounts()
         names, kind = ["place", "id", *COLUMNS, "counts"], None

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import WordTable, id_fold, slices, text_or_empty
+from refrain.llm.common import WordTable, id_fold, released, slices, text_or_empty
 from refrain.session import staged
 
 STEM = 4
@@ -115,6 +115,7 @@ def statistic(found: list[tuple[int, int, float]], n_words: int, lam: float) ->
     return float(s.max() + np.log(np.exp(s - s.max()).sum()) - np.log(n_words))
 
 
+@released
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``token, toxic, clean, clean_uses`` of a part of the training documents; the rows of a token are added up later."""
     ids: dict[str, int] = {}
@@ -153,6 +154,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _contexts(chosen: set[str]):
     """Every use of a chosen token with a hash of the words beside it."""
 
+    @released
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = {token: i for i, token in enumerate(sorted(chosen))}
         names = pa.array(ids, pa.string())
@@ -274,6 +276,7 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     kind = pa.struct([("x", pa.float64()), ("n_words", pa.int32()), ("passages", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])))])
 
     @F.arrow_udf("struct<x: double, n_words: int, passages: array<struct<first: int, last: int, score: double>>>")
+    @released
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = WordTable(model.word_score, [np.float64])
         for texts in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import partitions, text_or_empty
+from refrain.llm.common import partitions, released, text_or_empty
 
 K, WINDOW = 10, 12
 RANGE_ROWS = 20_000  # of a range, about
@@ -167,6 +167,7 @@ def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = in_order(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         last = None  # range, id, text and fingerprint of the row before
