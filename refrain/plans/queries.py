@@ -8,6 +8,7 @@ keywords, catalogues, curated rows) are joined to them, never used alone.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from refrain.operators import vectors as V
 from refrain.operators.embed import embed
 from refrain.plans import oracle as O
 from refrain.plans.scan import find_patterns
-from refrain.session import staged
+from refrain.session import ensure_checkpoint_dir, staged
+from refrain.sources.results import load_latest_scan, save_scan
 from refrain.sources.tables import conversation_messages, documents_messages, read_table
 
 AS_OF = dt.datetime(2024, 2, 10)  # fixed scan time for the registered queries
@@ -423,6 +425,40 @@ def p3_model_patterns(spark, sf):
     return iso_dates(find_patterns(corpus, LETTER_SIMILARITY, MIN_SAMPLES, classify=False, vectors=vectors))
 
 
+# the representative's vector against the mean vector of each language's documents
+_LANGUAGE_SUMM = f"""
+    ex AS (SELECT d.lang, v.doc, v.idx, v.val FROM vec v JOIN documents d ON d.doc_id = v.doc WHERE d.lang IS NOT NULL),
+    lang_n AS (SELECT lang, count(DISTINCT doc) AS n FROM ex GROUP BY lang),
+    lang_mean AS (SELECT ex.lang, idx, sum(val) / any_value(lang_n.n) AS m FROM ex JOIN lang_n USING (lang) GROUP BY ALL),
+    lang_norm AS (SELECT lang, sqrt(sum(m * m)) AS norm FROM lang_mean GROUP BY lang),
+    rep_sims AS (SELECT r.cluster, m.lang, sum(v.val * m.m / n.norm) AS sim FROM ranked r JOIN pvec v ON v.pid = r.pid
+                 JOIN lang_mean m ON m.idx = v.idx JOIN lang_norm n ON n.lang = m.lang WHERE r.rr = 1 AND n.norm > 0 GROUP BY ALL),
+    rep_best AS (SELECT cluster, arg_max(lang, sim) AS lang, max(sim) AS sim FROM rep_sims WHERE sim > 0 GROUP BY cluster),
+    summ2 AS (SELECT s.*, CASE WHEN b.sim >= {{least}} THEN b.lang ELSE 'one-off-task' END AS category FROM summ s LEFT JOIN rep_best b USING (cluster))"""
+
+
+@register("c12_centroid_patterns", iso_dates_sql(O.patterns_sql(DOC_CORPUS_SQL, LETTER_SIMILARITY, MIN_SAMPLES, _LANGUAGE_SUMM.format(least=C.MIN_CONFIDENCE), points=_LETTER_POINTS)))
+def c12_centroid_patterns(spark, sf):
+    """Patterns whose category is the nearest centroid of exemplars (here: the documents of each language)."""
+    corpus = doc_corpus(spark, sf)
+    vectors = staged(embed(corpus, "ord", "text", letter_model, len(LETTERS)), "vectors")
+    languages = read_table(spark, sf, "documents").filter("lang is not null").select(F.col("doc_id").alias("doc"), F.col("lang").alias("category"))
+    exemplars = vectors.join(languages, "doc").select(F.lit(0).alias("priority"), "category", "idx", "val")
+    return iso_dates(find_patterns(corpus, LETTER_SIMILARITY, MIN_SAMPLES, vectors=vectors, method="centroid", exemplars=exemplars))
+
+
+@register("s10_latest_scan", iso_dates_sql(f"SELECT 'second' AS scan_id, * FROM ({O.patterns_sql(DOC_CORPUS_SQL, LETTER_SIMILARITY, MIN_SAMPLES, points=_LETTER_POINTS)})"))
+def s10_latest_scan(spark, sf):
+    """Two scans saved, the newer one read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/scans-{uuid.uuid4().hex}"
+    corpus = doc_corpus(spark, sf)
+    found = find_patterns(corpus, LETTER_SIMILARITY, MIN_SAMPLES, classify=False, vectors=embed(corpus, "ord", "text", letter_model, len(LETTERS)))
+    found = staged(found, "patterns")
+    save_scan(found, folder, "second", AS_OF)
+    save_scan(found.withColumn("size", F.col("size") + 1), folder, "first", AS_OF - dt.timedelta(days=1))
+    return iso_dates(load_latest_scan(spark, folder).drop("saved_at"))
+
+
 @register(
     "c11_centroid_classifier",
     f"""WITH {_EMB_DB},
