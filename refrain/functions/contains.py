@@ -2,7 +2,7 @@
 
 Three ways, by the checked size of the keyword table:
 
-* up to NESTED keywords: a broadcast join on ``contains``, inside the JVM;
+* up to MAX_BROADCAST_KEYWORDS keywords: a broadcast join on ``contains``, inside the JVM;
 * up to AUTOMATON_CHARS characters of distinct keywords: an Aho-Corasick automaton of all of them is sent to the tasks and
   reads every text once, whatever the number of keywords;
 * beyond that: the sorted keywords are cut into ranges of that size (so a first symbol that a third of the keywords
@@ -22,19 +22,19 @@ from pyspark.sql import functions as F
 
 from refrain.session import staged
 
-NESTED = 256
+MAX_BROADCAST_KEYWORDS = 256  # met by a nested loop; larger tables go through an automaton
 AUTOMATON_CHARS = 8_000_000  # about 250 MB as an automaton
 STEP = 256  # texts read at a time
 
 
-def contains_join(texts: DataFrame, text: str, keywords: DataFrame, keyword: str, *, nested: int = NESTED, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+def contains_join(texts: DataFrame, text: str, keywords: DataFrame, keyword: str, *, nested: int | None = None, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """Rows of both sides wherever ``text`` contains ``keyword``.
 
     Null texts and null keywords match nothing; the empty keyword is in every text; every row of a repeated keyword matches;
     a keyword meets a text once, however often it occurs there.
     """
     size = keywords.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length(keyword)), F.lit(0)).alias("chars")).first()
-    if size["rows"] <= nested:
+    if size["rows"] <= (MAX_BROADCAST_KEYWORDS if nested is None else nested):
         return texts.join(F.broadcast(keywords), F.col(text).contains(F.col(keyword)))
     words = keywords.filter(F.col(keyword).isNotNull()).select(F.col(keyword).alias("word")).distinct()
     if size["chars"] <= automaton_chars:
