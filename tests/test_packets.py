@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from refrain.functions import text as X
 from refrain.operators import neighbours as N
 from refrain.operators import vectors as V
 
@@ -117,3 +118,31 @@ def test_texts_that_touch_are_apart():
     lens, toks = V.plain_tokens(texts)
     assert lens.tolist() == [1, 1, 0, 0, 0, 0, 1, 1, 1] and toks.to_pylist() == ["ab", "cd", "éa", "xy", "zz"]
     assert V.plain_tokens(pa.array([], pa.string()))[1].to_pylist() == []
+
+
+def test_long_strip_is_strip(spark):
+    ends = [w for w in X.WHITESPACE] + ["", "\u200b", "\u0105", "\u00c5", "x", "é", "\u4f60", "\U0001f600"]
+    rows = [(a + body + b,) for a in ("", " ", "\u3000") for body in ("", "a b", "\u00a0y\u2003z") for b in ends] + [(None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select("t", X.strip_long("t").alias("a"), X.strip("t").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and all(r["a"] == r["t"].strip() for r in got if r["t"] is not None)
+    plan = df.select(X.strip_long("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ltrim" in plan.lower() or "trim(leading" in plan.lower()
+
+
+def test_texts_are_split_in_pieces(spark, monkeypatch):
+    texts = [f"t{i} é{i} " * (i % 4) for i in range(23)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(23)), pa.array(texts), pa.nulls(23, pa.list_(pa.string()))], ["doc", "plain", "toks"])
+    whole = V._tokens_of(batch)
+    monkeypatch.setattr(V, "SPLIT_ROWS", 5)
+    parts = V._tokens_of(batch)
+    assert whole[0].equals(parts[0]) and whole[1].tolist() == parts[1].tolist() and whole[2].equals(parts[2])
+
+
+def test_numbers_are_counted_alike_with_and_without_a_sort(monkeypatch):
+    key = np.random.default_rng(2).integers(0, 50, 300)
+    one = V._counted(key, 60)
+    monkeypatch.setattr(V, "KEYS", 10)
+    two = V._counted(key, 60)
+    assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist()
+    assert V._counted(np.zeros(0, np.int64), 0)[0].tolist() == []
