@@ -146,3 +146,17 @@ def test_numbers_are_counted_alike_with_and_without_a_sort(monkeypatch):
     two = V._counted(key, 60)
     assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist()
     assert V._counted(np.zeros(0, np.int64), 0)[0].tolist() == []
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    texts = ["ab cd", None, "x" * 40, "ef", "", "gh ij kl", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts), pa.array([["zz"] if t is None else None for t in texts], pa.list_(pa.string()))], ["doc", "plain", "toks"])
+    monkeypatch.setattr(V, "CODED_BYTES", 10)
+    pieces = list(V._cut(batch))
+    assert [d for p in pieces for d in p.column("doc").to_pylist()] == list(range(7)) and [p.num_rows for p in pieces] == [2, 1, 4]
+    assert list(V._cut(batch.slice(0, 0))) == []
+    got = {}
+    for keys, doc, terms, codes in V._decoded(V._code(iter([batch]))):
+        for i, d in enumerate(keys.to_pylist()):
+            got[d] = [terms[int(c)].as_py() for c in codes[doc == i]]
+    assert got == {0: ["ab", "cd"], 1: ["zz"], 2: ["x" * 40], 3: ["ef"], 4: [], 5: ["gh", "ij", "kl"], 6: ["zz"]}
