@@ -75,3 +75,17 @@ def test_components_in_one_task_or_in_rounds(spark, monkeypatch, finish):
     nodes = spark.range(420).select(F.col("id").alias("pid"))
     got = neighbours.connected_components(nodes, spark.createDataFrame(edges, "a bigint, b bigint"))
     assert {r["pid"]: r["root"] for r in got.collect()} == want
+
+
+def test_two_cells_meet_in_one_of_them(spark):
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(700, 6)) + 2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = [(i, 1 + i % 3, list(range(6)), v.tolist()) for i, v in enumerate(x)]
+    points = spark.createDataFrame(data, "pid bigint, mult bigint, idx array<int>, val array<double>")
+    rows, sizes = cells.partition(points, 0.98, 700, 64, force=True, pivots=9)
+    ways = {(r["home"], v) for r in rows.select("home", "visits").collect() for v in r["visits"]}
+    assert ways and not ways & {(b, a) for a, b in ways}
+    near = (x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T <= neighbours.eps2(0.98)
+    got = {r["pid"]: r["n_neighbours"] for r in cells.cell_weights(rows, sizes, 0.98, 64).collect()}
+    assert got == dict(enumerate((near @ (1 + np.arange(700) % 3)).tolist()))
